@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from foliant.llm import url_filter, warc
+from foliant.llm import bpe, url_filter, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.query,
+    "op5_bpe_tree": bpe.query,
     "op7_url_filters": url_filter.query,
 }
 SQL = {
