@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, url_filter, warc
+from foliant.llm import bpe, kn_quality, url_filter, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.query,
     "op5_bpe_tree": bpe.query,
     "op7_url_filters": url_filter.query,
+    "op10_kn_quality": kn_quality.query,
 }
 SQL = {
     "op1_warc_revisits": warc.SQL,
