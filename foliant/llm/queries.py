@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, html_extract, kn_quality, url_filter, warc
+from foliant.llm import bpe, html_extract, kn_quality, license_scan, url_filter, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.query,
     "op3_html_extraction": html_extract.query,
     "op5_bpe_tree": bpe.query,
     "op7_url_filters": url_filter.query,
+    "op8_license_scan": license_scan.query,
     "op10_kn_quality": kn_quality.query,
 }
 SQL = {
