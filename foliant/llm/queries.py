@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, html_extract, kn_quality, license_scan, url_filter, warc
+from foliant.llm import bpe, decontam, html_extract, kn_quality, license_scan, url_filter, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.query,
+    "op2_benchmark_decontamination": decontam.query,
     "op3_html_extraction": html_extract.query,
     "op5_bpe_tree": bpe.query,
     "op7_url_filters": url_filter.query,
