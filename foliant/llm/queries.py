@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, decontam, html_extract, kn_quality, license_scan, url_filter, warc
+from foliant.llm import bpe, decontam, html_extract, kn_quality, license_scan, rp_forest, url_filter, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.query,
     "op2_benchmark_decontamination": decontam.query,
     "op3_html_extraction": html_extract.query,
     "op5_bpe_tree": bpe.query,
+    "op6_embedding_near_dedup": rp_forest.query,
     "op7_url_filters": url_filter.query,
     "op8_license_scan": license_scan.query,
     "op10_kn_quality": kn_quality.query,
