@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, decontam, html_extract, kn_quality, license_scan, rp_forest, url_filter, warc
+from foliant.llm import bpe, brown_lm, decontam, html_extract, kn_quality, license_scan, rp_forest, url_filter, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.query,
     "op2_benchmark_decontamination": decontam.query,
     "op3_html_extraction": html_extract.query,
+    "op4_brown_lm": brown_lm.query,
     "op5_bpe_tree": bpe.query,
     "op6_embedding_near_dedup": rp_forest.query,
     "op7_url_filters": url_filter.query,
