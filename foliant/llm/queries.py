@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, brown_lm, decontam, html_extract, kn_quality, license_scan, rp_forest, url_filter, warc
+from foliant.llm import bpe, brown_lm, decontam, html_extract, kn_quality, license_scan, rp_forest, sigtree, url_filter, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_embedding_near_dedup": rp_forest.query,
     "op7_url_filters": url_filter.query,
     "op8_license_scan": license_scan.query,
+    "op9_ngram_jaccard_join": sigtree.query,
     "op10_kn_quality": kn_quality.query,
 }
 SQL = {
