@@ -32,6 +32,8 @@ MAX_EDIT = 0.15
 WALKS, TABLES, SAMPLES, SPACING = 3, 8, 5, 4
 #: Window sizes in words; an item uses the largest that leaves SPACING words of it for a window to start, and those of at most SEED words.
 CLASSES, SEED = (1, 2, 4, 8, 16, 32), 8
+#: Collisions wanted of one item on alignments that differ by fewer than some ALIGN words.
+HITS, ALIGN = 4, 8
 BLOCK, BLOCK_BYTES = 4096, 4 << 20
 _A = np.uint64(0xD6E8FEB86659FD93)
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
@@ -133,7 +135,11 @@ class Index:
                 yield (walk, c, t), x ^ (x >> np.uint64(29))
 
     def candidates(self, flat: np.ndarray) -> np.ndarray:
-        """Rows (word position, item, offset in item) of windows that share a bucket with one of an item."""
+        """Rows (word position, item, offset in item) of windows that share a bucket with one of an item.
+
+        A single collision is mostly chance, so at least HITS are wanted on nearby alignments of the
+        item, from any of its windows and tables.
+        """
         starts = anchors(flat)
         found = []
         for name, key in self.keys(flat, starts):
@@ -147,7 +153,17 @@ class Index:
                 continue
             which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             found.append(np.stack([np.repeat(starts[hit], n), item[which], offset[which]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+        if not found:
+            return np.zeros((0, 3), np.int64)
+        rows = np.concatenate(found)
+        cell = rows[:, 1] * (len(flat) // ALIGN + 1024) + (rows[:, 0] - rows[:, 2] + 64 * ALIGN) // ALIGN
+        u, back, n = np.unique(cell, return_inverse=True, return_counts=True)
+        near = n.copy()
+        beside = u[1:] - u[:-1] == 1
+        near[1:] += n[:-1] * beside
+        near[:-1] += n[1:] * beside
+        rows = rows[near[back] >= HITS]
+        return np.unique(rows, axis=0)
 
 
 def anchors(flat: np.ndarray, spacing: int = SPACING) -> np.ndarray:
@@ -167,6 +183,37 @@ def _running_min(h: np.ndarray, n: int) -> np.ndarray:
     return reduce(np.minimum, (h[k : k + size] for k in range(n)))
 
 
+def leaks_in(texts: pa.Array, ix: Index) -> dict[tuple[int, int], int]:
+    """Edits by (row, item) of the leaks in a column of texts."""
+    data, off = string_bytes(texts)
+    leaks: dict[tuple[int, int], int] = {}
+    for i, j in slices(off):
+        w = words(data, off, i, j, _SEP, _LOWER)
+        if not len(w.hash):
+            continue
+        base, tried = int(off[i]), set()
+        for p, k, o in ix.candidates(w.hash).tolist():
+            row = int(np.searchsorted(w.first, p, "right")) - 1
+            n = int(ix.n_words[k])
+            slack = int(ix.max_edit * n) + 3
+            a = max(int(w.first[row]), p - o - slack)
+            grid = (row, k, a // slack)
+            if grid in tried or leaks.get((i + row, k)) == 0:
+                continue
+            tried.add(grid)
+            a = max(int(w.first[row]), a - slack)
+            b = min(int(w.first[row + 1]), p - o + n + 2 * slack)
+            item = ix.items[k][1]
+            most = int(ix.max_edit * len(item))
+            passage = normalise(data[base + int(w.start[a]) : base + int(w.end[b - 1])].tobytes().decode("utf-8", "replace"))
+            if not could_match(ix.grams[k], passage, most):
+                continue
+            d = edit_distance(item, passage)
+            if d <= most and d < leaks.get((i + row, k), 1 << 30):
+                leaks[i + row, k] = d
+    return leaks
+
+
 def _scan(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = docs.schema["id"].dataType.simpleString()
@@ -174,40 +221,38 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = shared.value
         for batch in batches:
-            data, off = string_bytes(batch.column("text"))
-            rows, out = [], []
-            for i, j in slices(off):
-                w = words(data, off, i, j, _SEP, _LOWER)
-                if not len(w.hash):
-                    continue
-                base, best, tried = int(off[i]), {}, set()
-                for p, k, o in ix.candidates(w.hash).tolist():
-                    row = int(np.searchsorted(w.first, p, "right")) - 1
-                    n = int(ix.n_words[k])
-                    slack = int(ix.max_edit * n) + 3
-                    a = max(int(w.first[row]), p - o - slack)
-                    grid = (row, k, a // slack)
-                    if grid in tried or best.get((row, k)) == 0:
-                        continue
-                    tried.add(grid)
-                    a = max(int(w.first[row]), a - slack)
-                    b = min(int(w.first[row + 1]), p - o + n + 2 * slack)
-                    item = ix.items[k][1]
-                    passage = normalise(data[base + int(w.start[a]) : base + int(w.end[b - 1])].tobytes().decode("utf-8", "replace"))
-                    if not could_match(ix.grams[k], passage, int(ix.max_edit * len(item))):
-                        continue
-                    d = edit_distance(item, passage)
-                    if d <= ix.max_edit * len(item) and d < best.get((row, k), 1 << 30):
-                        best[row, k] = d
-                for (row, k), d in best.items():
-                    rows.append(i + row)
-                    out.append((ix.items[k][0], d, len(ix.items[k][1])))
+            leaks = leaks_in(batch.column("text"), ix)
+            rows = [row for row, _ in leaks]
+            out = [(ix.items[k][0], d, len(ix.items[k][1])) for (_, k), d in leaks.items()]
             columns = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), *[pa.array(c, pa.int64()) for c in columns]], ["id", "item_id", "edits", "item_chars"])
 
     return map_batches(docs, run, f"id {kind}, item_id long, edits long, item_chars long")
 
 
+def _items(benchmark: DataFrame, item_column: str, item_text: str) -> DataFrame:
+    return benchmark.where(F.col(item_column).isNotNull()).select(F.col(item_column).cast("long").alias("item_id"), F.coalesce(item_text, F.lit("")).alias("text")).distinct()
+
+
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` in which no item leaks, with all their columns; every row is judged by its own text."""
+
+    def without(df: DataFrame, index: Index) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, _ in leaks_in(batch.column(text_column), shared.value)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return map_batches(df, run, df.schema)
+
+    for rows in _blocks(_items(benchmark, item_column, item_text), block):
+        docs = without(docs, Index(rows, max_edit))
+    return docs
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, item_id, edits, item_chars) for each row and item where a passage of the text is within
     ``max_edit`` edits per character of the item, both normalised.
@@ -216,9 +261,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    items = benchmark.where(F.col(item_column).isNotNull()).select(F.col(item_column).cast("long").alias("item_id"), F.coalesce(item_text, F.lit("")).alias("text")).distinct()
     out = None
-    for rows in _blocks(items, block):
+    for rows in _blocks(_items(benchmark, item_column, item_text), block):
         found = _scan(base, Index(rows, max_edit))
         out = found if out is None else out.unionByName(found)
     kind = base.schema["id"].dataType.simpleString()
