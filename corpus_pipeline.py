@@ -1,12 +1,61 @@
-"""A training-data pipeline over ``documents``."""
+"""A training-data pipeline over ``documents``: quality, near duplicates, benchmark leaks, tokens.
+
+Each stage works on all that its predecessor kept. Columns of documents pass through unchanged, further
+columns included, whatever their names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.llm import bpe, decontam, kn_quality, sigtree
+from foliant.llm.work import Scratch
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what the Kneser-Ney classifier accepts; empty and null texts go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rest = [c for c in docs.columns if c not in ("doc_id", "lang", "text")]
+    packed = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"), F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
+    judged = kn_quality.classify(packed, labels, Scratch(spark, "quality"), keep_text=True).where("keep")
+    return judged.select(*[F.col("rest")[c].alias(c) if c in rest else F.col(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of linked documents the one with the smallest id, once if its row repeats.
+
+    A document without an id stays unless an equal one has an id.
+    """
+    scratch = Scratch(spark, "duplicates")
+    groups = sigtree.jaccard_components(docs.select("doc_id", "text"), scratch)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    # Written first, so that its size is known before Spark chooses how to join.
+    kept = scratch.write(kept, "kept")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents into which a benchmark item leaks."""
+    return decontam.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of the ids and of the text decoded from them."""
+    import public_tokenizers
+
+    return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+
 
-STAGES: list = []
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("tokens", tokens)]
+#: No stage can be expressed in SQL; tests compare the run with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written as Parquet and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"{k}-{name}")
+    return docs
