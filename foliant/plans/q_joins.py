@@ -104,7 +104,7 @@ def best_sentence(s, d):
     """The first sentence with the best share of a turn's terms, if at least half."""
     terms = F.slice(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 6)), 1, 4)
     rows = table(s, d, "conversations").withColumn("terms", terms).where("size(terms) > 0")
-    rows = rows.select("conv_id", "turn", "terms", F.posexplode(F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"[^.!?]*[.!?]?"), F.lit(0)), F.trim), lambda x: x != "")).alias("no", "sentence"))
+    rows = rows.select("conv_id", "turn", "terms", F.posexplode(F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"[^.!?]*[.!?]?"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")).alias("no", "sentence"))
     rows = rows.withColumn("score", F.size(F.filter("terms", lambda t: F.lower("sentence").contains(t))) / F.size("terms"))
     return top_per_key(rows, ["conv_id", "turn"], [F.desc("score"), F.col("no")]).where("score >= 0.5").select("conv_id", "turn", "score")
 
