@@ -40,11 +40,14 @@ def remove_invisible(c: Column) -> Column:
     return F.translate(c, INVISIBLE, "")
 
 
-@F.pandas_udf("string")
-def nfc(c: pd.Series) -> pd.Series:
+def _nfc(c: pd.Series) -> pd.Series:
     return c.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def nfc(c: Column) -> Column:
+    return F.pandas_udf(_nfc, "string")(c)
+
+
 def remove_links(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, URL, ""), EMAIL, "")
 

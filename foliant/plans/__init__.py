@@ -1,3 +1,3 @@
 """Query definitions; importing this package registers them all."""
 
-from foliant.plans import q_aggregates, q_joins, q_rows, q_rules, q_text  # noqa: F401
+from foliant.plans import q_aggregates, q_chunks, q_joins, q_rows, q_rules, q_text  # noqa: F401

@@ -13,13 +13,16 @@ def events(s, d):
     return table(s, d, "events")
 
 
-FAIL = F.col("event_type") == "error"
+def fail():
+    return F.col("event_type") == "error"
+
+
 query("ag01_run_statistics", "SELECT count(*) AS n, count(*) FILTER (event_type <> 'error') AS success, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type <> 'error') / count(*) AS success_rate, avg(value) AS avg_duration, min(value) AS min_duration, max(value) AS max_duration FROM events")(
-    lambda s, d: events(s, d).agg(F.count("*").alias("n"), F.count_if(~FAIL).alias("success"), F.count_if(FAIL).alias("failed"), (F.count_if(~FAIL) / F.count("*")).alias("success_rate"), F.avg("value").alias("avg_duration"), F.min("value").alias("min_duration"), F.max("value").alias("max_duration"))
+    lambda s, d: events(s, d).agg(F.count("*").alias("n"), F.count_if(~fail()).alias("success"), F.count_if(fail()).alias("failed"), (F.count_if(~fail()) / F.count("*")).alias("success_rate"), F.avg("value").alias("avg_duration"), F.min("value").alias("min_duration"), F.max("value").alias("max_duration"))
 )
 query("ag02_counts_by_type", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")(lambda s, d: events(s, d).groupBy("event_type").agg(F.count("*").alias("n")))
 query("ag03_per_key", "SELECT user_id, count(*) AS requests, count(*) FILTER (event_type <> 'error') / count(*) AS success_rate, avg(value) AS avg_duration FROM events GROUP BY user_id")(
-    lambda s, d: events(s, d).groupBy("user_id").agg(F.count("*").alias("requests"), (F.count_if(~FAIL) / F.count("*")).alias("success_rate"), F.avg("value").alias("avg_duration"))
+    lambda s, d: events(s, d).groupBy("user_id").agg(F.count("*").alias("requests"), (F.count_if(~fail()) / F.count("*")).alias("success_rate"), F.avg("value").alias("avg_duration"))
 )
 query("ag04_cache_hit_percent", "SELECT source, CASE WHEN sum(n_chars) > 0 THEN round(100.0 * sum(CASE WHEN doc_id % 3 = 0 THEN n_chars ELSE 0 END) / sum(n_chars), 2) ELSE 0 END AS pct FROM documents GROUP BY source")(
     lambda s, d: table(s, d, "documents").groupBy("source").agg(F.coalesce(F.round(F.lit(100.0) * F.sum(F.when(F.col("doc_id") % 3 == 0, F.col("n_chars")).otherwise(0)) / F.nullif(F.sum("n_chars"), F.lit(0)), 2), F.lit(0.0)).alias("pct"))
@@ -67,18 +70,18 @@ query("ag16_compare_systems", "SELECT 'part' AS system, count(*) AS n, avg(p_ret
     lambda s, d: table(s, d, "part").agg(F.count("*").alias("n"), F.avg("p_retailprice").alias("mean")).select(F.lit("part").alias("system"), "n", "mean").unionByName(table(s, d, "customer").agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("mean")).select(F.lit("customer").alias("system"), "n", "mean"))
 )
 query("ag17_ab_statistics", "SELECT user_id % 2 AS variant, sum(value) AS total, avg(value) AS mean, min(value) AS least, max(value) AS most, count(*) FILTER (event_type = 'error') / count(*) AS error_rate FROM events GROUP BY 1")(
-    lambda s, d: events(s, d).groupBy((F.col("user_id") % 2).alias("variant")).agg(F.sum("value").alias("total"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), (F.count_if(FAIL) / F.count("*")).alias("error_rate"))
+    lambda s, d: events(s, d).groupBy((F.col("user_id") % 2).alias("variant")).agg(F.sum("value").alias("total"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), (F.count_if(fail()) / F.count("*")).alias("error_rate"))
 )
 query("ag18_stage_profile", "SELECT lang, avg(floor(length(text) / 4.0)) AS avg_tokens, avg(floor(length(text) / 4.0)) / 10000 AS utilization FROM documents GROUP BY lang")(lambda s, d: table(s, d, "documents").groupBy("lang").agg(F.avg(F.floor(F.length("text") / 4.0)).alias("avg_tokens")).withColumn("utilization", F.col("avg_tokens") / 10000))
 query("ag19_completion_report", "SELECT source, count(*) AS total, count(quality) AS done, count(*) - count(quality) AS missing, round(100.0 * count(quality) / count(*), 1) AS pct FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")(
     lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").groupBy("source").agg(F.count("*").alias("total"), F.count("quality").alias("done"), (F.count("*") - F.count("quality")).alias("missing"), F.round(F.lit(100.0) * F.count("quality") / F.count("*"), 1).alias("pct"))
 )
-query("ag20_error_metrics", "SELECT user_id, count(*) AS errors, count(*) FILTER (value > 50) / greatest(1, count(*)) AS recovery_rate FROM events WHERE event_type = 'error' GROUP BY user_id")(lambda s, d: events(s, d).where(FAIL).groupBy("user_id").agg(F.count("*").alias("errors"), (F.count_if(F.col("value") > 50) / F.greatest(F.lit(1), F.count("*"))).alias("recovery_rate")))
+query("ag20_error_metrics", "SELECT user_id, count(*) AS errors, count(*) FILTER (value > 50) / greatest(1, count(*)) AS recovery_rate FROM events WHERE event_type = 'error' GROUP BY user_id")(lambda s, d: events(s, d).where(fail()).groupBy("user_id").agg(F.count("*").alias("errors"), (F.count_if(F.col("value") > 50) / F.greatest(F.lit(1), F.count("*"))).alias("recovery_rate")))
 query("ag21_key_pool", "SELECT c_mktsegment, count(*) FILTER (c_acctbal > 0) AS active, sum(c_acctbal) AS used, count(*) FILTER (c_acctbal <= 0) / count(*) AS blocked_ratio, min(least(nullif(c_custkey % 7, 0), nullif(c_custkey % 11, 0))) AS earliest FROM customer GROUP BY 1")(
     lambda s, d: table(s, d, "customer").groupBy("c_mktsegment").agg(F.count_if(F.col("c_acctbal") > 0).alias("active"), F.sum("c_acctbal").alias("used"), (F.count_if(F.col("c_acctbal") <= 0) / F.count("*")).alias("blocked_ratio"), F.min(F.least(F.nullif(F.col("c_custkey") % 7, F.lit(0)), F.nullif(F.col("c_custkey") % 11, F.lit(0)))).alias("earliest"))
 )
 query("ag22_response_buckets", "SELECT event_id, CASE WHEN value < m * 0.8 THEN 'response_fast' WHEN value < m * 1.2 THEN 'response_normal' ELSE 'response_slow' END AS bucket FROM events, (SELECT avg(value) AS m FROM events WHERE event_type <> 'error') WHERE event_type <> 'error'")(
-    lambda s, d: (lambda e: e.join(F.broadcast(e.agg(F.avg("value").alias("m")))).select("event_id", F.when(F.col("value") < F.col("m") * 0.8, "response_fast").when(F.col("value") < F.col("m") * 1.2, "response_normal").otherwise("response_slow").alias("bucket")))(events(s, d).where(~FAIL))
+    lambda s, d: (lambda e: e.join(F.broadcast(e.agg(F.avg("value").alias("m")))).select("event_id", F.when(F.col("value") < F.col("m") * 0.8, "response_fast").when(F.col("value") < F.col("m") * 1.2, "response_normal").otherwise("response_slow").alias("bucket")))(events(s, d).where(~fail()))
 )
 CLASS_SQL = "CASE WHEN contains(lower(m), 'billing') OR contains(lower(m), 'payment') THEN 'error_billing' WHEN contains(lower(m), 'access denied') OR contains(lower(m), 'permission') THEN 'error_permission' WHEN contains(lower(m), 'invalid') THEN 'error_invalid' WHEN contains(lower(m), 'quota') OR contains(lower(m), '429') THEN 'error_quota' ELSE 'error_unknown' END"
 MESSAGES = ("429 Resource exhausted: quota", "Billing account required", "Permission denied for model", "invalid api key", "503 internal server error", "rate limit exceeded, retry after: 12.5s", "timeout while reading", "blocked by safety settings", "500 Internal", "API key not valid 401")

@@ -28,16 +28,15 @@ WORDS = "len(list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> ''))"
 query("mth02_word_ratio", f"WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) SELECT conv_id, turn, CAST({WORDS.format('text')} AS BIGINT) AS words, {WORDS.format('text')} / {WORDS.format('prev')} AS ratio FROM p WHERE prev IS NOT NULL AND {WORDS.format('prev')} > 0")(
     lambda s, d: table(s, d, "conversations").withColumn("prev", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("prev is not null").withColumns({"a": F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")), "b": F.size(F.filter(F.split("prev", r"\s+"), lambda x: x != ""))}).where("b > 0").select("conv_id", "turn", F.col("a").cast("long").alias("words"), (F.col("a") / F.col("b")).alias("ratio"))
 )
-query("mth03_adaptive_timeout", "WITH h AS (SELECT event_id, value, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM events) SELECT event_id, round(greatest(30.0, least(600.0, 0.7 * (60 + value / 1000 * 2) + 0.3 * coalesce(past * 1.5, 60.0))), 4) AS timeout FROM h")(
-    lambda s, d: table(s, d, "events").withColumn("past", F.avg("value").over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1))).select("event_id", F.round(F.greatest(F.lit(30.0), F.least(F.lit(600.0), 0.7 * (60 + F.col("value") / 1000 * 2) + 0.3 * F.coalesce(F.col("past") * 1.5, F.lit(60.0)))), 4).alias("timeout"))
+query("mth03_adaptive_timeout", "WITH h AS (SELECT event_id, value, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM events) SELECT event_id, CAST(round(greatest(30.0, least(600.0, 0.7 * (60 + value / 1000 * 2) + 0.3 * coalesce(past * 1.5, 60.0))) * 1000) AS BIGINT) AS timeout_ms FROM h")(
+    lambda s, d: table(s, d, "events").withColumn("past", F.avg("value").over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1))).select("event_id", F.round(F.greatest(F.lit(30.0), F.least(F.lit(600.0), 0.7 * (60 + F.col("value") / 1000 * 2) + 0.3 * F.coalesce(F.col("past") * 1.5, F.lit(60.0)))) * 1000).cast("long").alias("timeout_ms"))
 )
 KIND_SQL = "CASE WHEN contains(lower(m), 'resource_exhausted') OR contains(lower(m), 'quota') THEN 'quota_exceeded' WHEN contains(lower(m), 'rate_limit') OR contains(lower(m), 'too many requests') THEN 'rate_limit' WHEN contains(lower(m), 'api key') AND (contains(lower(m), 'not valid') OR contains(lower(m), 'invalid')) OR regexp_matches(lower(m), 'invalid_api_key| 401|401 | 403|403 ') THEN 'invalid_key' WHEN regexp_matches(lower(m), 'timeout|deadline') THEN 'timeout' WHEN regexp_matches(lower(m), 'safety|blocked') THEN 'generation_blocked' WHEN starts_with(m, '5') OR regexp_matches(lower(m), 'internal|server error') THEN 'server_error' ELSE 'unknown' END"
-NOTYPE = F.lit("Exception")
-query("cls02_error_class", f"SELECT event_id, {KIND_SQL} AS kind FROM {MESSAGE_SQL}")(lambda s, d: messages(s, d).select("event_id", R.error_class(F.col("m"), NOTYPE).alias("kind")))
+query("cls02_error_class", f"SELECT event_id, {KIND_SQL} AS kind FROM {MESSAGE_SQL}")(lambda s, d: messages(s, d).select("event_id", R.error_class(F.col("m"), F.lit("Exception")).alias("kind")))
 query("mth04_cooldown", f"""SELECT event_id, CASE WHEN (kind = 'rate_limit' OR contains(m, '429')) AND regexp_matches(lower(m), 'retry\\s*after[:\\s]*\\d+\\.?\\d*\\s*s') THEN CAST(floor(CAST(regexp_extract(lower(m), 'retry\\s*after[:\\s]*(\\d+\\.?\\d*)\\s*s', 1) AS DOUBLE)) AS INTEGER) + 1
     WHEN (kind = 'quota_exceeded' OR contains(lower(m), 'quota')) AND (event_id % 6 >= 3 OR contains(lower(m), 'daily')) THEN 86400
     WHEN kind IN ('server_error', 'timeout') THEN CASE kind WHEN 'timeout' THEN 10 ELSE 30 END * ([1, 2, 4, 8, 16])[least(event_id % 6, 4) + 1] ELSE CASE kind WHEN 'rate_limit' THEN 15 ELSE 60 END END AS seconds FROM (SELECT event_id, m, {KIND_SQL} AS kind FROM {MESSAGE_SQL})""")(
-    lambda s, d: messages(s, d).withColumn("kind", R.error_class(F.col("m"), NOTYPE)).select("event_id", R.cooldown(F.col("kind"), F.col("event_id") % 6, F.col("m")).cast("int").alias("seconds"))
+    lambda s, d: messages(s, d).withColumn("kind", R.error_class(F.col("m"), F.lit("Exception"))).select("event_id", R.cooldown(F.col("kind"), F.col("event_id") % 6, F.col("m")).cast("int").alias("seconds"))
 )
 query("mth05_dynamic_delay", "SELECT user_id, CASE WHEN q / n > 0.5 THEN CAST(floor(60 * (1.5 + (q / n - 0.5) * 2)) AS BIGINT) ELSE 60 END AS delay FROM (SELECT user_id, count(*) FILTER (event_type = 'click') AS q, count(*) AS n FROM events GROUP BY user_id)")(
     lambda s, d: table(s, d, "events").groupBy("user_id").agg((F.count_if(F.col("event_type") == "click") / F.count("*")).alias("r")).select("user_id", F.when(F.col("r") > 0.5, F.floor(60 * (1.5 + (F.col("r") - 0.5) * 2)).cast("long")).otherwise(60).alias("delay"))
@@ -62,7 +61,7 @@ query("cls01_context", "SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(t
     lambda s, d: table(s, d, "documents").select("doc_id", F.coalesce(*[F.when(F.lower("text").contains(w), F.lit(c)) for w, c in CONTEXTS], F.lit("none")).alias("context"))
 )
 PATTERN_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(m), {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{n}'" for n, ws in R.ERROR_PATTERNS.items()) + " ELSE 'unknown' END"
-query("cls03_error_pattern", f"SELECT event_id, {PATTERN_SQL} AS kind FROM {MESSAGE_SQL}")(lambda s, d: messages(s, d).select("event_id", R.error_pattern_class(F.col("m"), NOTYPE).alias("kind")))
+query("cls03_error_pattern", f"SELECT event_id, {PATTERN_SQL} AS kind FROM {MESSAGE_SQL}")(lambda s, d: messages(s, d).select("event_id", R.error_pattern_class(F.col("m"), F.lit("Exception")).alias("kind")))
 query("cls04_service_error", f"SELECT event_id, CASE WHEN regexp_matches(lower(m), '429|quota|resourceexhausted|resource exhausted|rate limit') THEN 'quota_exceeded' WHEN regexp_matches(m, '401|403') THEN 'invalid_key' WHEN regexp_matches(lower(m), 'timeout|deadline exceeded|connection|network|unavailable|503|502|500') THEN 'network_error' ELSE 'generation_error' END AS kind FROM {MESSAGE_SQL}")(
     lambda s, d: messages(s, d).select("event_id", R.service_error_class(F.col("m")).alias("kind"))
 )
