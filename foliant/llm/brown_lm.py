@@ -78,7 +78,7 @@ class _Sums:
         return out
 
 
-def count_words(texts: DataFrame) -> DataFrame:
+def count_words(texts: DataFrame, groups: int = GROUPS) -> DataFrame:
     """(word, grp, n) over all of texts(text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +94,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             data, off = string_bytes(batch.column("text"))
             for i, j in slices(off):
                 w = words(data, off, i, j)
-                if len(w.hash) and sums.add(w.hash, suffix_groups(data, int(off[i]), w.start, w.end)) and sums.size > HOLD:
+                if len(w.hash) and sums.add(w.hash, suffix_groups(data, int(off[i]), w.start, w.end, groups)) and sums.size > HOLD:
                     sums.merge()
                     if sums.size > HOLD:
                         yield from out()
@@ -273,7 +273,7 @@ class Model:
 def train(texts: DataFrame, scratch: Scratch, n_classes: int = CLASSES, exchange: int = EXCHANGE, groups: int = GROUPS, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
     """A model of texts(text) and the table (word, n) of the words that are not frequent."""
     spark = texts.sparkSession
-    vocab = scratch.write(count_words(texts), "vocab")
+    vocab = scratch.write(count_words(texts, groups), "vocab")
     ends = texts.count()
     bucket = F.floor(F.log(2.0, F.col("n")) * 16).cast("int")
     steps = vocab.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("types"), F.min("n").alias("least"), F.sum("n").alias("n")).orderBy(F.desc("bucket")).collect()

@@ -1,0 +1,23 @@
+import random
+
+from foliant.llm.components import connected_components
+
+
+def test_random_graphs(spark, scratch):
+    rnd = random.Random(1)
+    edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 360)] + [(400, k) for k in range(401, 460)] + [(1, 1), (None, 3), (5, None)]
+    up = {}
+
+    def find(k):
+        while up.setdefault(k, k) != k:
+            k = up[k]
+        return k
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    want = {k: find(k) for k in up if find(k) != k}
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    assert {r.id: r.component for r in connected_components(df, scratch).collect()} == want
+    assert connected_components(df.limit(0), scratch, "none").count() == 0
