@@ -44,3 +44,14 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "place") -> D
     sizes = local.groupBy("_part").agg(F.max("_k").alias("_n"))
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_offset")
     return local.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_k") + F.col("_offset")).cast("long")).drop("_part", "_k", "_offset")
+
+
+def group_row_number(df: DataFrame, key: str, order: list[str], rank: str = "k", size: str = "n") -> DataFrame:
+    """1-based rank within a group and the group's size, for groups of any size.
+
+    Ranks come from the rank in the order of (key, order) over all rows, less that of the group's first row, so
+    a group that holds a third of all rows is spread over tasks like any other.
+    """
+    placed = global_row_number(df, [key, *order], "_place")
+    groups = placed.groupBy(key).agg(F.min("_place").alias("_first"), F.count("*").alias(size))
+    return placed.join(groups, key).withColumn(rank, F.col("_place") - F.col("_first") + 1).drop("_place", "_first")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.operators.windows import top_per_key
+from foliant.operators.windows import group_row_number, top_per_key
 from foliant.registry import query, table
 
 
@@ -50,7 +50,7 @@ query("ag09_z_score", "SELECT doc_id FROM documents JOIN (SELECT source, avg(n_c
 def percentile_rank(s, d):
     """Rows below their group's nearest-rank percentile; the rank is found by numbering rows, not by collecting them."""
     docs = table(s, d, "documents").select("doc_id", "source", "n_chars")
-    ranked = docs.withColumns({"k": F.row_number().over(W.partitionBy("source").orderBy("n_chars", "doc_id")), "n": F.count("*").over(W.partitionBy("source"))})
+    ranked = group_row_number(docs, "source", ["n_chars", "doc_id"])
     cut = ranked.where("n >= 10 and k = floor(n * 0.15) + 1").select("source", F.col("n_chars").alias("cut"))
     return docs.join(cut, "source").where("n_chars < cut").select("doc_id")
 

@@ -54,7 +54,7 @@ def _blocks(t):
 query("ch03_block_chunks")(lambda s, d: fold_documents(injected(s, d), lambda t: _sizes(Chunker(LIMIT).by_blocks(_blocks(t))), "chunk_id bigint, tokens bigint"))
 query("ch05_capped_chunks")(lambda s, d: fold_documents(injected(s, d), lambda t: _sizes(Chunker(LIMIT).cap(Chunker(4 * LIMIT).pack(t))), "chunk_id bigint, tokens bigint"))
 query("ch06_size_validation", f"SELECT doc_id, tokens < 100 AND NOT is_last AS is_small FROM (SELECT doc_id, {WEIGHTED} AS tokens, doc_id = max(doc_id) OVER (PARTITION BY source) AS is_last FROM documents)")(
-    lambda s, d: table(s, d, "documents").withColumns({"tokens": X.weighted_tokens(F.col("text")), "last": F.max("doc_id").over(W.partitionBy("source"))}).select("doc_id", ((F.col("tokens") < 100) & (F.col("doc_id") != F.col("last"))).alias("is_small"))
+    lambda s, d: table(s, d, "documents").select("doc_id", "source", X.weighted_tokens(F.col("text")).alias("tokens")).join(table(s, d, "documents").groupBy("source").agg(F.max("doc_id").alias("last")), "source").select("doc_id", ((F.col("tokens") < 100) & (F.col("doc_id") != F.col("last"))).alias("is_small"))
 )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as X
 from foliant.operators.lines import explode_lines
-from foliant.operators.windows import around, global_row_number, islands, repeated, top_per_key, trailing_count
+from foliant.operators.windows import around, global_row_number, group_row_number, islands, repeated, top_per_key, trailing_count
 from foliant.plans.inject import INJ, injected
 from foliant.plans.q_text import NL, SPLIT, strip
 from foliant.registry import query, table
@@ -162,13 +162,17 @@ query("wn08_context_breaks", f"""WITH {INJ}, p AS (SELECT doc_id, text, lag(text
 
 
 def context_breaks(s, d):
-    """A heading early in the text, a scene break, or a topic word at the start that the previous text's end lacks."""
-    rows = injected(s, d).withColumn("prev", F.lag("text").over(W.partitionBy("source").orderBy("doc_id")))
+    """A heading early in the text, a scene break, or a topic word at the start that the previous text's end lacks.
+
+    Only two flags a text are ordered, not the texts, and the text before is found by its rank.
+    """
     t = F.col("text")
     head = F.substring(t, 1, 200).rlike(r"(?imu)^\s*(?:Chapter|Chương|Hồi)\s+\d+")
     scene = F.substring(t, 1, 500).rlike(r"\n\s*\n\s*\n") | F.array_join(F.slice(X.lines(t), 1, 5), "\n").rlike(r"(?m)^\s*(?:---|\*\*\*|===)")
-    topic = F.lower(X.strip(t)).startswith("the ") & ~F.lower(F.right("prev", F.lit(200))).contains("the ")
-    return rows.select("doc_id", (F.col("prev").isNotNull() & (head | scene | topic)).alias("is_break"))
+    flags = injected(s, d).select("doc_id", "source", (head | scene).alias("own"), F.lower(X.strip(t)).startswith("the ").alias("topic"), F.lower(F.right(t, F.lit(200))).contains("the ").alias("ends"))
+    placed = group_row_number(flags, "source", ["doc_id"])
+    before = placed.select("source", (F.col("k") + 1).alias("k"), F.col("ends").alias("prev_ends"))
+    return placed.join(before, ["source", "k"], "left").select("doc_id", (F.col("prev_ends").isNotNull() & (F.col("own") | F.col("topic") & ~F.col("prev_ends"))).alias("is_break"))
 
 
 query("wn10_position_hint", "SELECT conv_id, turn, CASE WHEN k / n < 0.2 THEN 'top' WHEN k / n > 0.8 THEN 'bottom' ELSE 'middle' END AS hint FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)")(
@@ -218,10 +222,10 @@ query("sl04_least_used_key", "SELECT event_type, min_by(user_id, n * 1000000000
     lambda s, d: table(s, d, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n")).groupBy("event_type").agg(F.min_by("user_id", F.struct("n", "user_id")).alias("user_id"))
 )
 query("sl05_batches", "SELECT source, batch, count(*) AS n, min(doc_id) AS first_id FROM (SELECT source, doc_id, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 30) AS BIGINT) AS batch FROM documents) GROUP BY 1, 2")(
-    lambda s, d: table(s, d, "documents").withColumn("batch", F.floor((F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1) / 30).cast("long")).groupBy("source", "batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    lambda s, d: group_row_number(table(s, d, "documents").select("doc_id", "source"), "source", ["doc_id"]).withColumn("batch", F.floor((F.col("k") - 1) / 30).cast("long")).groupBy("source", "batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 )
 query("sl06_first_middle_last", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE k = 1 OR k = n OR k = floor(n / 2) + 1")(
-    lambda s, d: table(s, d, "documents").withColumns({"k": F.row_number().over(W.partitionBy("source").orderBy("doc_id")), "n": F.count("*").over(W.partitionBy("source"))}).where("k = 1 or k = n or k = floor(n / 2) + 1").select("source", "doc_id")
+    lambda s, d: group_row_number(table(s, d, "documents").select("doc_id", "source"), "source", ["doc_id"]).where("k = 1 or k = n or k = floor(n / 2) + 1").select("source", "doc_id")
 )
 query("sl07_head_middle_tail", "SELECT doc_id, substr(text, 1, 50) || '|' || substr(text, CAST(floor(length(text) / 2) AS BIGINT) + 1, 50) || '|' || right(text, 50) AS sample FROM documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", F.concat_ws("|", F.substring("text", 1, 50), F.substring(F.col("text"), F.floor(F.length("text") / 2).cast("int") + 1, F.lit(50)), F.right("text", F.lit(50))).alias("sample"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import rules as R
 from foliant.functions import text as X
-from foliant.operators.windows import top_per_key
+from foliant.operators.windows import group_row_number, top_per_key
 from foliant.plans.inject import INJ, injected
 from foliant.plans.q_aggregates import MESSAGE_SQL, messages
 from foliant.plans.q_text import NL, strip
@@ -101,7 +101,7 @@ query("src01_format_dispatch", "SELECT page_id, CASE lower(regexp_extract(u, '(\
     lambda s, d: table(s, d, "pages").withColumn("x", F.lower(F.regexp_extract(F.concat("url", F.element_at(F.array(*map(F.lit, (".TXT", ".epub", ".docx", ".pdf", ".doc"))), (F.col("page_id") % 5 + 1).cast("int"))), r"(\.[A-Za-z]+)$", 1))).select("page_id", F.when(F.col("x") == ".txt", "text").when(F.col("x") == ".epub", "epub").when(F.col("x") == ".docx", "docx").when(F.col("x") == ".pdf", "pdf").otherwise("unsupported").alias("format"))
 )
 query("src09_scan_classifier", "SELECT source, sum(length(trim(text))) FILTER (k = 1 OR k = n OR k = floor(n / 2) + 1) > 200 AS has_text FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) GROUP BY source")(
-    lambda s, d: table(s, d, "documents").withColumns({"k": F.row_number().over(W.partitionBy("source").orderBy("doc_id")), "n": F.count("*").over(W.partitionBy("source"))}).where("k = 1 or k = n or k = floor(n / 2) + 1").groupBy("source").agg((F.sum(F.length(F.trim("text"))) > 200).alias("has_text"))
+    lambda s, d: group_row_number(table(s, d, "documents").select("source", "doc_id", F.length(F.trim("text")).alias("size")), "source", ["doc_id"]).where("k = 1 or k = n or k = floor(n / 2) + 1").groupBy("source").agg((F.sum("size") > 200).alias("has_text"))
 )
 SPEC = "CASE event_id % 4 WHEN 0 THEN '1-3,7,' || user_id WHEN 1 THEN '[' || user_id || ', x, 5-2, 4-6]' WHEN 2 THEN ' ' ELSE '2,2,1' END"
 query("src12_page_ranges", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN list_sort(list_distinct([1, 2, 3, 7] || CASE WHEN user_id > 0 THEN [user_id] ELSE [] END)) WHEN 1 THEN list_sort(list_distinct([4, 5, 6] || CASE WHEN user_id > 0 THEN [user_id] ELSE [] END)) WHEN 2 THEN NULL ELSE [1, 2] END AS pages FROM events")(
