@@ -83,11 +83,19 @@ def punctuation_spacing(c: Column) -> Column:
     return F.regexp_replace(c, r"([.!?,;:])([A-Za-z])", "$1 $2")
 
 
+def _with_before(items: Column) -> Column:
+    """(x, before) structs: each item with the one before it.
+
+    A lambda that looked into ``items`` by position would compute that array anew for every item.
+    """
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0))))
+    return F.arrays_zip(items.alias("x"), before.alias("before"))
+
+
 def drop_repeated_lines(c: Column) -> Column:
     """Without lines that repeat the line before them; blank lines end a run."""
-    own = lines(c)
-    kept = F.filter(own, lambda x, i: (i == 0) | (strip(x) == "") | (strip(x) != strip(F.get(own, i - 1))))
-    return F.array_join(kept, "\n")
+    kept = F.filter(_with_before(lines(c)), lambda z: z["before"].isNull() | (strip(z["x"]) == "") | (strip(z["x"]) != strip(z["before"])))
+    return F.array_join(F.transform(kept, lambda z: z["x"]), "\n")
 
 
 def clean(c: Column, profile: str = "safe", advanced: bool = True) -> Column:
@@ -242,7 +250,8 @@ def tags_to_markdown(c: Column) -> Column:
 def minify(c: Column) -> Column:
     """Single blanks, trimmed lines, at most one empty line in a row."""
     own = F.transform(lines(strip(c)), lambda x: strip(F.regexp_replace(x, r"[ \t]+", " ")))
-    return F.array_join(F.filter(own, lambda x, i: (x != "") | (i == 0) | (F.get(own, i - 1) != "")), "\n")
+    kept = F.filter(_with_before(own), lambda z: (z["x"] != "") | z["before"].isNull() | (z["before"] != ""))
+    return F.array_join(F.transform(kept, lambda z: z["x"]), "\n")
 
 
 def minify_context(c: Column) -> Column:

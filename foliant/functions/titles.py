@@ -79,19 +79,18 @@ def pronoun_spans(text: Column) -> Column:
 def narrative_terms(text: Column, names: dict[str, str], quotes: tuple[str, ...] = ('""', "“”", "『』", "「」")) -> Column:
     """In lines that are no speech and name a character, other pronouns become the character's; names in their given order."""
 
+    def others(pronoun: str) -> str:
+        return "(?U)(?<!\\w)(?:" + "|".join(sorted((p for p in NARRATIVE_PRONOUNS if p != pronoun), key=len, reverse=True)) + ")(?!\\w)"
+
+    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(others(p)).alias("wrong"), F.lit(p).alias("right")) for n, p in names.items()])
+
     def line(x: Column) -> Column:
         own = strip(x)
         speech = reduce(lambda a, b: a | b, [own.startswith(q[0]) & own.endswith(q[1]) & (F.length(own) > 1) for q in quotes])
-        out = x
-        for name, pronoun in names.items():
-            fixed = out
-            for wrong in NARRATIVE_PRONOUNS:
-                if wrong != pronoun:
-                    fixed = F.regexp_replace(fixed, rf"(?U)(?<!\w){wrong}(?!\w)", pronoun)
-            out = F.when(out.contains(name), fixed).otherwise(out)
-        return F.when(speech, x).otherwise(out)
+        fixed = F.aggregate(rules, x, lambda a, r: F.when(a.contains(r["name"]), F.regexp_replace(a, r["wrong"], r["right"])).otherwise(a))
+        return F.when(speech, x).otherwise(fixed)
 
-    return F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")
+    return F.array_join(F.transform(F.split(text, "\n", -1), line), "\n") if names else text
 
 
 def compact_term(source: Column, pinyin: Column, new: Column, notes: Column) -> Column:

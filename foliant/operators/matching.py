@@ -52,9 +52,9 @@ def join_terms(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str
     Words are runs of letters, digits and underscores in lower case.
     """
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    placed = docs.select(key, words.alias("_w")).select(key, "_w", F.posexplode("_w").alias("_at", "_first"))
     parts = terms.select(term, F.filter(F.split(F.lower(F.col(term)), r"[^\p{L}\p{N}_]+"), lambda w: w != "").alias("_t")).where("size(_t) > 0").withColumn("_first", F.col("_t")[0])
     most = parts.agg(F.max(F.size("_t"))).first()[0] or 1
-    window = F.slice(F.col("_w"), F.col("_at") + 1, F.lit(most))
-    placed = placed.select(key, "_first", window.alias("_window"))
+    # Each word carries the few words after it, not its whole text.
+    window = F.transform("_w", lambda w, i: F.struct(w.alias("_first"), F.slice(F.col("_w"), i + 1, F.lit(most)).alias("_window")))
+    placed = docs.select(key, words.alias("_w")).select(key, F.explode(window).alias("_p")).select(key, "_p.*")
     return placed.join(parts, "_first").where(F.slice("_window", F.lit(1), F.size("_t")) == F.col("_t")).select(key, term).distinct()
