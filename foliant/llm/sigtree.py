@@ -10,13 +10,17 @@ To spread the join over tasks without losing a link:
 
 1. Equal sets become one class. Only classes are compared.
 2. Shingles are put in one global order, by hash, but with the very frequent ones (mergeable heavy
-   hitters of all texts, at most 65,536 of them) last, rarest first. Two sets of Jaccard similarity t share
-   one of their first n - ceil(t n) + 1 shingles; these are their keys.
+   hitters of all texts, at most HEAVY_SHARE of them) last, rarest first. Two sets of Jaccard similarity t share
+   l of their first n - ceil(t n) + l shingles; these are their keys, with l = ceil(n / KEY_SHARE).
 3. Rounds: classes with the same r-th key meet in blocks of bounded size, each joined by a signature tree;
    components of the links found leave one class each for the next round. This links most of what is
    alike at the price of one copy of each set.
-4. The exact rest: of all keys, those that still stand in two components. Their blocks (large ones as
-   pairs of chunks) are joined by signature trees of the bitmaps alone, and the pairs left are verified on whole sets.
+4. The exact rest: of all keys, those that still stand in two components; classes with fewer than l of them
+   go. A small block is a single leaf; pairs that bitmaps leave open are verified on whole sets. Classes of
+   large blocks form families by the keys they share, so each is sent once however many keys it shares.
+   Their sets are reduced to shingles that other candidates have too, which changes no overlap: classes with
+   too few of them go, and signature trees of each family (large ones as pairs of chunks, none with both chunks
+   of one component) find the links.
 
 Links between two classes of one component change no component and are not looked for.
 """
@@ -33,12 +37,19 @@ from pyspark.sql import functions as F
 from foliant.llm.components import connected_components
 from foliant.llm.tokens import mix, shingle_sets, shingles, slices, string_bytes, words
 from foliant.llm.work import Scratch, map_batches, tasks
+from foliant.operators.windows import group_row_number
 
 WORDS = 5
 #: Similarity as a fraction: link when DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
-ROUNDS, BLOCK, FANOUT = 2, 1024, 8
-HEAVY_SHARE, HEAVY_LEAST = 1 << 16, 64
+ROUNDS, BLOCK, FANOUT, SMALL = 2, 1024, 8, 24
+#: Keys are the upper 48 bits of a shingle's hash: enough to tell shingles apart, and a quarter less to shuffle.
+KEY_SHIFT = 16
+#: One in so many of a set's shingles is a key that it shares with a linked set.
+KEY_SHARE = 12
+#: log2 of the bits of the widest bitmap in a tree; larger sets fill theirs and are told apart by exact overlaps.
+WIDEST = 14
+HEAVY_SHARE, HEAVY_LEAST = 1 << 20, 16
 #: Shingles of which a task counts repeats at once.
 COUNTED = 1 << 22
 #: Bits of the bitmap that keeps sets nobody asked for out of a shuffle.
@@ -50,8 +61,14 @@ def needed(a, b):
     return -(-NUM * (a + b) // (NUM + DEN))
 
 
-def prefix_length(n):
-    return n - (-(-NUM * n // DEN)) + 1
+def least_common(n: int) -> int:
+    """How many keys a set of size n shares with a linked set that is at least as large."""
+    return max(1, -(-n // KEY_SHARE))
+
+
+def prefix_length(n: int) -> int:
+    """Keys of a set: n - NUM/DEN n + 1 would make linked sets share one, each further one makes them share one more."""
+    return n - (-(-NUM * n // DEN)) + least_common(n)
 
 
 def width(n: np.ndarray) -> np.ndarray:
@@ -77,32 +94,39 @@ def fold(maps: np.ndarray) -> np.ndarray:
 class SignatureTree:
     """Levels from the leaves (level 0) to the root; a node's children are FANOUT neighbours of the level below."""
 
-    def __init__(self, sizes: np.ndarray, maps: np.ndarray, order: np.ndarray | None = None, fanout: int = FANOUT):
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray, order: np.ndarray | None = None, fanout: int = FANOUT, held: np.ndarray | None = None, comp: np.ndarray | None = None):
+        """``held``: how many tokens of each set its bitmap stands for, all by default; the others are in no other set.
+
+        ``comp``: labels; nodes all of whose sets bear one and the same label are not compared.
+        """
         self.order = np.lexsort((sizes,)) if order is None else order
         size, bits = sizes[self.order].astype(np.int64), maps[self.order]
-        lost = size - np.bitwise_count(bits).sum(1).astype(np.int64)
-        self.fanout, self.levels = fanout, [(bits, size, size, lost)]
+        lost = (size if held is None else held[self.order].astype(np.int64)) - np.bitwise_count(bits).sum(1).astype(np.int64)
+        label = -1 - np.arange(len(size)) if comp is None else comp[self.order]
+        self.fanout, self.levels = fanout, [(bits, size, size, lost, label, label)]
         while len(self.levels[-1][1]) > 1:
-            bits, low, high, lost = self.levels[-1]
+            bits, low, high, lost, first, last = self.levels[-1]
             at = np.arange(0, len(low), fanout)
-            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(lost, at)))
+            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(lost, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)))
 
 
 def _possible(one, two, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether pairs of nodes a of ``one`` and b of ``two`` may hold linked sets."""
-    bits_a, low_a, high_a, lost_a = (x[a] for x in one)
-    bits_b, low_b, high_b, lost_b = (x[b] for x in two)
+    bits_a, low_a, high_a, lost_a, first_a, last_a = (x[a] for x in one)
+    bits_b, low_b, high_b, lost_b, first_b, last_b = (x[b] for x in two)
     ok = (DEN * high_a >= NUM * low_b) & (DEN * high_b >= NUM * low_a)
+    ok &= (first_a != last_a) | (first_b != last_b) | (first_a != first_b) | (first_a < 0)
     most = np.minimum(np.minimum(high_a, high_b), np.minimum(lost_a, lost_b) + np.bitwise_count(bits_a & bits_b).sum(1).astype(np.int64))
     return ok & (most >= needed(low_a, low_b))
 
 
-def dual_traversal(one: SignatureTree, two: SignatureTree | None = None, step: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def dual_traversal(one: SignatureTree, two: SignatureTree | None = None, step_bytes: int = 16 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Batches of (i, j): members that may be linked, each unordered pair once within a tree (two is None)."""
     same = two is None
     two = one if same else two
     if not len(one.levels[0][1]) or not len(two.levels[0][1]):
         return
+    step = max(64, step_bytes // one.levels[0][0][0].nbytes)
     stack = [(len(one.levels) - 1, len(two.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         u, v, a, b = stack.pop()
@@ -164,56 +188,55 @@ class Links:
 
 
 def join_sets(items: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among sets given as sorted arrays."""
+    """(member, least member linked to it) for the links among sets given as sorted arrays."""
     sizes = np.array([len(x) for x in items], np.int64)
-    log2 = int(width(sizes).max(initial=6))
+    log2 = min(WIDEST, int(width(sizes).max(initial=6)))
     maps = np.stack([bitmap(x, log2) for x in items])
     # Alike sets stand side by side in the tree: by their least items.
     least = np.array([x[min(1, len(x) - 1)] for x in items], np.uint64)
-    links, edges = Links(np.arange(len(items))), []
+    links = Links(np.arange(len(items)))
     for a, b in dual_traversal(SignatureTree(sizes, maps, np.lexsort((least, sizes)))):
         for i, j in zip(a.tolist(), b.tolist(), strict=True):
             if links.find(i) != links.find(j):
                 common = len(np.intersect1d(items[i], items[j], assume_unique=True))
                 if common >= needed(len(items[i]), len(items[j])):
                     links.join(i, j)
-                    edges.append((i, j))
-    return edges
+    return [(k, root) for k in range(len(items)) if (root := links.find(k)) != k]
 
 
-def heavy_shingles(docs: DataFrame) -> pa.Table:
+def heavy_shingles(docs: DataFrame, scratch: Scratch) -> pa.Table:
     """(shingle, n): at most HEAVY_SHARE shingles, among them all in over 2/HEAVY_SHARE of all occurrences.
 
     Each task counts its texts in parts and passes on shingles with over 1/HEAVY_SHARE of a part, so all
-    counts together lack less than that share of the total.
+    counts together lack less than that share of the total. Repeats within a text count too: all that matters
+    is that the order is one for all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out():
-            x = np.concatenate(held) if held else np.zeros(0, np.uint64)
-            u, n = np.unique(x, return_counts=True)
-            many = n >= max(8, len(x) / HEAVY_SHARE)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(u[many].view(np.int64), 0)), pa.array(np.append(n[many], 0)), pa.array(np.append(np.zeros(many.sum(), np.int64), len(x)))], ["shingle", "n", "total"])
+            x = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            least = int(max(8, len(x) // HEAVY_SHARE + 1))
+            # In sorted order, a value stands again ``least - 1`` places on just if it occurs so often.
+            often = np.unique(x[: len(x) - least + 1][x[: len(x) - least + 1] == x[least - 1 :]]) if len(x) >= least else x[:0]
+            n = np.searchsorted(x, often, "right") - np.searchsorted(x, often, "left")
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(often.view(np.int64), 0)), pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(len(often), np.int64), len(x)))], ["shingle", "n", "total"])
 
         for batch in batches:
             data, off = string_bytes(batch.column("text"))
             for i, j in slices(off):
-                x, at = shingles(words(data, off, i, j), WORDS)
-                if len(x):
-                    order = np.lexsort((x, at))
-                    x, at = x[order], at[order]
-                    new = np.ones(len(x), bool)
-                    new[1:] = (x[1:] != x[:-1]) | (at[1:] != at[:-1])
-                    held.append(x[new])
-                    size += int(new.sum())
+                x, _ = shingles(words(data, off, i, j), WORDS)
+                held.append(x)
+                size += len(x)
                 if size >= COUNTED:
                     yield from out()
                     held, size = [], 0
         yield from out()
 
     counts = map_batches(docs.select("text"), run, "shingle long, n long, total long").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    # At most HEAVY_SHARE shingles a part of COUNTED occurrences, and in the end HEAVY_SHARE of all.
+    counts = scratch.write(counts, "heavy")
     total = counts.agg(F.sum("total")).first()[0] or 0
     return counts.where(F.col("n") >= max(HEAVY_LEAST, total // HEAVY_SHARE + 1)).select("shingle", "n").toArrow()
 
@@ -247,7 +270,7 @@ def fingerprint(items: np.ndarray) -> tuple[int, int]:
 
 
 def _profiles(docs: DataFrame, order: Order) -> DataFrame:
-    """(doc_id, n, f1, f2, prefix) per row; the prefix only at the first of equal sets in a task."""
+    """(doc_id, th, n, f1, f2, prefix) per row; the prefix only at the first of equal sets in a task."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -260,21 +283,21 @@ def _profiles(docs: DataFrame, order: Order) -> DataFrame:
                 n.append(len(x))
                 f1.append(f[0])
                 f2.append(f[1])
-                keys.append(None if f in seen or not len(x) else o.prefix(x).view(np.int64))
+                keys.append(None if f in seen or not len(x) else (o.prefix(x) >> np.uint64(KEY_SHIFT)).view(np.int64))
                 if len(seen) < 1 << 20:
                     seen.add(f)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "f1", "f2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "th", "n", "f1", "f2", "prefix"])
 
-    return map_batches(docs, run, f"doc_id {kind}, n long, f1 long, f2 long, prefix array<long>")
+    return map_batches(docs.select("doc_id", "th", "text"), run, f"doc_id {kind}, th long, n long, f1 long, f2 long, prefix array<long>")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, maps_only: bool = False) -> DataFrame:
-    """The columns of wanted(f1, f2, n, ...) with ``items``, the set's sorted shingles (or its bitmap), made from the texts anew.
+    """The columns of wanted(th, f1, f2, n, ...) with ``items``, the set's sorted shingles (or its bitmap), made from the texts anew.
 
-    A bitmap of the wanted fingerprints, of fixed size, keeps most other sets out of the shuffle.
+    A bitmap of the wanted hashes of texts, of fixed size, tells tasks which texts nobody asked for.
     """
     spark = docs.sparkSession
-    bit = F.pmod(F.col("f1"), F.lit(FILTER_BITS))
+    bit = F.pmod(F.col("th"), F.lit(FILTER_BITS))
     parts = wanted.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.pmod(F.col("bit"), F.lit(32768))).alias("bits")).collect()
     flags = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in parts:
@@ -284,22 +307,27 @@ def _fetch(docs: DataFrame, wanted: DataFrame, maps_only: bool = False) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flag, seen = shared.value, set()
         for batch in batches:
-            f1, f2, n, items = [], [], [], []
-            for _, x in shingle_sets(batch.column("text"), WORDS):
-                f = fingerprint(x)
-                b = f[0] % FILTER_BITS
-                if not len(x) or not flag[b >> 3] >> (b & 7) & 1 or f in seen:
-                    continue
-                if len(seen) < 1 << 20:
-                    seen.add(f)
-                f1.append(f[0])
-                f2.append(f[1])
-                n.append(len(x))
-                items.append((bitmap(x, int(width(np.array([len(x)]))[0])) if maps_only else x).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(n, pa.int64()), pa.array(items, pa.binary())], ["f1", "f2", "n", "items"])
+            th = batch.column("th").to_numpy()
+            b = th % FILTER_BITS
+            asked = np.flatnonzero(flag[b >> 3] >> (b & 7) & 1)
+            new = [k for k in asked.tolist() if int(th[k]) not in seen]
+            if len(seen) < 1 << 20:
+                seen.update(th[new].tolist())
+            rows, f1, f2, n, items = [], [], [], [], []
+            for k, x in shingle_sets(batch.column("text").take(pa.array(new, pa.int64())), WORDS):
+                if len(x):
+                    f = fingerprint(x)
+                    rows.append(int(th[new[k]]))
+                    f1.append(f[0])
+                    f2.append(f[1])
+                    n.append(len(x))
+                    items.append((bitmap(x, int(width(np.array([len(x)]))[0])) if maps_only else x).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(n, pa.int64()), pa.array(items, pa.binary())], ["th", "f1", "f2", "n", "items"])
 
-    sets = map_batches(docs.select("text"), run, "f1 long, f2 long, n long, items binary").groupBy("f1", "f2", "n").agg(F.first("items").alias("items"))
-    return wanted.join(sets, ["f1", "f2", "n"])
+    sets = map_batches(docs.select("th", "text"), run, "th long, f1 long, f2 long, n long, items binary")
+    key = ["th", "f1", "f2", "n"]
+    # Tasks drop their own repeats, so a text that is copied all over comes once a task.
+    return wanted.join(sets, key).dropDuplicates([c for c in wanted.columns if c in (*key, "cid")])
 
 
 def _block_join(group: pa.Table) -> pa.Table:
@@ -308,32 +336,103 @@ def _block_join(group: pa.Table) -> pa.Table:
     return pa.table([pa.array([cid[i] for i, _ in edges], pa.int64()), pa.array([cid[j] for _, j in edges], pa.int64())], ["a", "b"])
 
 
-def _candidates(group: pa.Table) -> pa.Table:
-    """Pairs of different components that signature trees of the bitmaps leave open."""
+def _large_join(group: pa.Table) -> pa.Table:
+    """(cid, cid of a member linked to it) for links of different components in a chunk of a family, or between two chunks.
+
+    ``items`` are the shingles that other candidates have too: two sets have nothing else in common, so
+    overlaps are exact, and bitmaps of these alone let whole subtrees drop out.
+    """
     one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
     cid, n, comp, chunk = (group.column(c).to_numpy() for c in ("cid", "n", "comp", "chunk"))
-    raw = group.column("items").to_pylist()
-    log2, found = width(n), []
-    for w in np.unique(log2).tolist():
-        level = np.flatnonzero(log2 == w)
-        maps = np.stack([np.frombuffer(raw[k], np.uint64) for k in level])
-        above = np.flatnonzero(log2 == w + 1)
-        folded = fold(np.stack([np.frombuffer(raw[k], np.uint64) for k in above])) if len(above) else None
-        for side in (one,) if one == two else (one, two):
-            other = two if side == one else one
-            x = chunk[level] == side
-            y = chunk[level] == other
-            if one == two or side == one:
-                t = SignatureTree(n[level[x]], maps[x])
-                pairs = dual_traversal(t) if one == two else dual_traversal(t, SignatureTree(n[level[y]], maps[y]))
-                found += [(level[x][a], level[x if one == two else y][b]) for a, b in pairs]
-            if folded is not None:
-                z = chunk[above] == other
-                found += [(level[x][a], above[z][b]) for a, b in dual_traversal(SignatureTree(n[level[x]], maps[x]), SignatureTree(n[above[z]], folded[z]))]
-    a, b = (np.concatenate(v) if found else np.zeros(0, np.int64) for v in (zip(*found, strict=True) if found else ((), ())))
-    open_ = comp[a] != comp[b]
-    a, b = cid[a[open_]], cid[b[open_]]
-    return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    items = [np.frombuffer(x, np.uint64) for x in group.column("items").to_pylist()]
+    log2 = min(WIDEST, int(width(np.array([max(map(len, items)) * 8]))[0]))
+    maps = np.stack([bitmap(x, log2) for x in items])
+    held = np.array([len(x) for x in items], np.int64)
+    links, edges = Links(comp), []
+
+    def tree(rows: np.ndarray) -> SignatureTree:
+        return SignatureTree(n[rows], maps[rows], np.lexsort((n[rows], comp[rows])), held=held[rows], comp=comp[rows])
+
+    if one == two:
+        left = right = np.arange(len(cid))
+        pairs = dual_traversal(tree(left))
+    else:
+        left, right = np.flatnonzero(chunk == one), np.flatnonzero(chunk == two)
+        pairs = dual_traversal(tree(left), tree(right)) if len(left) and len(right) else ()
+    for a, b in pairs:
+        for i, j in zip(left[a].tolist(), right[b].tolist(), strict=True):
+            if links.find(i) != links.find(j):
+                if len(np.intersect1d(items[i], items[j], assume_unique=True)) >= needed(n[i], n[j]):
+                    links.join(i, j)
+                    edges.append((cid[i], cid[j]))
+    return pa.table([pa.array([x for x, _ in edges], pa.int64()), pa.array([y for _, y in edges], pa.int64())], ["a", "b"])
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """(cid, items) of rows(cid, shingle): each class's shingles as one sorted array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not held:
+            return
+        cid, x = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((x.view(np.uint64), cid))
+        cid, x = cid[order], x[order].view(np.uint64)
+        ids, at = np.unique(cid, return_index=True)
+        parts = np.split(x, at[1:])
+        for k in range(0, len(ids), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 256]), pa.array([p.tobytes() for p in parts[k : k + 256]], pa.binary())], ["cid", "items"])
+
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    return rows.select("cid", "shingle").repartition(tasks(rows.sparkSession), "cid").mapInArrow(run, "cid long, items binary")
+
+
+def _common(sets: DataFrame, heavy: pa.Table) -> DataFrame:
+    """(cid, shingle) rows of sets(cid, items) for shingles that several of the sets have; heavy ones pass unseen."""
+    spark = sets.sparkSession
+    known = spark.sparkContext.broadcast(np.sort(heavy.column("shingle").to_numpy()))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = known.value
+        for batch in batches:
+            parts = [np.frombuffer(x, np.int64) for x in batch.column("items").to_pylist()]
+            if not parts:
+                continue
+            x, cid = np.concatenate(parts), np.repeat(batch.column("cid").to_numpy(), [len(p) for p in parts])
+            at = np.minimum(np.searchsorted(hot, x), max(0, len(hot) - 1))
+            is_hot = hot[at] == x if len(hot) else np.zeros(len(x), bool)
+            for k in range(0, len(x), 1 << 16):
+                s = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(x[s]), pa.array(cid[s]), pa.array(is_hot[s])], ["key", "cid", "hot"])
+
+    rows = map_batches(sets.select("cid", "items"), spread, "key long, cid long, hot boolean").withColumn("n", F.lit(0).cast("long"))
+    cool = _shared_keys(rows.where("not hot").select("key", "cid", "n"))
+    return cool.unionByName(rows.where("hot").select("key", "cid", "n")).select("cid", F.col("key").alias("shingle"))
+
+
+def _large_blocks(many: DataFrame, docs: DataFrame, ids: DataFrame, heavy: pa.Table, block: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) among classes that share keys of many(key, cid, comp)."""
+    asked = ids.join(many.select("cid").distinct(), "cid", "left_semi")
+    sets = scratch.write(_fetch(docs, asked).select("cid", "n", "items"), "large-sets")
+    common = scratch.write(_gathered(_common(sets, heavy)), "large-common")
+    scratch.sweep("large-sets")
+    # Linked sets share NUM/DEN of the larger one.
+    able = scratch.write(ids.select("cid", "n").join(common, "cid").where(F.octet_length("items") / 8 * DEN >= F.col("n") * NUM), "able")
+    rows = many.join(able.select("cid"), "cid", "left_semi")
+    stars = rows.select("cid", "key").join(rows.groupBy("key").agg(F.min("cid").alias("b")), "key").select(F.col("cid").alias("a"), "b")
+    family = connected_components(stars, scratch, "families").select(F.col("id").alias("cid"), F.col("component").alias("family"))
+    member = rows.select("cid", "comp").distinct().join(family, "cid", "left").withColumn("family", F.coalesce("family", "cid"))
+    split = member.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("family")
+    member = scratch.write(member.join(split, "family", "left_semi"), "members")
+    placed = scratch.write(group_row_number(member, "family", ["comp", "cid"]).select("family", "cid", "comp", F.floor((F.col("k") - 1) / block).cast("int").alias("chunk")), "placed")
+    chunks = placed.groupBy("family", "chunk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    one, two = (chunks.select("family", *[F.col(c).alias(f"{c}_{k}") for c in ("chunk", "lo", "hi")]) for k in (1, 2))
+    pairs = one.join(two, "family").where("chunk_1 <= chunk_2 and not (lo_1 = hi_1 and lo_2 = hi_2 and lo_1 = lo_2)").select("family", F.col("chunk_1").alias("one"), F.col("chunk_2").alias("two"))
+    pairs = scratch.write(pairs, "chunk-pairs")
+    left = placed.join(pairs.withColumn("chunk", F.col("one")), ["family", "chunk"])
+    right = placed.join(pairs.where("one < two").withColumn("chunk", F.col("two")), ["family", "chunk"])
+    work = left.unionByName(right).join(able, "cid")
+    return scratch.write(work.groupBy("family", "one", "two").applyInArrow(_large_join, "a long, b long"), "large-edges")
 
 
 def _shared_keys(keyed: DataFrame) -> DataFrame:
@@ -358,12 +457,68 @@ def _shared_keys(keyed: DataFrame) -> DataFrame:
     return keyed.repartition(tasks(spark), "key").mapInArrow(run, "key long, cid long, n long")
 
 
-def _labelled(df: DataFrame, comp: DataFrame | None) -> DataFrame:
-    if comp is None:
-        return df.withColumn("comp", F.col("cid"))
+def _labelled(df: DataFrame, comp: DataFrame) -> DataFrame:
     return df.join(comp.select(F.col("id").alias("cid"), F.col("component").alias("comp")), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
 
+def _small_blocks(hits: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components and sizes that may be linked, over blocks of at most SMALL rows.
+
+    Such a block is one leaf of a signature tree; all leaves of a partition are compared at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not held:
+            return
+        key, cid, n, comp = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, cid, n, comp = key[order], cid[order], n[order], comp[order]
+        found = []
+        for step in range(1, SMALL):
+            if step >= len(key):
+                break
+            i = np.flatnonzero(key[:-step] == key[step:])
+            if not len(i):
+                break
+            j = i + step
+            ok = (comp[i] != comp[j]) & (DEN * n[i] >= NUM * n[j]) & (DEN * n[j] >= NUM * n[i])
+            a, b = cid[i[ok]], cid[j[ok]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        for k in range(0, len(pairs), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + (1 << 16), 0]), pa.array(pairs[k : k + (1 << 16), 1])], ["a", "b"])
+
+    return hits.select("key", "cid", "n", "comp").repartition(tasks(hits.sparkSession), "key").mapInArrow(run, "a long, b long")
+
+
+def _possible_pairs(pairs: DataFrame) -> DataFrame:
+    """Of pairs(a, b, n_a, n_b, x, y), those whose bitmaps x and y allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                while len(x) > len(y):
+                    x = fold(x[None])[0]
+                while len(y) > len(x):
+                    y = fold(y[None])[0]
+                common = int(np.bitwise_count(x & y).sum())
+                lost = min(n_a[k] - int(np.bitwise_count(x).sum()), n_b[k] - int(np.bitwise_count(y).sum()))
+                keep[k] = min(common + lost, n_a[k], n_b[k]) >= needed(n_a[k], n_b[k])
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return map_batches(pairs, run, "a long, b long")
+
+
+def _compose(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """(id, component) of ids of ``comp`` whose components are ids of ``more``, and of the ids of ``more``."""
+    step = more.select(F.col("id").alias("component"), F.col("component").alias("next"))
+    return comp.join(step, "component", "left").select("id", F.coalesce("next", "component").alias("component")).unionByName(more)
+
+
 def jaccard_components(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id) per row.
 
@@ -372,48 +527,75 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, id_column: str =
     rows are equal sets.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    heavy = heavy_shingles(docs)
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    docs = documents.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    heavy = heavy_shingles(docs, scratch)
     rows = scratch.write(_profiles(docs, Order(heavy)), "rows")
-    classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("low"), F.first("prefix", ignorenulls=True).alias("prefix"))
+    classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("low"), F.min("th").alias("th"), F.first("prefix", ignorenulls=True).alias("prefix"))
     classes = scratch.write(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    edges, comp = None, None
+    rows = scratch.write(rows.drop("prefix"), "plain")
+    scratch.sweep("heavy", "rows")
+    comp = spark.createDataFrame([], "id long, component long")
     for r in range(rounds):
-        active = _labelled(classes.select("cid", "f1", "f2", "n", F.get("prefix", F.lit(r)).alias("key")), comp).where("cid = comp and key is not null")
+        # One class of each component goes on.
+        active = classes.select("cid", "th", "f1", "f2", "n", F.get("prefix", F.lit(r)).alias("key")).where("key is not null")
+        if r:
+            active = active.join(comp.select(F.col("id").alias("cid")), "cid", "left_anti")
         counts = active.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
         chunk = F.pmod(F.xxhash64("cid"), F.ceil(F.col("members") / block)).cast("int")
-        wanted = scratch.write(active.join(counts, "key").select("f1", "f2", "n", "cid", "key", chunk.alias("chunk")), f"wanted-{r}")
-        found = scratch.write(_fetch(docs, wanted).groupBy("key", "chunk").applyInArrow(_block_join, "a long, b long"), f"edges-{r}")
-        edges = found if edges is None else edges.unionByName(found)
-        comp = connected_components(edges, scratch, f"components-{r}")
+        wanted = scratch.write(active.join(counts, "key").select("th", "f1", "f2", "n", "cid", "key", chunk.alias("chunk")), f"wanted-{r}")
+        edges = scratch.write(_fetch(docs, wanted).groupBy("key", "chunk").applyInArrow(_block_join, "a long, b long"), f"edges-{r}")
+        comp = scratch.write(_compose(comp, connected_components(edges, scratch, f"components-{r}")), f"comp-{r}")
+        scratch.sweep(f"wanted-{r}", f"edges-{r}")
     keyed = classes.select(F.explode("prefix").alias("key"), "cid", "n")
     if heavy.num_rows:
-        table = F.broadcast(spark.createDataFrame(heavy.select(["shingle"]).rename_columns(["key"])))
+        often = np.unique(heavy.column("shingle").to_numpy().view(np.uint64) >> np.uint64(KEY_SHIFT))
+        table = F.broadcast(spark.createDataFrame(pa.table({"key": pa.array(often.view(np.int64))})))
         shared = _shared_keys(keyed.join(table, "key", "left_anti")).unionByName(keyed.join(table, "key", "left_semi"))
     else:
         shared = _shared_keys(keyed)
     shared = scratch.write(_labelled(scratch.write(shared, "shared"), comp), "labelled")
-    several = shared.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
-    hits = scratch.write(shared.join(several, "key"), "hits")
-    ids = classes.select("cid", "f1", "f2", "n")
-    maps = scratch.write(_fetch(docs, ids.join(hits.select("cid").distinct(), "cid", "left_semi"), maps_only=True).select("cid", "items"), "maps")
-    chunks = F.ceil(F.col("members") / block).cast("int")
-    spread = hits.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("cid", "key"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    spread = spread.select("key", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "cid", "n", "comp").join(maps, "cid")
-    pairs = scratch.write(spread.groupBy("key", "one", "two").applyInArrow(_candidates, "a long, b long").distinct(), "pairs")
-    last = scratch.write(_verified(docs, ids, pairs, scratch), "edges-last")
-    comp = connected_components(edges.unionByName(last) if edges is not None else last, scratch, "components-last")
+    several = shared.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    hits = scratch.write(shared.join(several, "key"), "hits-all")
+    scratch.sweep("shared", "labelled")
+    # A linked set may be smaller, down to NUM/DEN of this one, and share as few keys as that size allows.
+    fewest = F.ceil(F.ceil(F.col("n") * NUM / DEN) / KEY_SHARE)
+    enough = hits.groupBy("cid", "n").agg(F.count("*").alias("keys")).where(F.col("keys") >= fewest).select("cid")
+    hits = hits.join(enough, "cid", "left_semi")
+    several = hits.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
+    hits = scratch.write(hits.join(several, "key"), "hits")
+    scratch.sweep("hits-all")
+    few = scratch.write(_small_blocks(hits.where(F.col("members") <= SMALL)).distinct(), "few")
+    ids = classes.select("cid", "th", "f1", "f2", "n")
+    asked = few.select(F.col("a").alias("cid")).unionByName(few.select(F.col("b").alias("cid"))).distinct()
+    maps = scratch.write(_fetch(docs, ids.join(asked, "cid", "left_semi"), maps_only=True).select("cid", "n", "items"), "maps")
+    x, y = (maps.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("items").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    pairs = scratch.write(_possible_pairs(few.join(x, "a").join(y, "b")), "pairs")
+    comp = _joined(comp, _verified(docs, ids, pairs, scratch, "small"), scratch, "small")
+    scratch.sweep("few", "maps", "pairs", "sets-small", "linked-small")
+    many = scratch.write(_labelled(hits.where(F.col("members") > SMALL).select("key", "cid"), comp), "many")
+    scratch.sweep("hits")
+    comp = _joined(comp, _large_blocks(many, docs, ids, heavy, block, scratch), scratch, "large")
     named = _labelled(classes.select("cid", "f1", "f2", "n", "low"), comp)
     least = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     done = scratch.write(named.join(least, "comp").select("f1", "f2", "n", "component_id"), "done")
+    # What is left for the result to read: the rows and their components.
+    scratch.sweep("classes", "many", "large-common", "able", "members", "placed", "chunk-pairs", "large-edges", *(f"comp-{n}" for n in (*range(rounds), "small", "large")))
     out = rows.select("doc_id", "n", "f1", "f2").join(done, ["f1", "f2", "n"], "left")
     return out.select(F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+def _joined(comp: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Components after further edges (a, b) between classes."""
+    for side in ("a", "b"):
+        edges = edges.join(comp.select(F.col("id").alias(side), F.col("component").alias("to")), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+    return scratch.write(_compose(comp, connected_components(edges, scratch, f"components-{name}")), f"comp-{name}")
+
+
+def _verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Pairs (a, b) of classes whose whole sets are linked."""
     both = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    sets = scratch.write(_fetch(docs, ids.join(both, "cid", "left_semi")).select("cid", "items"), "sets")
+    sets = scratch.write(_fetch(docs, ids.join(both, "cid", "left_semi")).select("cid", "items"), f"sets-{name}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -425,7 +607,7 @@ def _verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame, scratch: Scratc
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
     x, y = (sets.select(F.col("cid").alias(c), F.col("items").alias(v)) for c, v in (("a", "x"), ("b", "y")))
-    return map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), run, "a long, b long")
+    return scratch.write(map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), run, "a long, b long"), f"linked-{name}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

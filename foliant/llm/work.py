@@ -8,6 +8,7 @@ is absent, as in tests on one machine.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,6 +53,17 @@ class Scratch:
             pass
 
 
+    def sweep(self, *names: str) -> None:
+        """Drops tables that no later step reads, and lets Spark delete the shuffle files of jobs that are over.
+
+        Spark deletes those only when the driver collects garbage, which a driver that just waits may not do for long.
+        """
+        for name in names:
+            self.drop(name)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches bounded in rows and bytes, whatever the length of the texts."""
     conf = df.sparkSession.conf

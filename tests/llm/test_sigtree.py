@@ -88,6 +88,24 @@ def test_fold_is_the_narrower_bitmap():
     assert (S.fold(S.bitmap(x, 10)[None])[0] == S.bitmap(x, 9)).all()
 
 
+def test_linked_sets_share_enough_keys():
+    rng = np.random.default_rng(5)
+    import pyarrow as pa
+
+    order = S.Order(pa.table({"shingle": pa.array([], pa.int64()), "n": pa.array([], pa.int64())}))
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        universe = np.unique(rng.integers(0, 1 << 60, 2 * n + 8).astype(np.uint64))
+        rng.shuffle(universe)
+        a = np.sort(universe[:n])
+        drop, add = rng.integers(0, n // 5 + 1), rng.integers(0, n // 5 + 1)
+        b = np.sort(np.concatenate([rng.permutation(a)[drop:], universe[n : n + add]]))
+        if len(b) and len(np.intersect1d(a, b)) >= S.needed(len(a), len(b)):
+            shared = len(np.intersect1d(order.prefix(a), order.prefix(b)))
+            for size in (len(a), len(b)):
+                assert shared >= -(-(-(-S.NUM * size // S.DEN)) // S.KEY_SHARE)
+
+
 def test_integer_bounds():
     for a in range(1, 60):
         for b in range(1, 60):
