@@ -368,53 +368,81 @@ def _large_join(group: pa.Table) -> pa.Table:
     return pa.table([pa.array([x for x, _ in edges], pa.int64()), pa.array([y for _, y in edges], pa.int64())], ["a", "b"])
 
 
-def _gathered(rows: DataFrame) -> DataFrame:
-    """(cid, items) of rows(cid, shingle): each class's shingles as one sorted array."""
+def _pack(kind: int, bucket: np.ndarray, x: np.ndarray, cid: np.ndarray) -> pa.RecordBatch:
+    """A row (kind, bucket, data) for each bucket: its (shingle, cid) pairs as bytes."""
+    order = np.argsort(bucket, kind="stable")
+    names, at = np.unique(bucket[order], return_index=True)
+    pairs = np.stack([x.view(np.int64)[order], cid[order]], 1)
+    data = [part.tobytes() for part in np.split(pairs, at[1:])] if len(names) else []
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(names), pa.int32()), pa.array(names, pa.int32()), pa.array(data, pa.binary())], ["kind", "bucket", "data"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy() for c in b.columns] for b in batches]
-        if not held:
-            return
-        cid, x = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((x.view(np.uint64), cid))
-        cid, x = cid[order], x[order].view(np.uint64)
-        ids, at = np.unique(cid, return_index=True)
-        parts = np.split(x, at[1:])
-        for k in range(0, len(ids), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 256]), pa.array([p.tobytes() for p in parts[k : k + 256]], pa.binary())], ["cid", "items"])
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    return rows.select("cid", "shingle").repartition(tasks(rows.sparkSession), "cid").mapInArrow(run, "cid long, items binary")
+def _unpack(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 2) for d in data]) if data else np.zeros((0, 2), np.int64)
+    return np.ascontiguousarray(pairs[:, 0]).view(np.uint64), np.ascontiguousarray(pairs[:, 1])
 
 
 def _common(sets: DataFrame, heavy: pa.Table) -> DataFrame:
-    """(cid, shingle) rows of sets(cid, items) for shingles that several of the sets have; heavy ones pass unseen."""
+    """(cid, items): of sets(cid, items), the shingles that several of the sets have, sorted; heavy ones pass unseen.
+
+    Pairs of shingle and class travel packed by bucket, first by shingle to be compared, then by class.
+    """
     spark = sets.sparkSession
-    known = spark.sparkContext.broadcast(np.sort(heavy.column("shingle").to_numpy()))
+    buckets = 4 * tasks(spark)
+    known = spark.sparkContext.broadcast(np.sort(heavy.column("shingle").to_numpy().view(np.uint64)))
+
+    def by_class(x: np.ndarray, cid: np.ndarray) -> pa.RecordBatch:
+        return _pack(1, (mix(cid.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), x, cid)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = known.value
         for batch in batches:
-            parts = [np.frombuffer(x, np.int64) for x in batch.column("items").to_pylist()]
+            parts = [np.frombuffer(x, np.uint64) for x in batch.column("items").to_pylist()]
             if not parts:
                 continue
             x, cid = np.concatenate(parts), np.repeat(batch.column("cid").to_numpy(), [len(p) for p in parts])
             at = np.minimum(np.searchsorted(hot, x), max(0, len(hot) - 1))
             is_hot = hot[at] == x if len(hot) else np.zeros(len(x), bool)
-            for k in range(0, len(x), 1 << 16):
-                s = slice(k, k + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(x[s]), pa.array(cid[s]), pa.array(is_hot[s])], ["key", "cid", "hot"])
+            yield _pack(0, (mix(x[~is_hot]) % np.uint64(buckets)).astype(np.int64), x[~is_hot], cid[~is_hot])
+            yield by_class(x[is_hot], cid[is_hot])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        for batch in batches:
+            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if kind:
+                    yield by_class(*_unpack([data]))
+                else:
+                    held.append(data)
+        x, cid = _unpack(held)
+        held.clear()
+        order = np.argsort(x, kind="stable")
+        x, cid = x[order], cid[order]
+        same = np.zeros(len(x) + 1, bool)
+        same[1:-1] = x[1:] == x[:-1]
+        many = same[1:] | same[:-1]
+        yield by_class(x[many], cid[many])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, cid = _unpack([d for batch in batches for d in batch.column("data").to_pylist()])
+        order = np.lexsort((x, cid))
+        x, cid = x[order], cid[order]
+        ids, at = np.unique(cid, return_index=True)
+        parts = np.split(x, at[1:]) if len(ids) else []
+        for k in range(0, len(ids), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 256]), pa.array([p.tobytes() for p in parts[k : k + 256]], pa.binary())], ["cid", "items"])
 
-    rows = map_batches(sets.select("cid", "items"), spread, "key long, cid long, hot boolean").withColumn("n", F.lit(0).cast("long"))
-    cool = _shared_keys(rows.where("not hot").select("key", "cid", "n"))
-    return cool.unionByName(rows.where("hot").select("key", "cid", "n")).select("cid", F.col("key").alias("shingle"))
+    schema, n = "kind int, bucket int, data binary", tasks(spark)
+    pairs = map_batches(sets.select("cid", "items"), spread, schema).repartition(n, "kind", "bucket")
+    met = map_batches(pairs, compare, schema).repartition(n, "bucket")
+    return map_batches(met, gather, "cid long, items binary")
 
 
 def _large_blocks(many: DataFrame, docs: DataFrame, ids: DataFrame, heavy: pa.Table, block: int, scratch: Scratch) -> DataFrame:
     """Edges (a, b) among classes that share keys of many(key, cid, comp)."""
     asked = ids.join(many.select("cid").distinct(), "cid", "left_semi")
     sets = scratch.write(_fetch(docs, asked).select("cid", "n", "items"), "large-sets")
-    common = scratch.write(_gathered(_common(sets, heavy)), "large-common")
+    common = scratch.write(_common(sets, heavy), "large-common")
     scratch.sweep("large-sets")
     # Linked sets share NUM/DEN of the larger one.
     able = scratch.write(ids.select("cid", "n").join(common, "cid").where(F.octet_length("items") / 8 * DEN >= F.col("n") * NUM), "able")
@@ -452,9 +480,7 @@ def _shared_keys(keyed: DataFrame) -> DataFrame:
             s = slice(k, k + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(key[many][s]), pa.array(cid[many][s]), pa.array(n[many][s])], ["key", "cid", "n"])
 
-    spark = keyed.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    return keyed.repartition(tasks(spark), "key").mapInArrow(run, "key long, cid long, n long")
+    return map_batches(keyed.repartition(tasks(keyed.sparkSession), "key"), run, "key long, cid long, n long", rows=50_000)
 
 
 def _labelled(df: DataFrame, comp: DataFrame) -> DataFrame:
@@ -489,7 +515,7 @@ def _small_blocks(hits: DataFrame) -> DataFrame:
         for k in range(0, len(pairs), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + (1 << 16), 0]), pa.array(pairs[k : k + (1 << 16), 1])], ["a", "b"])
 
-    return hits.select("key", "cid", "n", "comp").repartition(tasks(hits.sparkSession), "key").mapInArrow(run, "a long, b long")
+    return map_batches(hits.select("key", "cid", "n", "comp").repartition(tasks(hits.sparkSession), "key"), run, "a long, b long", rows=50_000)
 
 
 def _possible_pairs(pairs: DataFrame) -> DataFrame:
