@@ -28,11 +28,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A document without an id stays unless an equal one has an id.
     """
     scratch = Scratch(spark, "duplicates")
-    groups = sigtree.jaccard_components(docs.select("doc_id", "text"), scratch)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    # Written first, so that its size is known before Spark chooses how to join.
-    kept = scratch.write(kept, "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    groups = scratch.write(sigtree.jaccard_components(docs.select("doc_id", "text"), scratch, with_hash=True), "groups")
+    # Written first, so that its size is known before Spark chooses how to join. Texts are dealt once, by id, for
+    # the join and the repeats alike.
+    kept = scratch.write(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    alone = scratch.write(groups.where("doc_id is null and component_id is null").select("text_hash").distinct(), "alone")
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    nameless = docs.where("doc_id is null").join(alone, text_hash == alone["text_hash"], "left_semi").dropDuplicates(["text"])
+    return named.unionByName(nameless)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -545,8 +545,8 @@ def _compose(comp: DataFrame, more: DataFrame) -> DataFrame:
     return comp.join(step, "component", "left").select("id", F.coalesce("next", "component").alias("component")).unionByName(more)
 
 
-def jaccard_components(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
-    """(id, n_shingles, component_id) per row.
+def jaccard_components(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS, block: int = BLOCK, with_hash: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) per row, ``with_hash`` with text_hash, the xxhash64 of the text (null: empty).
 
     component_id is the smallest id reachable by links. Texts that are null, empty or without words have
     an empty set and link with nothing; a row without id has the component of its equals, if any has one. Repeated
@@ -607,8 +607,8 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, id_column: str =
     done = scratch.write(named.join(least, "comp").select("f1", "f2", "n", "component_id"), "done")
     # What is left for the result to read: the rows and their components.
     scratch.sweep("classes", "many", "large-common", "able", "members", "placed", "chunk-pairs", "large-edges", *(f"comp-{n}" for n in (*range(rounds), "small", "large")))
-    out = rows.select("doc_id", "n", "f1", "f2").join(done, ["f1", "f2", "n"], "left")
-    return out.select(F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.select("doc_id", "th", "n", "f1", "f2").join(done, ["f1", "f2", "n"], "left")
+    return out.select(F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *([F.col("th").alias("text_hash")] if with_hash else []))
 
 
 def _joined(comp: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
