@@ -1,11 +1,14 @@
 """HTML main-text extraction by two passes of block rules.
 
 A page is cut into blocks at block-level tags. Pass 1 decides a block from its stop-word density, length
-and link density, given where it stands: blocks inside boilerplate containers (by tag, role, class or
-id) are bad whatever they say; blocks directly inside an article or main element are good unless links
-dominate them; all others follow the density rules, which leave short and middling blocks open. Pass 2
+and link density, on every page alike: blocks inside boilerplate containers (by tag, role, class or
+id) are bad whatever they say; all others follow the density rules, which leave short and middling blocks
+open. An article or main element is a prior: what stands directly inside one is judged one step better,
+so that it is good or open, never bad outright; blocks outside it are judged as on any page. Pass 2
 gives each open block the label of its nearest decided neighbours: a heading goes with what follows, equal labels on both sides pass over,
 otherwise middling blocks next to content are kept and short ones go with the nearer side (bad on a tie).
+Inside an article or main element only good neighbours count, as boilerplate beside it says nothing about it; a short
+block of links there is bad only if no block of the page inside such elements is good or middling.
 
 A tag left open ends with its parent; comments, scripts, styles, forms and other hidden elements have no
 text. An unfinished tag at the end of a page is dropped.
@@ -54,7 +57,7 @@ BAD_WORDS = frozenset(
     """.split()
 )
 MAIN_TAGS = frozenset(("article", "main"))
-LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS_HIGH, MAIN_LINKS_HIGH = 70, 200, 0.18, 0.28, 0.34, 0.5
+LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS_HIGH = 70, 200, 0.18, 0.28, 0.34
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[a-zA-Z/][^<>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -192,34 +195,38 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def decide(block: Block, has_main: bool) -> str:
+def decide(block: Block) -> str:
     """Pass 1: good, bad, near (middling) or short."""
     size, links = len(block.text), block.link_chars / len(block.text)
     if block.bad:
         return "bad"
-    if has_main:
-        return "good" if block.main and links <= MAIN_LINKS_HIGH else "bad"
-    if links > LINKS_HIGH:
-        return "bad"
     if size < LENGTH_LOW:
-        return "bad" if block.link_chars else "short"
-    density = stop_density(block.text)
-    if density >= STOP_HIGH:
-        return "good" if size > LENGTH_HIGH else "near"
-    return "near" if density >= STOP_LOW else "bad"
+        kind = "bad" if block.link_chars else "short"
+        if links <= LINKS_HIGH and block.main:
+            kind = "short"
+    elif links > LINKS_HIGH:
+        kind = "bad"
+    else:
+        density = stop_density(block.text)
+        kind = "bad" if density < STOP_LOW else "good" if density >= STOP_HIGH and size > LENGTH_HIGH else "near"
+    if not block.main:
+        return kind
+    return {"bad": "short" if size < LENGTH_LOW else "near", "short": "near", "near": "good", "good": "good"}[kind]
 
 
 def label(found: list[Block]) -> list[Block]:
     """Both passes over the blocks of a page."""
-    has_main = any(b.main for b in found)
-    for b in found:
-        b.label = decide(b, has_main)
-    first = [b.label for b in found]
+    first = [decide(b) for b in found]
+    content = any(b.main and x in ("good", "near") for b, x in zip(found, first, strict=True))
     settled = [k for k, x in enumerate(first) if x in ("good", "bad")]
     at = 0
     for k, kind in enumerate(first):
+        found[k].label = kind
         if kind in ("good", "bad"):
             continue
+        if found[k].main:
+            found[k].label = "good" if kind == "near" or content else "bad"
+            continue
         while at < len(settled) and settled[at] < k:
             at += 1
         left = settled[at - 1] if at else None

@@ -40,3 +40,17 @@ def test_table(spark):
     got = [(r.page_id, r.url, r.text[:3], r.n_chars) for r in extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()]
     assert sorted(got, key=str) == sorted([(1, "u", "", 0), (None, None, "é", 1), (2, "u", "w\n\n", 20_000 * 3 - 2), (2, "u", "", 0)], key=str)
     assert extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_main_text_beside_a_teaser_article():
+    teaser = "<article class=card><h3><a href=x>Another story</a></h3><p>Read on.</p></article>"
+    got = extract(f"<div><a href=a>Home</a></div><div><p>{LONG}</p><p>{LONG}</p></div>{teaser}<div><p>{LONG}</p></div><div class=sidebar><p>{LONG}</p></div>")
+    assert got.count(LONG.strip()) == 3
+
+
+def test_paragraphs_of_links_in_an_article_stay():
+    linked = "<a href=x>the report of the year and the list of all that was in it</a> is here for you"
+    cited = "<a href=y>Kessler, Brandt, Olsen: Granite quarries, railway sidings, harbour cranes, 1931</a>"
+    got = extract(f"<article><p>{LONG}</p><p>{linked}</p><p>{cited}</p><p><a href=z>full text</a></p></article>")
+    assert "the list of all" in got and "Granite quarries" in got and "full text" in got
+    assert extract("<article class=card><a href=x>more</a></article><p>" + LONG + "</p>") == LONG.strip()
