@@ -5,9 +5,11 @@ each step emits the symbol under it, then advances or stays as a random function
 so two strings that differ by a few edits soon walk in step again. Here the symbols are words. Windows of
 each text, of size classes fitted to the items, start at local minima of a hash of two neighbouring words
 (so a passage shared with an item starts a window inside it); windows of the items start everywhere. Of
-each walk several tables each hash a few sampled steps; walks and tables are repeated until recall is
-reached. A window that falls in a bucket of an item is only a candidate: the item is then aligned with
-the passage around it by exact edit distance of characters (Myers' bit vectors, free ends in the text).
+each walk several tables each hash a few sampled steps. Windows of two words, too short for a walk to fall in
+step again, have one table of both words and start at every word of the text: they find items of which many
+words have an edit, as in typing or recognition errors. Every window that falls in a bucket of an item is
+verified: passages that share too few n-grams with the item for ``max_edit`` are dropped, which loses nothing,
+and the item is aligned with the others by exact edit distance of characters (Myers' bit vectors, free ends in the text).
 
 Texts are never shuffled. Items go to the tasks in blocks of at most ``BLOCK`` items and ``BLOCK_BYTES``
 bytes, so nothing that is broadcast grows with the benchmark; each block is a pass over the texts.
@@ -18,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +33,12 @@ from foliant.llm.work import map_batches
 
 MAX_EDIT = 0.15
 WALKS, TABLES, SAMPLES, SPACING = 3, 8, 5, 4
-#: Window sizes in words; an item uses the largest that leaves SPACING words of it for a window to start, and those of at most SEED words.
-CLASSES, SEED = (1, 2, 4, 8, 16, 32), 8
-#: Collisions wanted of one item on alignments that differ by fewer than some ALIGN words.
-HITS, ALIGN = 4, 8
+#: Window sizes in words; an item uses the largest that leaves SPACING words of it for a window to start, and those of SEED words.
+CLASSES, SEED = (1, 2, 4, 8, 16, 32), 2
+#: Size classes with one table of all words, looked up at every word of a text.
+DENSE = (2,)
+#: Lengths of the n-grams that a passage is pruned by, bits of their hash, passages pruned and collisions looked up at a time.
+GRAMS, GRAM_BITS, BATCH, CHUNK = (5, 4), 13, 64, 1 << 17
 BLOCK, BLOCK_BYTES = 4096, 4 << 20
 _A = np.uint64(0xD6E8FEB86659FD93)
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
@@ -94,6 +99,13 @@ class Index:
         for _, t in self.items:
             data = np.frombuffer(t.encode(), np.uint8)
             hashes.append(words(data, np.array([0, len(data)]), 0, 1, _SEP, _LOWER).hash)
+        self.n_chars = np.array([len(t) for _, t in self.items], np.int64)
+        self.most = np.array([int(max_edit * len(t)) for _, t in self.items], np.int64)
+        signs = [symbols(np.frombuffer(t.encode(), np.uint8))[0] for _, t in self.items]
+        self.own_grams = []
+        for n in GRAMS:
+            own = [_gram_hash(x, n) for x in signs]
+            self.own_grams.append((np.concatenate([np.zeros(0, np.int64), *own]), np.cumsum([0, *map(len, own)])))
         self.n_words = np.array([len(h) for h in hashes], np.int64)
         size = np.array([max(c for c in CLASSES if c == 1 or c <= n - SPACING) for n in self.n_words], np.int64) if hashes else np.zeros(0, np.int64)
         self.classes = sorted(set(size.tolist()) | {c for c in CLASSES if c == SEED and size.max(initial=0) > SEED})
@@ -103,7 +115,7 @@ class Index:
         for _ in range(walks):
             steps: dict[int, list[tuple[int, int]]] = {}
             for c in self.classes:
-                for t in range(tables):
+                for t in range(0 if c in DENSE else tables):
                     edges = np.linspace(0, 2 * c, min(samples, c) + 1)
                     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                         at = int(rng.integers(int(lo), max(int(lo) + 1, int(hi))))
@@ -114,7 +126,11 @@ class Index:
         self.table = {}
         if hashes:
             flat = np.concatenate(hashes)
-            for (walk, c, t), key in self.keys(flat, np.arange(len(flat))):
+            # Characters of the item before each word.
+            self.before = np.concatenate([np.cumsum([0] + [len(x) + 1 for x in t.split(" ")])[:-1] for _, t in self.items])
+            self.word_of = np.concatenate([[0], np.cumsum(self.n_words)])
+            every = np.arange(len(flat))
+            for (walk, c, t), key in [*self.keys(flat, every), *self.dense_keys(flat)]:
                 mine = np.flatnonzero(((size[owner] == c) | (c == SEED) & (size[owner] > c)) & (offset + c <= np.maximum(self.n_words[owner], c)))
                 order = mine[np.argsort(key[mine], kind="stable")]
                 flag = np.zeros(1 << 18, bool)
@@ -134,36 +150,93 @@ class Index:
             for (c, t), x in sums.items():
                 yield (walk, c, t), x ^ (x >> np.uint64(29))
 
-    def candidates(self, flat: np.ndarray) -> np.ndarray:
-        """Rows (word position, item, offset in item) of windows that share a bucket with one of an item.
-
-        A single collision is mostly chance, so at least HITS are wanted on nearby alignments of the
-        item, from any of its windows and tables.
-        """
-        starts = anchors(flat)
-        found = []
-        for name, key in self.keys(flat, starts):
+    def dense_keys(self, flat: np.ndarray) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
+        """Hash of all words of the windows of DENSE classes that start at each of the words ``flat``."""
+        for c in self.classes:
+            if c in DENSE:
+                x, padded = np.zeros(len(flat), np.uint64), np.concatenate([flat, np.zeros(c, np.uint64)])
+                for k in range(c):
+                    x = mix((x ^ padded[k : k + len(flat)]) * _A)
+                yield (0, c, 0), x
+
+    def candidates(self, flat: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows (word position, item, offset in item) of windows that share a bucket with one of an item, about CHUNK at a time."""
+        starts, every = anchors(flat), np.arange(len(flat))
+        held, size = [], 0
+        for name, key in chain(self.keys(flat, starts), self.dense_keys(flat)):
+            places = every if name[1] in DENSE else starts
             known, item, offset, flag = self.table[name]
             hit = np.flatnonzero(flag[(key & np.uint64(0x3FFFF)).astype(np.int64)])
             if not len(hit) or not len(known):
                 continue
             lo, hi = np.searchsorted(known, key[hit], "left"), np.searchsorted(known, key[hit], "right")
-            n = hi - lo
-            if not n.sum():
+            hit, lo, n = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            if not len(n):
                 continue
-            which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([np.repeat(starts[hit], n), item[which], offset[which]], 1))
-        if not found:
-            return np.zeros((0, 3), np.int64)
-        rows = np.concatenate(found)
-        cell = rows[:, 1] * (len(flat) // ALIGN + 1024) + (rows[:, 0] - rows[:, 2] + 64 * ALIGN) // ALIGN
-        u, back, n = np.unique(cell, return_inverse=True, return_counts=True)
-        near = n.copy()
-        beside = u[1:] - u[:-1] == 1
-        near[1:] += n[:-1] * beside
-        near[:-1] += n[1:] * beside
-        rows = rows[near[back] >= HITS]
-        return np.unique(rows, axis=0)
+            part = np.cumsum(n) // CHUNK
+            for cut in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1):
+                m = n[cut]
+                which = np.repeat(lo[cut], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                held.append(np.stack([np.repeat(places[hit[cut]], m), item[which], offset[which]], 1))
+                size += len(which)
+                if size >= CHUNK:
+                    yield np.concatenate(held)
+                    held, size = [], 0
+        if held:
+            yield np.concatenate(held)
+
+    def may_match(self, grams: list[np.ndarray], item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the symbols begin..end hold enough n-grams of the item, for each n of GRAMS; False only if they cannot match.
+
+        An edit changes n of the item's n-grams at most, so the others stand in the passage.
+        """
+        out = np.ones(len(item), bool)
+        seen = np.zeros((min(BATCH, len(item)), 1 << GRAM_BITS), bool)
+        for n, text, own in zip(GRAMS, grams, self.own_grams, strict=True):
+            need = self.n_chars[item] - n + 1 - n * self.most[item]
+            size = np.maximum(np.minimum(end - n + 1, len(text)) - begin, 0)
+            out &= (need <= 0) | (size >= need)
+            look = np.flatnonzero(out & (need > 0))
+            for lo in range(0, len(look), BATCH):
+                part = look[lo : lo + BATCH]
+                k, at = _spread(begin[part], size[part])
+                there = k, text[at]
+                seen[there] = True
+                k, at = _spread(own[1][item[part]], own[1][item[part] + 1] - own[1][item[part]])
+                out[part] = np.bincount(k, seen[k, own[0][at]], len(part)) >= need[part]
+                seen[there] = False
+        return out
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the stretch and place, for each place of the stretches."""
+    first = np.cumsum(size) - size
+    k = np.repeat(np.arange(len(size)), size)
+    return k, np.arange(len(k)) + (begin - first)[k]
+
+
+_SYMBOL = np.where(np.arange(256) >= 0x80, 0x80, np.where(_SEP, 0x20, _LOWER)).astype(np.uint8)
+#: Characters whose lower case is ASCII or longer than they are; symbols() does not fold them.
+_ODD = ("\u212a".encode(), "\u0130".encode())
+
+
+def symbols(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The normalised text, one byte a character, all characters above 0x7F alike; and the places of its characters in ``data``."""
+    apart = _SEP[data]
+    keep = (data & 0xC0) != 0x80
+    keep[1:] &= ~(apart[1:] & apart[:-1])
+    at = np.flatnonzero(keep)
+    return _SYMBOL[data[at]], at
+
+
+def _gram_hash(s: np.ndarray, n: int) -> np.ndarray:
+    if len(s) < n:
+        return np.zeros(0, np.int64)
+    x = np.zeros(len(s) - n + 1, np.uint32)
+    for k in range(n):
+        x = (x ^ s[k : len(s) - n + 1 + k]) * np.uint32(0x9E3779B1)
+        x ^= x >> np.uint32(15)
+    return (x >> np.uint32(32 - GRAM_BITS)).astype(np.int64)
 
 
 def anchors(flat: np.ndarray, spacing: int = SPACING) -> np.ndarray:
@@ -187,30 +260,43 @@ def leaks_in(texts: pa.Array, ix: Index) -> dict[tuple[int, int], int]:
     """Edits by (row, item) of the leaks in a column of texts."""
     data, off = string_bytes(texts)
     leaks: dict[tuple[int, int], int] = {}
+    if not ix.items:
+        return leaks
     for i, j in slices(off):
         w = words(data, off, i, j, _SEP, _LOWER)
         if not len(w.hash):
             continue
         base, tried = int(off[i]), set()
-        for p, k, o in ix.candidates(w.hash).tolist():
-            row = int(np.searchsorted(w.first, p, "right")) - 1
-            n = int(ix.n_words[k])
-            slack = int(ix.max_edit * n) + 3
-            a = max(int(w.first[row]), p - o - slack)
-            grid = (row, k, a // slack)
-            if grid in tried or leaks.get((i + row, k)) == 0:
-                continue
-            tried.add(grid)
-            a = max(int(w.first[row]), a - slack)
-            b = min(int(w.first[row + 1]), p - o + n + 2 * slack)
-            item = ix.items[k][1]
-            most = int(ix.max_edit * len(item))
-            passage = normalise(data[base + int(w.start[a]) : base + int(w.end[b - 1])].tobytes().decode("utf-8", "replace"))
-            if not could_match(ix.grams[k], passage, most):
-                continue
-            d = edit_distance(item, passage)
-            if d <= most and d < leaks.get((i + row, k), 1 << 30):
-                leaks[i + row, k] = d
+        here = data[base : int(off[j])]
+        sign, place = symbols(here)
+        grams, edge = [_gram_hash(sign, n) for n in GRAMS], np.searchsorted(place, off[i : j + 1] - base)
+        word = np.searchsorted(place, w.start)
+        raw = here.tobytes()
+        odd = any(x in raw for x in _ODD)
+        for rows in ix.candidates(w.hash):
+            p, item, o = rows.T
+            row = np.searchsorted(w.first, p, "right") - 1
+            grid = ix.most[item] // 2 + 4
+            # Where the item would begin, in steps of the edits it may have.
+            step = (word[p] - ix.before[ix.word_of[item] + o]) // grid
+            low, wide = step.min(), int(step.max() - step.min()) + 1
+            cell = np.unique((row * len(ix.items) + item) * wide + step - low)
+            row, item, step = cell // (wide * len(ix.items)), cell // wide % len(ix.items), cell % wide + low
+            grid, most = ix.most[item] // 2 + 4, ix.most[item]
+            begin = np.maximum(edge[row], step * grid - most)
+            end = np.minimum(edge[row + 1], (step + 1) * grid + ix.n_chars[item] + most)
+            good = np.ones(len(item), bool) if odd else ix.may_match(grams, item, begin, end)
+            for r, k, c, x, y in np.stack([row, item, step, begin, end], 1)[good].tolist():
+                if (r, k, c) in tried or leaks.get((i + r, k)) == 0:
+                    continue
+                tried.add((r, k, c))
+                passage = normalise(raw[place[x] : place[y] if y < len(place) else len(raw)].decode("utf-8", "replace"))
+                most = int(ix.most[k])
+                if not could_match(ix.grams[k], passage, most):
+                    continue
+                d = edit_distance(ix.items[k][1], passage)
+                if d <= most and d < leaks.get((i + r, k), 1 << 30):
+                    leaks[i + r, k] = d
     return leaks
 
 

@@ -81,3 +81,43 @@ def test_edge_cases(spark):
     assert [(r.doc_id, r.item_id) for r in D.remove_leaks(docs, items).orderBy("doc_id").collect()] == [(1, 7), (2, 7)]
     assert D.find_leaks(docs.limit(0), items).count() == D.find_leaks(docs, items.limit(0)).count() == 0
     assert D.find_leaks(docs, items.unionByName(spark.createDataFrame([(9, "Some other item of words")], items.schema)), block=1).count() == 4
+
+
+def test_recall_of_character_edits():
+    rnd = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(rnd.choice(letters) for _ in range(rnd.randint(2, 9))) for _ in range(600)]
+    items = [(k, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(15, 60)))) for k in range(60)]
+    index = D.Index(items)
+    for rate in (0.05, 0.1, 0.145):
+        texts, want = [], []
+        for _ in range(60):
+            k = rnd.randrange(len(items))
+            chars = list(items[k][1])
+            for p in rnd.sample(range(len(chars)), int(rate * len(chars))):
+                chars[p] = rnd.choice((rnd.choice(letters), "", chars[p] + rnd.choice(letters)))
+            filler = [rnd.choice(vocabulary) for _ in range(40)]
+            texts.append(" ".join([*filler[:20], "".join(chars), *filler[20:]]))
+            want.append(k)
+        found = D.leaks_in(pa.array(texts), index)
+        assert np.mean([(r, k) in found for r, k in enumerate(want)]) >= 0.9
+
+
+def test_pruning_loses_no_match():
+    rnd = random.Random(4)
+    for _ in range(200):
+        item = "".join(rnd.choice("abcdeé ") for _ in range(rnd.randint(5, 80)))
+        index = D.Index([(1, item)])
+        if not index.items:
+            continue
+        text = D.normalise("".join(rnd.choice((c, c, c, c, c, c, c, "", "x", c + "y")) for c in item) + " abc")
+        sign, _ = D.symbols(np.frombuffer(text.encode(), np.uint8))
+        one, grams = np.zeros(1, np.int64), [D._gram_hash(sign, n) for n in D.GRAMS]
+        if D.edit_distance(index.items[0][1], text) <= index.most[0]:
+            assert index.may_match(grams, one, one, one + len(sign)).all()
+
+
+def test_texts_without_any_shared_word():
+    index = D.Index([(1, "one two three four five six seven eight nine ten")])
+    texts = pa.array([" ".join(f"u{k}x{n}" for k in range(3000)) for n in range(20)])
+    assert D.leaks_in(texts, index) == {}
