@@ -5,8 +5,8 @@ each step emits the symbol under it, then advances or stays as a random function
 so two strings that differ by a few edits soon walk in step again. Here the symbols are words. Windows of
 each text, of size classes fitted to the items, start at local minima of a hash of two neighbouring words
 (so a passage shared with an item starts a window inside it); windows of the items start everywhere. Of
-each walk several tables each hash a few sampled steps. Windows of two words, too short for a walk to fall in
-step again, have one table of both words and start at every word of the text: they find items of which many
+each walk several tables each hash a few sampled steps. Windows of one or two words, too short for a walk to fall in
+step again, have one table of all their words and start at every word of the text: they find items of which many
 words have an edit, as in typing or recognition errors. Every window that falls in a bucket of an item is
 verified: passages that share too few n-grams with the item for ``max_edit`` are dropped, which loses nothing,
 and the item is aligned with the others by exact edit distance of characters (Myers' bit vectors, free ends in the text).
@@ -36,7 +36,7 @@ WALKS, TABLES, SAMPLES, SPACING = 3, 8, 5, 4
 #: Window sizes in words; an item uses the largest that leaves SPACING words of it for a window to start, and those of SEED words.
 CLASSES, SEED = (1, 2, 4, 8, 16, 32), 2
 #: Size classes with one table of all words, looked up at every word of a text.
-DENSE = (2,)
+DENSE = (1, 2)
 #: Lengths of the n-grams that a passage is pruned by, bits of their hash, passages pruned and collisions looked up at a time.
 GRAMS, GRAM_BITS, BATCH, CHUNK = (5, 4), 13, 64, 1 << 17
 BLOCK, BLOCK_BYTES = 4096, 4 << 20
@@ -316,12 +316,12 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
     return map_batches(docs, run, f"id {kind}, item_id long, edits long, item_chars long")
 
 
-def _items(benchmark: DataFrame, item_column: str, item_text: str) -> DataFrame:
-    return benchmark.where(F.col(item_column).isNotNull()).select(F.col(item_column).cast("long").alias("item_id"), F.coalesce(item_text, F.lit("")).alias("text")).distinct()
+def _items(benchmark: DataFrame, item_column: str, item_text: str, named: bool = True) -> DataFrame:
+    return benchmark.where(F.col(item_column).isNotNull() if named else F.lit(True)).select(F.col(item_column).cast("long").alias("item_id"), F.coalesce(item_text, F.lit("")).alias("text")).distinct()
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` in which no item leaks, with all their columns; every row is judged by its own text."""
+    """The rows of ``docs`` in which no item leaks, items without an id included, with all their columns; every row is judged by its own text."""
 
     def without(df: DataFrame, index: Index) -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast(index)
@@ -334,7 +334,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_ED
 
         return map_batches(df, run, df.schema)
 
-    for rows in _blocks(_items(benchmark, item_column, item_text), block):
+    for rows in _blocks(_items(benchmark, item_column, item_text, named=False), block):
         docs = without(docs, Index(rows, max_edit))
     return docs
 

@@ -121,3 +121,19 @@ def test_texts_without_any_shared_word():
     index = D.Index([(1, "one two three four five six seven eight nine ten")])
     texts = pa.array([" ".join(f"u{k}x{n}" for k in range(3000)) for n in range(20)])
     assert D.leaks_in(texts, index) == {}
+
+
+def test_exact_copies_of_short_items_are_found():
+    rnd = random.Random(6)
+    for n in range(1, 9):
+        items = [(k, " ".join(f"{'abcdefgh'[n - 1]}{rnd.randrange(10**6)}" for _ in range(n))) for k in range(50)]
+        texts = [" ".join([*(f"w{rnd.randrange(500)}" for _ in range(30)), t, *(f"w{rnd.randrange(500)}" for _ in range(30))]) for _, t in items]
+        found = D.leaks_in(pa.array(texts), D.Index(items))
+        assert all(found.get((k, k)) == 0 for k in range(50)), n
+
+
+def test_items_without_an_id_are_removed(spark):
+    docs = spark.createDataFrame([(1, "so then quiet river stones gather moss slowly it ends"), (2, "nothing of the kind")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, "quiet river stones gather moss slowly"), (5, "something else")], "item_id bigint, text string")
+    assert [r.doc_id for r in D.remove_leaks(docs, items).collect()] == [2]
+    assert D.find_leaks(docs, items).count() == 0
