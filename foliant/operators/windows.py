@@ -30,28 +30,50 @@ def trailing_count(key: str, ts: str, seconds: int) -> Column:
 
 
 def top_per_key(df: DataFrame, key: list[str], order: list[Column], n: int = 1) -> DataFrame:
+    """The first ``n`` rows of each key. Spark limits ranks before the shuffle too, so a hot key sends n rows a task."""
     return df.withColumn("_rank", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
 
 
+#: Range bounds that a row is compared with at each of two levels.
+_FAN = 64
+
+
+def _ranges(df: DataFrame, order: list[str]) -> Column:
+    """Blocks (head, ranges) of ranges (top, before): the greatest key of each range and the number of rows in those before it.
+
+    Only the order columns are read and shuffled; the result has a row per partition.
+    """
+    keys = df.select(F.struct(*order).alias("key")).repartitionByRange("key").withColumn("part", F.spark_partition_id())
+    tops = keys.groupBy("part").agg(F.max("key").alias("top"), F.count("*").alias("n"))
+    w = W.orderBy("top")
+    tops = tops.select("top", F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.floor((F.row_number().over(w) - 1) / _FAN).alias("block"))
+    blocks = tops.groupBy("block").agg(F.max("top").alias("head"), F.array_sort(F.collect_list(F.struct("top", "before"))).alias("ranges"))
+    return blocks.agg(F.array_sort(F.collect_list(F.struct("head", "ranges"))).alias("blocks")).scalar()
+
+
 def global_row_number(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
     """1-based rank in a total order without sending all rows to one task.
 
-    Rows are range-partitioned and numbered within their partition; a table of one row per partition
-    gives the offsets.
+    A first pass over the order columns alone gives range bounds and the number of rows before each range. Each row
+    then finds its range by comparing its key with those bounds, and is numbered within it, so a rank depends on data
+    and bounds only and never on how a shuffle happens to be cut. Nulls come first; rows with equal keys get ranks
+    in any order.
     """
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = dealt.withColumn("_k", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    sizes = local.groupBy("_part").agg(F.max("_k").alias("_n"))
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_offset")
-    return local.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_k") + F.col("_offset")).cast("long")).drop("_part", "_k", "_offset")
+    key = F.struct(*[F.col(c) for c in order])
+    block = F.element_at(F.col("_blocks"), F.size(F.filter(F.transform("_blocks", lambda b: b["head"]), lambda t: t < F.col("_key"))) + 1)
+    place = F.element_at(F.col("_block")["ranges"], F.size(F.filter(F.col("_block")["ranges"], lambda r: r["top"] < F.col("_key"))) + 1)
+    rows = df.withColumns({"_key": key, "_blocks": _ranges(df, order)}).withColumn("_block", block).withColumn("_before", place["before"])
+    rows = rows.drop("_key", "_blocks", "_block")
+    within = F.row_number().over(W.partitionBy("_before").orderBy(*order))
+    return rows.withColumn(name, (within + F.col("_before")).cast("long")).drop("_before")
 
 
 def group_row_number(df: DataFrame, key: str, order: list[str], rank: str = "k", size: str = "n") -> DataFrame:
     """1-based rank within a group and the group's size, for groups of any size.
 
     Ranks come from the rank in the order of (key, order) over all rows, less that of the group's first row, so
-    a group that holds a third of all rows is spread over tasks like any other.
+    a group that holds a third of all rows is spread over tasks like any other. Null is a group too.
     """
     placed = global_row_number(df, [key, *order], "_place")
-    groups = placed.groupBy(key).agg(F.min("_place").alias("_first"), F.count("*").alias(size))
-    return placed.join(groups, key).withColumn(rank, F.col("_place") - F.col("_first") + 1).drop("_place", "_first")
+    groups = global_row_number(df.select(key, *order), [key, *order], "_place").groupBy(F.col(key).alias("_group")).agg(F.min("_place").alias("_first"), F.count("*").alias(size))
+    return placed.join(groups, F.col(key).eqNullSafe(F.col("_group"))).withColumn(rank, F.col("_place") - F.col("_first") + 1).drop("_place", "_first", "_group")

@@ -29,12 +29,29 @@ def glossary_matches(s, d):
     return injected(s, d).select("doc_id", F.explode(find_terms(F.col("text"), list(TERMS))).alias("term"))
 
 
-query("jn01_glossary_join", "WITH t AS (SELECT DISTINCT lower(n_name) AS term FROM nation UNION SELECT * FROM (VALUES ('of the'), ('licensed under'), ('der die'))) SELECT DISTINCT doc_id, term FROM documents, t WHERE contains(' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> ''), ' ') || ' ', ' ' || array_to_string(list_filter(string_split_regex(term, '[^\\p{L}\\p{N}_]+'), lambda x: x <> ''), ' ') || ' ')")(
+query("jn01_glossary_join", r"WITH t AS (SELECT DISTINCT lower(n_name) AS term FROM nation UNION SELECT * FROM (VALUES ('of the'), ('licensed under'), ('der die'))) SELECT DISTINCT doc_id, term FROM documents, t WHERE regexp_matches(lower(text), '(?:^|[^\p{L}\p{N}_])' || term || '(?:[^\p{L}\p{N}_]|$)')")(
     lambda s, d: join_terms(table(s, d, "documents"), table(s, d, "nation").select(F.lower("n_name").alias("term")).unionByName(s.createDataFrame([("of the",), ("licensed under",), ("der die",)], "term string")).distinct())
 )
-query("jn02_terms_to_rows", "WITH f AS (SELECT p_partkey, regexp_replace(lower(p_name), '\\s+', '', 'g') AS folded FROM part) SELECT c.c_mktsegment AS term, min(f.p_partkey) AS first_row, count(*) AS n FROM (SELECT DISTINCT c_mktsegment FROM customer) c JOIN f ON left(f.folded, 1) = left(regexp_replace(lower(c.c_mktsegment), '\\s+', '', 'g'), 1) GROUP BY 1")(
-    lambda s, d: table(s, d, "customer").select("c_mktsegment").distinct().withColumn("k", F.left(F.regexp_replace(F.lower("c_mktsegment"), r"\s+", ""), F.lit(1))).join(table(s, d, "part").select("p_partkey", F.left(F.regexp_replace(F.lower("p_name"), r"\s+", ""), F.lit(1)).alias("k")), "k").groupBy(F.col("c_mktsegment").alias("term")).agg(F.min("p_partkey").alias("first_row"), F.count("*").alias("n"))
-)
+
+
+@query("jn02_terms_to_rows", """WITH t AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE replace(p_name, ' ', '  ') END AS term FROM part),
+    exact AS (SELECT p_name AS term, min(p_partkey) AS first_row, count(*) AS n FROM part GROUP BY 1),
+    folded AS (SELECT regexp_replace(lower(p_name), '\\s+', '', 'g') AS fold, arg_min(p_name, p_partkey) AS name FROM part GROUP BY 1)
+    SELECT t.term, e.term IS NOT NULL AS exact, coalesce(e.first_row, g.first_row) AS first_row, coalesce(e.n, g.n) AS n FROM t LEFT JOIN exact e ON e.term = t.term
+    LEFT JOIN folded f ON f.fold = regexp_replace(lower(t.term), '\\s+', '', 'g') LEFT JOIN exact g ON g.term = f.name WHERE coalesce(e.first_row, g.first_row) IS NOT NULL""")
+def terms_to_rows(s, d):
+    """Rows of each matched term: those of the same name, else those of the first name that is the same but for case and spaces."""
+    part = table(s, d, "part").select("p_partkey", "p_name")
+    found = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.upper("p_name")).otherwise(F.replace("p_name", F.lit(" "), F.lit("  ")))
+    fold = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
+    terms = part.select(found.alias("term")).distinct().withColumn("fold", fold(F.col("term")))
+    names = part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("first_row"), F.count("*").alias("n"))
+    first = names.groupBy(fold(F.col("name")).alias("fold")).agg(F.min_by(F.struct("first_row", "n"), "first_row").alias("other"))
+    met = terms.join(names, F.col("term") == F.col("name"), "left").join(first, "fold", "left")
+    met = met.select("term", F.col("name").isNotNull().alias("exact"), F.coalesce("first_row", "other.first_row").alias("first_row"), F.coalesce("n", "other.n").alias("n"))
+    return met.where("first_row is not null")
+
+
 query("jn03_pending", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "labels"), "doc_id", "left_anti"))
 query("jn04_completed_content", "SELECT doc_id, coalesce(quality, -1) AS quality, l.doc_id IS NOT NULL AS found FROM documents LEFT JOIN labels l USING (doc_id)".replace("l.doc_id IS NOT NULL", "quality IS NOT NULL"))(
     lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.col("quality").isNotNull().alias("found"))
@@ -87,22 +104,23 @@ query("ch09_marker_segments", f"SELECT conv_id, CAST(count(*) AS BIGINT) AS n FR
 LABELS = "(SELECT user_id, 'q' || CAST(count(*) FILTER (event_type = 'error') % 7 AS VARCHAR) AS g FROM events GROUP BY user_id UNION ALL SELECT user_id, 'n' || CAST(count(*) % 9 AS VARCHAR) FROM events GROUP BY user_id UNION ALL SELECT user_id, 't' || CAST(count(*) FILTER (event_type = 'click') % 6 AS VARCHAR) FROM events GROUP BY user_id)"
 
 
-@query("jn12_linked_keys", f"""WITH RECURSIVE m AS (SELECT user_id, string_agg(g, ',' ORDER BY g) AS gs, list(g) AS l FROM {LABELS} WHERE user_id % 20 = 0 GROUP BY user_id),
-    e AS (SELECT a.user_id AS a, b.user_id AS b FROM m a JOIN m b ON a.user_id <> b.user_id AND len(list_intersect(a.l, b.l)) >= 2), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-    SELECT user_id, least(user_id, coalesce((SELECT min(b) FROM r WHERE r.a = user_id), user_id)) AS account FROM m""")
+@query("jn12_linked_keys", f"""WITH RECURSIVE m AS (SELECT user_id, g FROM {LABELS}), c AS (SELECT a.user_id, a.g || '|' || b.g AS combo FROM m a JOIN m b ON a.user_id = b.user_id AND a.g < b.g),
+    e AS (SELECT DISTINCT a.combo AS a, b.combo AS b FROM c a JOIN c b ON a.user_id = b.user_id), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    low AS (SELECT r.a AS combo, min(c.user_id) AS low FROM r JOIN c ON c.combo = r.b GROUP BY 1)
+    SELECT user_id, min(low) AS account FROM c JOIN low USING (combo) GROUP BY user_id""")
 def linked_keys(s, d):
     """Keys that share at least two group labels, closed under reachability."""
-    e = table(s, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("q"), F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("t")).where("user_id % 20 = 0")
+    e = table(s, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("q"), F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("t"))
     labels = e.select("user_id", F.explode(F.array(F.concat(F.lit("q"), (F.col("q") % 7).cast("string")), F.concat(F.lit("n"), (F.col("n") % 9).cast("string")), F.concat(F.lit("t"), (F.col("t") % 6).cast("string")))).alias("label"))
     return linked_groups(labels, "user_id", "label", 2).withColumnRenamed("group_id", "account")
 
 
-@query("jn13_best_sentence", """WITH s AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]?'), lambda x: trim(x)), lambda x: x <> '') AS z, (SELECT list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i])[1:4] FROM (SELECT list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 6) AS w)) AS terms FROM conversations),
+@query("jn13_best_sentence", """WITH s AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]?'), lambda x: trim(x)), lambda x: x <> '') AS z, (SELECT list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i]) FROM (SELECT list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 6) AS w)) AS terms FROM conversations),
     c AS (SELECT conv_id, turn, terms, generate_subscripts(z, 1) - 1 AS no, unnest(z) AS sentence FROM s WHERE len(terms) > 0), k AS (SELECT conv_id, turn, no, sentence, len(list_filter(terms, lambda t: contains(lower(sentence), t))) / len(terms) AS score FROM c)
     SELECT conv_id, turn, max(score) AS score FROM k GROUP BY 1, 2 HAVING max(score) >= 0.5""")
 def best_sentence(s, d):
     """The first sentence with the best share of a turn's terms, if at least half."""
-    terms = F.slice(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 6)), 1, 4)
+    terms = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 6))
     rows = table(s, d, "conversations").withColumn("terms", terms).where("size(terms) > 0")
     rows = rows.select("conv_id", "turn", "terms", F.posexplode(F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"[^.!?]*[.!?]?"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")).alias("no", "sentence"))
     rows = rows.withColumn("score", F.size(F.filter("terms", lambda t: F.lower("sentence").contains(t))) / F.size("terms"))
