@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.components import connected_components
+from foliant.operators.graph import connected_components
 from foliant.llm.work import Scratch, map_batches
 
 COSINE = 0.98

@@ -15,12 +15,12 @@ To spread the join over tasks without losing a link:
 3. Rounds: classes with the same r-th key meet in blocks of bounded size, each joined by a signature tree;
    components of the links found leave one class each for the next round. This links most of what is
    alike at the price of one copy of each set.
-4. The exact rest: of all keys, those that still stand in two components; classes with fewer than l of them
-   go. A small block is a single leaf; pairs that bitmaps leave open are verified on whole sets. Classes of
-   large blocks form families by the keys they share, so each is sent once however many keys it shares.
-   Their sets are reduced to shingles that other candidates have too, which changes no overlap: classes with
-   too few of them go, and signature trees of each family (large ones as pairs of chunks, none with both chunks
-   of one component) find the links.
+4. The exact rest: of all keys, those that still stand in two components; classes with too few of them go, and
+   of the others only the rarest keys count by which linked classes are sure to meet, so passages common to
+   many texts that share little else bring nothing together. A small block is a single leaf; pairs that bitmaps
+   leave open are verified on whole sets. Classes of large blocks form families by the keys that are left, so each
+   is sent once however many keys it shares; signature trees of each family (large ones as pairs of chunks, but
+   none of sizes that cannot be linked nor of one component) find the links.
 
 Links between two classes of one component change no component and are not looked for.
 """
@@ -34,15 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.components import connected_components
+from foliant.operators.graph import connected_components
 from foliant.llm.tokens import mix, shingle_sets, shingles, slices, string_bytes, words
 from foliant.llm.work import Scratch, map_batches, tasks
-from foliant.operators.windows import group_row_number
 
 WORDS = 5
 #: Similarity as a fraction: link when DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
 ROUNDS, BLOCK, FANOUT, SMALL = 2, 1024, 8, 24
+#: Blocks and chunks are bounded in shingles too: to so many times BLOCK.
+CHUNK_TOKENS = 1024
 #: Keys are the upper 48 bits of a shingle's hash: enough to tell shingles apart, and a quarter less to shuffle.
 KEY_SHIFT = 16
 #: One in so many of a set's shingles is a key that it shares with a linked set.
@@ -52,6 +53,8 @@ WIDEST = 14
 HEAVY_SHARE, HEAVY_LEAST = 1 << 20, 16
 #: Shingles of which a task counts repeats at once.
 COUNTED = 1 << 22
+#: Rows of an Arrow batch of keys.
+KEY_ROWS = 50_000
 #: Bits of the bitmap that keeps sets nobody asked for out of a shuffle.
 FILTER_BITS = 1 << 26
 
@@ -94,14 +97,11 @@ def fold(maps: np.ndarray) -> np.ndarray:
 class SignatureTree:
     """Levels from the leaves (level 0) to the root; a node's children are FANOUT neighbours of the level below."""
 
-    def __init__(self, sizes: np.ndarray, maps: np.ndarray, order: np.ndarray | None = None, fanout: int = FANOUT, held: np.ndarray | None = None, comp: np.ndarray | None = None):
-        """``held``: how many tokens of each set its bitmap stands for, all by default; the others are in no other set.
-
-        ``comp``: labels; nodes all of whose sets bear one and the same label are not compared.
-        """
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray, order: np.ndarray | None = None, fanout: int = FANOUT, comp: np.ndarray | None = None):
+        """``comp``: labels; nodes all of whose sets bear one and the same label are not compared."""
         self.order = np.lexsort((sizes,)) if order is None else order
         size, bits = sizes[self.order].astype(np.int64), maps[self.order]
-        lost = (size if held is None else held[self.order].astype(np.int64)) - np.bitwise_count(bits).sum(1).astype(np.int64)
+        lost = size - np.bitwise_count(bits).sum(1).astype(np.int64)
         label = -1 - np.arange(len(size)) if comp is None else comp[self.order]
         self.fanout, self.levels = fanout, [(bits, size, size, lost, label, label)]
         while len(self.levels[-1][1]) > 1:
@@ -294,7 +294,8 @@ def _profiles(docs: DataFrame, order: Order) -> DataFrame:
 def _fetch(docs: DataFrame, wanted: DataFrame, maps_only: bool = False) -> DataFrame:
     """The columns of wanted(th, f1, f2, n, ...) with ``items``, the set's sorted shingles (or its bitmap), made from the texts anew.
 
-    A bitmap of the wanted hashes of texts, of fixed size, tells tasks which texts nobody asked for.
+    A bitmap of the wanted hashes of texts, of fixed size, tells tasks which texts nobody asked for. A task makes the
+    set of a text (by two hashes of 64 bits) that it meets again only once.
     """
     spark = docs.sparkSession
     bit = F.pmod(F.col("th"), F.lit(FILTER_BITS))
@@ -307,12 +308,15 @@ def _fetch(docs: DataFrame, wanted: DataFrame, maps_only: bool = False) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flag, seen = shared.value, set()
         for batch in batches:
-            th = batch.column("th").to_numpy()
+            th, second = batch.column("th").to_numpy(), batch.column("th2").to_numpy()
             b = th % FILTER_BITS
-            asked = np.flatnonzero(flag[b >> 3] >> (b & 7) & 1)
-            new = [k for k in asked.tolist() if int(th[k]) not in seen]
-            if len(seen) < 1 << 20:
-                seen.update(th[new].tolist())
+            new = []
+            for k in np.flatnonzero(flag[b >> 3] >> (b & 7) & 1).tolist():
+                name = int(th[k]), int(second[k])
+                if name not in seen:
+                    new.append(k)
+                    if len(seen) < 1 << 20:
+                        seen.add(name)
             rows, f1, f2, n, items = [], [], [], [], []
             for k, x in shingle_sets(batch.column("text").take(pa.array(new, pa.int64())), WORDS):
                 if len(x):
@@ -324,7 +328,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, maps_only: bool = False) -> DataF
                     items.append((bitmap(x, int(width(np.array([len(x)]))[0])) if maps_only else x).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(n, pa.int64()), pa.array(items, pa.binary())], ["th", "f1", "f2", "n", "items"])
 
-    sets = map_batches(docs.select("th", "text"), run, "th long, f1 long, f2 long, n long, items binary")
+    sets = map_batches(docs.select("th", "th2", "text"), run, "th long, f1 long, f2 long, n long, items binary")
     key = ["th", "f1", "f2", "n"]
     # Tasks drop their own repeats, so a text that is copied all over comes once a task.
     return wanted.join(sets, key).dropDuplicates([c for c in wanted.columns if c in (*key, "cid")])
@@ -337,24 +341,19 @@ def _block_join(group: pa.Table) -> pa.Table:
 
 
 def _large_join(group: pa.Table) -> pa.Table:
-    """(cid, cid of a member linked to it) for links of different components in a chunk of a family, or between two chunks.
-
-    ``items`` are the shingles that other candidates have too: two sets have nothing else in common, so
-    overlaps are exact, and bitmaps of these alone let whole subtrees drop out.
-    """
+    """(comp, comp linked to it) for links of different components in a chunk of a family, or between two chunks."""
     one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
-    cid, n, comp, chunk = (group.column(c).to_numpy() for c in ("cid", "n", "comp", "chunk"))
+    n, comp, chunk = (group.column(c).to_numpy() for c in ("n", "comp", "chunk"))
     items = [np.frombuffer(x, np.uint64) for x in group.column("items").to_pylist()]
-    log2 = min(WIDEST, int(width(np.array([max(map(len, items)) * 8]))[0]))
+    log2 = min(WIDEST, int(width(np.array([n.max() * 8]))[0]))
     maps = np.stack([bitmap(x, log2) for x in items])
-    held = np.array([len(x) for x in items], np.int64)
     links, edges = Links(comp), []
 
     def tree(rows: np.ndarray) -> SignatureTree:
-        return SignatureTree(n[rows], maps[rows], np.lexsort((n[rows], comp[rows])), held=held[rows], comp=comp[rows])
+        return SignatureTree(n[rows], maps[rows], np.lexsort((n[rows], comp[rows])), comp=comp[rows])
 
     if one == two:
-        left = right = np.arange(len(cid))
+        left = right = np.arange(len(comp))
         pairs = dual_traversal(tree(left))
     else:
         left, right = np.flatnonzero(chunk == one), np.flatnonzero(chunk == two)
@@ -364,162 +363,86 @@ def _large_join(group: pa.Table) -> pa.Table:
             if links.find(i) != links.find(j):
                 if len(np.intersect1d(items[i], items[j], assume_unique=True)) >= needed(n[i], n[j]):
                     links.join(i, j)
-                    edges.append((cid[i], cid[j]))
+                    edges.append((comp[i], comp[j]))
     return pa.table([pa.array([x for x, _ in edges], pa.int64()), pa.array([y for _, y in edges], pa.int64())], ["a", "b"])
 
 
-def _pack(kind: int, bucket: np.ndarray, x: np.ndarray, cid: np.ndarray) -> pa.RecordBatch:
-    """A row (kind, bucket, data) for each bucket: its (shingle, cid) pairs as bytes."""
-    order = np.argsort(bucket, kind="stable")
-    names, at = np.unique(bucket[order], return_index=True)
-    pairs = np.stack([x.view(np.int64)[order], cid[order]], 1)
-    data = [part.tobytes() for part in np.split(pairs, at[1:])] if len(names) else []
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(names), pa.int32()), pa.array(names, pa.int32()), pa.array(data, pa.binary())], ["kind", "bucket", "data"])
-
-
-def _unpack(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    pairs = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 2) for d in data]) if data else np.zeros((0, 2), np.int64)
-    return np.ascontiguousarray(pairs[:, 0]).view(np.uint64), np.ascontiguousarray(pairs[:, 1])
-
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by the first one, cut anew so that equal values stand together; holds no more than a batch and one run."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [c.to_numpy() for c in batch.columns]
+        held = new if held is None else [np.concatenate(c) for c in zip(held, new, strict=True)]
+        cut = int(np.searchsorted(held[0], held[0][-1], "left"))
+        if cut:
+            yield [c[:cut] for c in held]
+            held = [c[cut:] for c in held]
+    if held is not None:
+        yield held
 
-def _common(sets: DataFrame, heavy: pa.Table) -> DataFrame:
-    """(cid, items): of sets(cid, items), the shingles that several of the sets have, sorted; heavy ones pass unseen.
 
-    Pairs of shingle and class travel packed by bucket, first by shingle to be compared, then by class.
-    """
-    spark = sets.sparkSession
-    buckets = 4 * tasks(spark)
-    known = spark.sparkContext.broadcast(np.sort(heavy.column("shingle").to_numpy().view(np.uint64)))
+def _by_key(df: DataFrame) -> DataFrame:
+    return df.repartition(tasks(df.sparkSession), "key").sortWithinPartitions("key")
 
-    def by_class(x: np.ndarray, cid: np.ndarray) -> pa.RecordBatch:
-        return _pack(1, (mix(cid.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), x, cid)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = known.value
-        for batch in batches:
-            parts = [np.frombuffer(x, np.uint64) for x in batch.column("items").to_pylist()]
-            if not parts:
-                continue
-            x, cid = np.concatenate(parts), np.repeat(batch.column("cid").to_numpy(), [len(p) for p in parts])
-            at = np.minimum(np.searchsorted(hot, x), max(0, len(hot) - 1))
-            is_hot = hot[at] == x if len(hot) else np.zeros(len(x), bool)
-            yield _pack(0, (mix(x[~is_hot]) % np.uint64(buckets)).astype(np.int64), x[~is_hot], cid[~is_hot])
-            yield by_class(x[is_hot], cid[is_hot])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        for batch in batches:
-            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                if kind:
-                    yield by_class(*_unpack([data]))
-                else:
-                    held.append(data)
-        x, cid = _unpack(held)
-        held.clear()
-        order = np.argsort(x, kind="stable")
-        x, cid = x[order], cid[order]
-        same = np.zeros(len(x) + 1, bool)
-        same[1:-1] = x[1:] == x[:-1]
-        many = same[1:] | same[:-1]
-        yield by_class(x[many], cid[many])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, cid = _unpack([d for batch in batches for d in batch.column("data").to_pylist()])
-        order = np.lexsort((x, cid))
-        x, cid = x[order], cid[order]
-        ids, at = np.unique(cid, return_index=True)
-        parts = np.split(x, at[1:]) if len(ids) else []
-        for k in range(0, len(ids), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 256]), pa.array([p.tobytes() for p in parts[k : k + 256]], pa.binary())], ["cid", "items"])
-
-    schema, n = "kind int, bucket int, data binary", tasks(spark)
-    pairs = map_batches(sets.select("cid", "items"), spread, schema).repartition(n, "kind", "bucket")
-    met = map_batches(pairs, compare, schema).repartition(n, "bucket")
-    return map_batches(met, gather, "cid long, items binary")
-
-
-def _large_blocks(many: DataFrame, docs: DataFrame, ids: DataFrame, heavy: pa.Table, block: int, scratch: Scratch) -> DataFrame:
-    """Edges (a, b) among classes that share keys of many(key, cid, comp)."""
-    asked = ids.join(many.select("cid").distinct(), "cid", "left_semi")
-    sets = scratch.write(_fetch(docs, asked).select("cid", "n", "items"), "large-sets")
-    common = scratch.write(_common(sets, heavy), "large-common")
-    scratch.sweep("large-sets")
-    # Linked sets share NUM/DEN of the larger one.
-    able = scratch.write(ids.select("cid", "n").join(common, "cid").where(F.octet_length("items") / 8 * DEN >= F.col("n") * NUM), "able")
-    rows = many.join(able.select("cid"), "cid", "left_semi")
-    stars = rows.select("cid", "key").join(rows.groupBy("key").agg(F.min("cid").alias("b")), "key").select(F.col("cid").alias("a"), "b")
-    family = connected_components(stars, scratch, "families").select(F.col("id").alias("cid"), F.col("component").alias("family"))
-    member = rows.select("cid", "comp").distinct().join(family, "cid", "left").withColumn("family", F.coalesce("family", "cid"))
-    split = member.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("family")
-    member = scratch.write(member.join(split, "family", "left_semi"), "members")
-    placed = scratch.write(group_row_number(member, "family", ["comp", "cid"]).select("family", "cid", "comp", F.floor((F.col("k") - 1) / block).cast("int").alias("chunk")), "placed")
-    chunks = placed.groupBy("family", "chunk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    one, two = (chunks.select("family", *[F.col(c).alias(f"{c}_{k}") for c in ("chunk", "lo", "hi")]) for k in (1, 2))
-    pairs = one.join(two, "family").where("chunk_1 <= chunk_2 and not (lo_1 = hi_1 and lo_2 = hi_2 and lo_1 = lo_2)").select("family", F.col("chunk_1").alias("one"), F.col("chunk_2").alias("two"))
-    pairs = scratch.write(pairs, "chunk-pairs")
-    left = placed.join(pairs.withColumn("chunk", F.col("one")), ["family", "chunk"])
-    right = placed.join(pairs.where("one < two").withColumn("chunk", F.col("two")), ["family", "chunk"])
-    work = left.unionByName(right).join(able, "cid")
-    return scratch.write(work.groupBy("family", "one", "two").applyInArrow(_large_join, "a long, b long"), "large-edges")
-
-
-def _shared_keys(keyed: DataFrame) -> DataFrame:
-    """Rows (key, cid, n) whose key another row has, given that no key is heavy; a partition at a time."""
+def _contested(keyed: DataFrame) -> DataFrame:
+    """Rows of keyed(key, cid, n, comp), no key of which is heavy, whose key stands in two components; with its number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy() for c in b.columns] for b in batches]
-        if not held:
-            return
-        key, cid, n = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.argsort(key, kind="stable")
-        key, cid, n = key[order], cid[order], n[order]
-        same = np.zeros(len(key) + 1, bool)
-        same[1:-1] = key[1:] == key[:-1]
-        many = same[1:] | same[:-1]
-        for k in range(0, int(many.sum()), 1 << 16):
-            s = slice(k, k + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(key[many][s]), pa.array(cid[many][s]), pa.array(n[many][s])], ["key", "cid", "n"])
+        for key, cid, n, comp in _runs(batches):
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(first, len(key)))
+            many = np.repeat(np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first), size)
+            if many.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (key, cid, n, comp, np.repeat(size, size))], ["key", "cid", "n", "comp", "members"])
+
+    return map_batches(_by_key(keyed.select("key", "cid", "n", "comp")), run, "key long, cid long, n long, comp long, members long")
 
-    return map_batches(keyed.repartition(tasks(keyed.sparkSession), "key"), run, "key long, cid long, n long", rows=50_000)
 
+def _telling(hits: DataFrame) -> DataFrame:
+    """Of hits(key, cid, n, comp, members), the keys by which linked classes are sure to meet.
 
-def _labelled(df: DataFrame, comp: DataFrame) -> DataFrame:
-    return df.join(comp.select(F.col("id").alias("cid"), F.col("component").alias("comp")), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    Linked sets share at least f = ceil(ceil(NUM n / DEN) / KEY_SHARE) of these keys, n the size of either one. So a
+    class with fewer goes, and of K keys its K - f + 1 rarest are enough: the rarest key that two classes share has at
+    least f - 1 more of them after it in the order of both.
+    """
+    fewest = F.ceil(F.ceil(F.col("n") * NUM / DEN) / KEY_SHARE).cast("int")
+    own = hits.groupBy("cid", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("members", "key"))).alias("keys")).where(F.size("keys") >= fewest)
+    return own.select("cid", "n", "comp", F.inline(F.slice("keys", F.lit(1), F.size("keys") - fewest + 1)))
 
 
 def _small_blocks(hits: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components and sizes that may be linked, over blocks of at most SMALL rows.
+    """Pairs (a, b) of different components with sizes that may be linked, over keys of at most SMALL rows; with the components.
 
-    Such a block is one leaf of a signature tree; all leaves of a partition are compared at once.
+    Such a block is one leaf of a signature tree; all leaves of a batch are compared at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy() for c in b.columns] for b in batches]
-        if not held:
-            return
-        key, cid, n, comp = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.argsort(key, kind="stable")
-        key, cid, n, comp = key[order], cid[order], n[order], comp[order]
-        found = []
-        for step in range(1, SMALL):
-            if step >= len(key):
-                break
-            i = np.flatnonzero(key[:-step] == key[step:])
-            if not len(i):
-                break
-            j = i + step
-            ok = (comp[i] != comp[j]) & (DEN * n[i] >= NUM * n[j]) & (DEN * n[j] >= NUM * n[i])
-            a, b = cid[i[ok]], cid[j[ok]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        for k in range(0, len(pairs), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + (1 << 16), 0]), pa.array(pairs[k : k + (1 << 16), 1])], ["a", "b"])
-
-    return map_batches(hits.select("key", "cid", "n", "comp").repartition(tasks(hits.sparkSession), "key"), run, "a long, b long", rows=50_000)
+        for key, cid, n, comp in _runs(batches):
+            found = []
+            for step in range(1, SMALL):
+                if step >= len(key):
+                    break
+                i = np.flatnonzero(key[:-step] == key[step:])
+                if not len(i):
+                    break
+                j = i + step
+                ok = (comp[i] != comp[j]) & (DEN * n[i] >= NUM * n[j]) & (DEN * n[j] >= NUM * n[i])
+                i, j = i[ok], j[ok]
+                turn = cid[i] > cid[j]
+                i, j = np.where(turn, j, i), np.where(turn, i, j)
+                found.append(np.stack([cid[i], cid[j], comp[i], comp[j]], 1))
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
+            for k in range(0, len(pairs), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + (1 << 16), c]) for c in range(4)], ["a", "b", "comp_a", "comp_b"])
+
+    return map_batches(_by_key(hits.select("key", "cid", "n", "comp")), run, "a long, b long, comp_a long, comp_b long").distinct()
 
 
 def _possible_pairs(pairs: DataFrame) -> DataFrame:
-    """Of pairs(a, b, n_a, n_b, x, y), those whose bitmaps x and y allow a link."""
+    """Of pairs(a, b, comp_a, comp_b, n_a, n_b, x, y), those whose bitmaps x and y allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -534,9 +457,73 @@ def _possible_pairs(pairs: DataFrame) -> DataFrame:
                 common = int(np.bitwise_count(x & y).sum())
                 lost = min(n_a[k] - int(np.bitwise_count(x).sum()), n_b[k] - int(np.bitwise_count(y).sum()))
                 keep[k] = min(common + lost, n_a[k], n_b[k]) >= needed(n_a[k], n_b[k])
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b", "comp_a", "comp_b"]).filter(pa.array(keep))
+
+    return map_batches(pairs, run, "a long, b long, comp_a long, comp_b long")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    for side, value in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(sets.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("items").alias(value)), side)
+    return pairs
+
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    """(a, b): components of those of pairs(comp_a, comp_b, x, y) whose whole sets x and y are linked."""
 
-    return map_batches(pairs, run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for p, q in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                linked.append(len(np.intersect1d(p, q, assume_unique=True)) >= needed(len(p), len(q)))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked, pa.bool_())) for c in (batch.column("comp_a"), batch.column("comp_b"))], ["a", "b"])
+
+    return map_batches(pairs.select("comp_a", "comp_b", "x", "y"), run, "a long, b long")
+
+
+def _small_links(hits: DataFrame, docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between components whose classes share a key of at most SMALL rows."""
+    few = scratch.write(_small_blocks(hits), "few", rows=KEY_ROWS)
+    maps = scratch.write(_fetch(docs, ids.join(_ends(few), "cid", "left_semi"), maps_only=True).select("cid", "n", "items"), "maps")
+    pairs = scratch.write(_possible_pairs(_with_sets(few, maps)), "pairs")
+    scratch.sweep("few", "maps")
+    sets = scratch.write(_fetch(docs, ids.join(_ends(pairs), "cid", "left_semi")).select("cid", "n", "items"), "sets")
+    edges = scratch.write(_verified(_with_sets(pairs, sets)), "small-edges")
+    scratch.sweep("pairs", "sets")
+    return edges
+
+
+def _large_links(hits: DataFrame, docs: DataFrame, ids: DataFrame, block: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between components whose classes share a key of over SMALL rows."""
+    hits = scratch.write(hits, "large")
+    stars = hits.join(hits.groupBy("key").agg(F.min("cid").alias("b")), "key").select(F.col("cid").alias("a"), "b")
+    family = connected_components(stars, scratch, "families").select(F.col("id").alias("cid"), F.col("component").alias("family"))
+    member = hits.select("cid", "n", "comp").distinct().join(family, "cid", "left").withColumn("family", F.coalesce("family", "cid"))
+    # Chunks of bounded rows and bytes; a component that fits in one is not cut.
+    weight = F.ceil(F.greatest(F.col("members") / block, F.col("tokens") / (block * CHUNK_TOKENS)))
+    mass = (F.count("*").alias("members"), F.sum("n").alias("tokens"))
+    whole = member.groupBy("family").agg(*mass, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("family", weight.cast("int").alias("chunks"))
+    parts = member.groupBy("family", "comp").agg(*mass).select("family", "comp", weight.cast("int").alias("parts"))
+    placed = member.join(whole, "family").join(parts, ["family", "comp"])
+    chunk = F.pmod(F.xxhash64("comp") + F.pmod(F.xxhash64("cid"), F.col("parts")), F.col("chunks")).cast("int")
+    placed = scratch.write(placed.select("family", "cid", "n", "comp", chunk.alias("chunk")), "placed")
+    chunks = placed.groupBy("family", "chunk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("small"), F.max("n").alias("big"))
+    one, two = (chunks.select("family", *[F.col(c).alias(f"{c}_{k}") for c in ("chunk", "lo", "hi", "small", "big")]) for k in (1, 2))
+    apart = ~((F.col("lo_1") == F.col("hi_1")) & (F.col("lo_2") == F.col("hi_2")) & (F.col("lo_1") == F.col("lo_2")))
+    near = (F.col("big_1") * DEN >= F.col("small_2") * NUM) & (F.col("big_2") * DEN >= F.col("small_1") * NUM)
+    pairs = one.join(two, "family").where((F.col("chunk_1") <= F.col("chunk_2")) & apart & near).select("family", F.col("chunk_1").alias("one"), F.col("chunk_2").alias("two"))
+    pairs = scratch.write(pairs, "chunk-pairs")
+    sets = scratch.write(_fetch(docs, ids.join(placed.select("cid"), "cid", "left_semi")).select("cid", "items"), "large-sets")
+    sides = pairs.select("family", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("chunk"))
+    work = placed.join(sides, ["family", "chunk"]).join(sets, "cid")
+    edges = scratch.write(work.groupBy("family", "one", "two").applyInArrow(_large_join, "a long, b long"), "large-edges")
+    scratch.sweep("large", "placed", "chunk-pairs", "large-sets")
+    return edges
 
 
 def _compose(comp: DataFrame, more: DataFrame) -> DataFrame:
@@ -549,12 +536,13 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, id_column: str =
     """(id, n_shingles, component_id) per row, ``with_hash`` with text_hash, the xxhash64 of the text (null: empty).
 
     component_id is the smallest id reachable by links. Texts that are null, empty or without words have
-    an empty set and link with nothing; a row without id has the component of its equals, if any has one. Repeated
-    rows are equal sets.
+    an empty set, link with nothing and are their own component; a row without id has the component of its equals, if any
+    has one. Repeated rows are equal sets and give a row each. Texts of any length are read whole, a task holding one at a
+    time. Other columns, whatever their names, are not read. An empty table gives no rows.
     """
     spark = documents.sparkSession
     text = F.coalesce(F.col(text_column), F.lit(""))
-    docs = documents.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    docs = documents.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("th2"))
     heavy = heavy_shingles(docs, scratch)
     rows = scratch.write(_profiles(docs, Order(heavy)), "rows")
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("low"), F.min("th").alias("th"), F.first("prefix", ignorenulls=True).alias("prefix"))
@@ -567,75 +555,41 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, id_column: str =
         active = classes.select("cid", "th", "f1", "f2", "n", F.get("prefix", F.lit(r)).alias("key")).where("key is not null")
         if r:
             active = active.join(comp.select(F.col("id").alias("cid")), "cid", "left_anti")
-        counts = active.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-        chunk = F.pmod(F.xxhash64("cid"), F.ceil(F.col("members") / block)).cast("int")
+        counts = active.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("tokens")).where("members > 1")
+        chunk = F.pmod(F.xxhash64("cid"), F.ceil(F.greatest(F.col("members") / block, F.col("tokens") / (block * CHUNK_TOKENS)))).cast("int")
         wanted = scratch.write(active.join(counts, "key").select("th", "f1", "f2", "n", "cid", "key", chunk.alias("chunk")), f"wanted-{r}")
-        edges = scratch.write(_fetch(docs, wanted).groupBy("key", "chunk").applyInArrow(_block_join, "a long, b long"), f"edges-{r}")
-        comp = scratch.write(_compose(comp, connected_components(edges, scratch, f"components-{r}")), f"comp-{r}")
-        scratch.sweep(f"wanted-{r}", f"edges-{r}")
-    keyed = classes.select(F.explode("prefix").alias("key"), "cid", "n")
+        # A class is in one block a round, and a block gives stars, so the edges are components as they are.
+        edges = _fetch(docs, wanted).groupBy("key", "chunk").applyInArrow(_block_join, "a long, b long")
+        edges = scratch.write(edges.select(F.col("a").alias("id"), F.col("b").alias("component")), f"edges-{r}")
+        comp = scratch.write(_compose(comp, edges), f"comp-{r}") if r else edges
+        scratch.sweep(f"wanted-{r}", *([f"edges-{r}"] if r else []))
+    named = classes.join(comp.select(F.col("id").alias("cid"), F.col("component").alias("comp")), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    keyed = named.select(F.explode("prefix").alias("key"), "cid", "n", "comp")
     if heavy.num_rows:
         often = np.unique(heavy.column("shingle").to_numpy().view(np.uint64) >> np.uint64(KEY_SHIFT))
         table = F.broadcast(spark.createDataFrame(pa.table({"key": pa.array(often.view(np.int64))})))
-        shared = _shared_keys(keyed.join(table, "key", "left_anti")).unionByName(keyed.join(table, "key", "left_semi"))
+        hot = scratch.write(keyed.join(table, "key", "left_semi"), "hot")
+        several = hot.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
+        hits = _contested(keyed.join(table, "key", "left_anti")).unionByName(hot.join(several, "key"))
     else:
-        shared = _shared_keys(keyed)
-    shared = scratch.write(_labelled(scratch.write(shared, "shared"), comp), "labelled")
-    several = shared.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    hits = scratch.write(shared.join(several, "key"), "hits-all")
-    scratch.sweep("shared", "labelled")
-    # A linked set may be smaller, down to NUM/DEN of this one, and share as few keys as that size allows.
-    fewest = F.ceil(F.ceil(F.col("n") * NUM / DEN) / KEY_SHARE)
-    enough = hits.groupBy("cid", "n").agg(F.count("*").alias("keys")).where(F.col("keys") >= fewest).select("cid")
-    hits = hits.join(enough, "cid", "left_semi")
-    several = hits.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
-    hits = scratch.write(hits.join(several, "key"), "hits")
-    scratch.sweep("hits-all")
-    few = scratch.write(_small_blocks(hits.where(F.col("members") <= SMALL)).distinct(), "few")
+        hits = _contested(keyed)
+    hits = scratch.write(_telling(scratch.write(hits, "hits-all", rows=KEY_ROWS)), "hits")
+    scratch.sweep("hits-all", "hot")
     ids = classes.select("cid", "th", "f1", "f2", "n")
-    asked = few.select(F.col("a").alias("cid")).unionByName(few.select(F.col("b").alias("cid"))).distinct()
-    maps = scratch.write(_fetch(docs, ids.join(asked, "cid", "left_semi"), maps_only=True).select("cid", "n", "items"), "maps")
-    x, y = (maps.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("items").alias(v)) for c, v in (("a", "x"), ("b", "y")))
-    pairs = scratch.write(_possible_pairs(few.join(x, "a").join(y, "b")), "pairs")
-    comp = _joined(comp, _verified(docs, ids, pairs, scratch, "small"), scratch, "small")
-    scratch.sweep("few", "maps", "pairs", "sets-small", "linked-small")
-    many = scratch.write(_labelled(hits.where(F.col("members") > SMALL).select("key", "cid"), comp), "many")
-    scratch.sweep("hits")
-    comp = _joined(comp, _large_blocks(many, docs, ids, heavy, block, scratch), scratch, "large")
-    named = _labelled(classes.select("cid", "f1", "f2", "n", "low"), comp)
+    small = _small_links(hits.where(F.col("members") <= SMALL), docs, ids, scratch)
+    large = _large_links(hits.where(F.col("members") > SMALL), docs, ids, block, scratch)
+    comp = scratch.write(_compose(comp, connected_components(small.unionByName(large), scratch, "components")), "comp")
+    scratch.sweep("hits", "small-edges", "large-edges", *(f"comp-{k}" for k in range(1, rounds)), "edges-0")
+    label = comp.select(F.col("id").alias("cid"), F.col("component").alias("comp"))
+    named = classes.select("cid", "f1", "f2", "n", "low").join(label, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     done = scratch.write(named.join(least, "comp").select("f1", "f2", "n", "component_id"), "done")
     # What is left for the result to read: the rows and their components.
-    scratch.sweep("classes", "many", "large-common", "able", "members", "placed", "chunk-pairs", "large-edges", *(f"comp-{n}" for n in (*range(rounds), "small", "large")))
+    scratch.sweep("classes", "comp")
     out = rows.select("doc_id", "th", "n", "f1", "f2").join(done, ["f1", "f2", "n"], "left")
     return out.select(F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *([F.col("th").alias("text_hash")] if with_hash else []))
 
 
-def _joined(comp: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Components after further edges (a, b) between classes."""
-    for side in ("a", "b"):
-        edges = edges.join(comp.select(F.col("id").alias(side), F.col("component").alias("to")), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
-    return scratch.write(_compose(comp, connected_components(edges, scratch, f"components-{name}")), f"comp-{name}")
-
-
-def _verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Pairs (a, b) of classes whose whole sets are linked."""
-    both = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    sets = scratch.write(_fetch(docs, ids.join(both, "cid", "left_semi")).select("cid", "items"), f"sets-{name}")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            linked = []
-            for p, q in zip(a, b, strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                linked.append(len(np.intersect1d(p, q, assume_unique=True)) >= needed(len(p), len(q)))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
-
-    x, y = (sets.select(F.col("cid").alias(c), F.col("items").alias(v)) for c, v in (("a", "x"), ("b", "y")))
-    return scratch.write(map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), run, "a long, b long"), f"linked-{name}")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all rows of ``documents`` at Jaccard 0.75 on five-word shingles."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "sigtree")).select("doc_id", "n_shingles", "component_id")

@@ -1,59 +1,22 @@
-"""Shared scratch tables and Arrow batch limits for the operators of this subpackage.
-
-Executors can be lost at any time, so lineage is cut only with tables written to the folder that
-all executors share (``spark.checkpoint.dir``). A folder of our own is made only where that setting
-is absent, as in tests on one machine.
-"""
+"""Scratch tables that free what is over, and Arrow batch limits for the operators of this subpackage."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-#: Rows and bytes of one Arrow batch handed to a Python worker; long texts make batches small.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; set to a temporary one only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='foliant-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from foliant.operators import scratch
+from foliant.operators.scratch import BATCH_BYTES
 
 
-class Scratch:
+class Scratch(scratch.Scratch):
     """Tables of one operator call below the shared folder, deleted when the session's process ends."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str = "") -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may have ended; the folder is scratch space
-            pass
-
-
     def sweep(self, *names: str) -> None:
         """Drops tables that no later step reads, and lets Spark delete the shuffle files of jobs that are over.
 
@@ -65,26 +28,33 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
-    """``mapInArrow`` with batches bounded in rows and bytes, whatever the length of the texts."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow``; Spark bounds the batches in rows and bytes, ``Scratch.write`` more tightly than by default."""
     return df.mapInArrow(_tidy(fn), schema)
 
 
 def _tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``fn``, after which the worker gives freed memory back: workers are used again, and several live on one executor."""
+    """``fn`` on batches of at most BATCH_BYTES or one row, after which the worker gives freed memory back.
+
+    Workers are used again, and several live on one executor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from fn(batches)
+            yield from fn(_slices(batches))
         finally:
             release()
 
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = max(1, batch.num_rows * BATCH_BYTES // max(batch.nbytes, BATCH_BYTES))
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def release() -> None:
     """Returns what Arrow's pool and the C library hold free to the system."""
     gc.collect()
