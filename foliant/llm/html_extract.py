@@ -3,23 +3,28 @@
 A page is cut into blocks at block-level tags. Pass 1 decides a block from its stop-word density, length
 and link density, on every page alike: blocks inside boilerplate containers (by tag, role, class or
 id) are bad whatever they say; all others follow the density rules, which leave short and middling blocks
-open. An article or main element is a prior: what stands directly inside one is judged one step better,
-so that it is good or open, never bad outright; blocks outside it are judged as on any page. Pass 2
-gives each open block the label of its nearest decided neighbours: a heading goes with what follows, equal labels on both sides pass over,
-otherwise middling blocks next to content are kept and short ones go with the nearer side (bad on a tie).
-Inside an article or main element only good neighbours count, as boilerplate beside it says nothing about it; a short
-block of links there is bad only if no block of the page inside such elements is good or middling.
+open, and those without links that have few stop words. An article or main element is a prior: what stands directly
+inside one is judged one step better, so that it is good or open, never bad outright; blocks outside it are judged as on
+any page. Pass 2 gives each open block the label of its nearest decided neighbours: a heading goes with what follows, equal labels on
+both sides pass over, otherwise middling blocks next to content are kept and short ones go with the nearer side (bad on
+a tie). What a container or a prior decided is no neighbour, as it says nothing about the text beside it; a page
+without any neighbour and without an article keeps its open paragraphs and headings. Inside an article or main element open blocks are kept,
+but short blocks of links only if some block of the page inside such elements is good or middling.
 
 A tag left open ends with its parent; comments, scripts, styles, forms and other hidden elements have no
-text. An unfinished tag at the end of a page is dropped.
+text. An unfinished tag at the end of a page is dropped; after a tag with a quote that never ends, quotes are not
+heeded. A page is read once, in time that grows with its length whatever stands in it. Null and empty pages have an empty
+text, pages that repeat a row each, an empty table no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,15 +64,20 @@ BAD_WORDS = frozenset(
 MAIN_TAGS = frozenset(("article", "main"))
 LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS_HIGH = 70, 200, 0.18, 0.28, 0.34
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[a-zA-Z/][^<>]*\Z""", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
 _CUES = re.compile(r"[a-z0-9]+")
-#: Open tags that an opening tag of the key closes.
+#: Open tags that an opening tag of the key closes, unless one of _BOUNDS stands between.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+_BOUNDS = frozenset("ul ol dl table div article section select".split())
+_LINKED = _BOUNDS.union(*_CLOSES.values())
+
+
 @dataclass
 class Block:
     text: str
@@ -75,6 +85,7 @@ class Block:
     bad: bool
     main: bool
     heading: bool = False
+    paragraph: bool = False
     label: str = ""
 
 
@@ -97,43 +108,120 @@ def _cues(tag: str, raw: str, in_main: bool) -> bool:
     return False
 
 
+def tokens(page: str) -> Iterator[tuple[str, re.Match | None]]:
+    """Text and tags in order: (text, None) or ("", match of a tag with its slash, name and attributes); raw elements are skipped."""
+    pos, n, last, tag_of = 0, len(page), page.rfind(">"), _TAG
+    while pos < n:
+        at = page.find("<", pos)
+        if at < 0:
+            yield page[pos:], None
+            return
+        mark = page[at + 1 : at + 2]
+        if mark in ("!", "?"):
+            ends = ("-->", 4) if page.startswith("<!--", at) else ("]]>", 9) if page.startswith("<![CDATA[", at) else (">", 2)
+            end = page.find(ends[0], at + ends[1])
+            yield page[pos:at], None
+            if ends[0] == "]]>":
+                yield " ", None
+            pos = end + len(ends[0]) if end >= 0 else n
+            continue
+        m = tag_of.match(page, at) if at < last else None
+        if m is None and at < last and tag_of is _TAG and _BARE_TAG.match(page, at):
+            # The quotes of this tag do not end: they are no longer heeded, so no later tag is sought to the end again.
+            tag_of = _BARE_TAG
+            m = tag_of.match(page, at)
+        if m is None:
+            # No tag: text, but an unfinished tag at the end of the page goes.
+            unfinished = (mark.isascii() and mark.isalpha() or mark == "/") and at > last and page.find("<", at + 1) < 0
+            yield page[pos : at if unfinished else at + 1], None
+            pos = n if unfinished else at + 1
+            continue
+        if at > pos:
+            yield page[pos:at], None
+        pos = m.end()
+        yield "", m
+        tag = m[2].lower()
+        if not m[1] and tag in RAW_TAGS and (tag in ("title", "textarea") or not m[3].rstrip().endswith("/")):
+            end = _raw_end(tag).search(page, pos)
+            pos = page.find(">", end.end()) + 1 if end and end.end() <= last else n
+
+
+@lru_cache(64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+
+
+class _Open:
+    """The stack of open elements, with what is asked of it at every tag kept up to date."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool, int, int]] = []
+        self.count: Counter[str] = Counter()
+
+    @property
+    def top(self) -> tuple[bool, bool]:
+        """(bad, main) inside the innermost element."""
+        return self.stack[-1][1:3] if self.stack else (False, False)
+
+    def push(self, tag: str, bad: bool, main: bool) -> None:
+        _, _, _, blocks, linked = self.stack[-1] if self.stack else ("", False, False, 0, -1)
+        self.stack.append((tag, bad, main, blocks + (tag in BLOCK_TAGS and tag != "p"), len(self.stack) if tag in _LINKED or tag == "p" else linked))
+        self.count[tag] += 1
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            self.count[self.stack.pop()[0]] -= 1
+
+    def close(self, tag: str) -> bool:
+        if not self.count[tag]:
+            return False
+        while self.stack[-1][0] != tag:
+            self.cut(len(self.stack) - 1)
+        self.cut(len(self.stack) - 1)
+        return True
+
+    def _chain(self) -> Iterator[tuple[int, str]]:
+        """Open elements that an opening tag may close or that bound it, from the innermost on."""
+        at = self.stack[-1][4] if self.stack else -1
+        while at >= 0:
+            yield at, self.stack[at][0]
+            at = self.stack[at - 1][4] if at else -1
+
+    def imply(self, tag: str) -> None:
+        """Ends the paragraph that a block cannot stand in, and the item that the next one ends."""
+        if self.count["p"]:
+            k = next(i for i, t in self._chain() if t == "p" or t in _LINKED)
+            if self.stack[k][0] == "p" and self.stack[-1][3] == self.stack[k][3]:
+                self.cut(k)
+        shut = _CLOSES.get(tag, ())
+        for k, t in self._chain():
+            if t in shut:
+                self.cut(k)
+                break
+            if t in _BOUNDS:
+                break
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with text white space collapsed and character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
-    pieces: list[str] = []
-    linked, anchor, bad, main, heading, pos, n = 0, False, False, False, False, 0, len(page)
+    inside, pieces = _Open(), []
+    linked, anchor, bad, main, heading = 0, False, False, False, False
 
     def flush():
         nonlocal linked
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append(Block(text, min(linked, len(text)), bad, main, heading))
+                out.append(Block(text, min(linked, len(text)), bad, main, heading, inside.count["p"] > 0))
         pieces.clear()
         linked = 0
 
-    def state():
-        nonlocal bad, main
-        _, bad, main = stack[-1] if stack else ("", False, False)
-
-    def say(text: str):
-        nonlocal linked
-        pieces.append(text)
-        if anchor:
-            linked += len(text.strip())
-
-    while pos < n:
-        m = _TOKEN.search(page, pos)
-        if not m:
-            say(page[pos:])
-            break
-        if m.start() > pos:
-            say(page[pos : m.start()])
-        pos = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                say(" ")
+    for text, m in tokens(page):
+        if m is None:
+            pieces.append(text)
+            if anchor:
+                linked += len(text.strip())
             continue
         tag = m[2].lower()
         if m[1]:
@@ -142,50 +230,31 @@ def blocks(page: str) -> list[Block]:
             if tag in BLOCK_TAGS:
                 flush()
                 heading = False
-            if any(t == tag for t, _, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
-                state()
-            continue
-        if tag in RAW_TAGS:
-            if tag not in ("title", "textarea") and m[3].rstrip().endswith("/"):
-                continue
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
-            pos = end.end() if end else n
-            say(" ")
+            if inside.close(tag):
+                bad, main = inside.top
             continue
-        if tag == "br":
-            say(" ")
+        if tag in RAW_TAGS or tag == "br":
+            pieces.append(" ")
             continue
         if tag in BLOCK_TAGS:
             flush()
             heading = tag in HEADINGS
-            if any(t == "p" for t, _, _ in stack):
-                k = max(i for i, (t, _, _) in enumerate(stack) if t == "p")
-                if not any(t in BLOCK_TAGS for t, _, _ in stack[k + 1 :]):
-                    del stack[k:]
-            shut = _CLOSES.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in shut:
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "select"):
-                    break
+            inside.imply(tag)
             if tag in MAIN_TAGS:
                 # A menu or page header left open does not hold the article.
-                while stack and stack[-1][1] and any(t in ("nav", "header") for t, _, _ in stack):
-                    stack.pop()
-            state()
+                while inside.top[0] and inside.count["nav"] + inside.count["header"]:
+                    inside.cut(len(inside.stack) - 1)
+            bad, main = inside.top
         if tag == "a":
             anchor = True
         if tag in VOID_TAGS or m[3].rstrip().endswith("/") and tag not in BLOCK_TAGS:
             continue
         inner_bad = bad or _cues(tag, m[3], main)
-        stack.append((tag, inner_bad, (main or tag in MAIN_TAGS) and not inner_bad))
+        inside.push(tag, inner_bad, (main or tag in MAIN_TAGS) and not inner_bad)
         if tag in BLOCK_TAGS or inner_bad != bad:
             if inner_bad != bad:
                 flush()
-            state()
+            bad, main = inside.top
     flush()
     return out
 
@@ -208,7 +277,7 @@ def decide(block: Block) -> str:
         kind = "bad"
     else:
         density = stop_density(block.text)
-        kind = "bad" if density < STOP_LOW else "good" if density >= STOP_HIGH and size > LENGTH_HIGH else "near"
+        kind = ("bad" if block.link_chars else "short") if density < STOP_LOW else "good" if density >= STOP_HIGH and size > LENGTH_HIGH else "near"
     if not block.main:
         return kind
     return {"bad": "short" if size < LENGTH_LOW else "near", "short": "near", "near": "good", "good": "good"}[kind]
@@ -218,7 +287,7 @@ def label(found: list[Block]) -> list[Block]:
     """Both passes over the blocks of a page."""
     first = [decide(b) for b in found]
     content = any(b.main and x in ("good", "near") for b, x in zip(found, first, strict=True))
-    settled = [k for k, x in enumerate(first) if x in ("good", "bad")]
+    settled = [k for k, x in enumerate(first) if x in ("good", "bad") and not found[k].bad and not found[k].main]
     at = 0
     for k, kind in enumerate(first):
         found[k].label = kind
@@ -236,7 +305,7 @@ def label(found: list[Block]) -> list[Block]:
             found[k].label = first[right]
         elif len(sides) == 1 and (left is not None and right is not None or sides == {"good"}):
             found[k].label = sides.pop()
-        elif kind == "near":
+        elif kind == "near" or not sides and not content and (found[k].heading or found[k].paragraph):
             found[k].label = "good"
         elif sides == {"good", "bad"}:
             near = left if k - left < right - k else right if right - k < k - left else None
