@@ -8,8 +8,11 @@ each text, of size classes fitted to the items, start at local minima of a hash
 each walk several tables each hash a few sampled steps. Windows of one or two words, too short for a walk to fall in
 step again, have one table of all their words and start at every word of the text: they find items of which many
 words have an edit, as in typing or recognition errors. Every window that falls in a bucket of an item is
-verified: passages that share too few n-grams with the item for ``max_edit`` are dropped, which loses nothing,
-and the item is aligned with the others by exact edit distance of characters (Myers' bit vectors, free ends in the text).
+verified: an alignment through it with at most ``max_edit`` edits a character keeps most n-grams of the item, each about
+as far from the window as in the item. Where too few are, there is none; elsewhere the item is aligned with
+the passage by exact edit distance of characters (Myers' bit vectors, free ends in the text).
+
+Items and texts are lower-cased alike, by the characters of all scripts, before anything is hashed.
 
 Texts are never shuffled. Items go to the tasks in blocks of at most ``BLOCK`` items and ``BLOCK_BYTES``
 bytes, so nothing that is broadcast grows with the benchmark; each block is a pass over the texts.
@@ -24,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +37,16 @@ from foliant.llm.work import map_batches
 
 MAX_EDIT = 0.15
 WALKS, TABLES, SAMPLES, SPACING = 3, 8, 5, 4
-#: Window sizes in words; an item uses the largest that leaves SPACING words of it for a window to start, and those of SEED words.
-CLASSES, SEED = (1, 2, 4, 8, 16, 32), 2
+#: Window sizes in words are powers of two; an item uses the largest that leaves SPACING words of it for a window to start, and SEED.
+SEED = 2
 #: Size classes with one table of all words, looked up at every word of a text.
 DENSE = (1, 2)
-#: Lengths of the n-grams that a passage is pruned by, bits of their hash, passages pruned and collisions looked up at a time.
-GRAMS, GRAM_BITS, BATCH, CHUNK = (5, 4), 13, 64, 1 << 17
+#: Length of the n-grams that a passage is pruned by, n-grams and collisions looked up at a time.
+GRAM, BATCH, CHUNK = 4, 1 << 16, 1 << 17
+#: Bits of a place in a slice of text, below those of the n-gram that begins there.
+PLACE = 40
+#: log2 of the places in a stretch of text, of the flags that tell which n-grams stand in which stretch, and the most stretches looked up.
+STRETCH, FLAGS, STRETCHES = 6, 23, 8
 BLOCK, BLOCK_BYTES = 4096, 4 << 20
 _A = np.uint64(0xD6E8FEB86659FD93)
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
@@ -46,7 +54,11 @@ _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 
 def normalise(text: str) -> str:
     """Lower case, words of letters, digits and characters above 0x7F, one space between them."""
-    return " ".join(_WORD.findall(text)).lower()
+    return squash(pc.utf8_lower(text).as_py())
+
+
+def squash(text: str) -> str:
+    return " ".join(_WORD.findall(text))
 
 
 def edit_distance(pattern: str, text: str) -> int:
@@ -78,15 +90,6 @@ def edit_distance(pattern: str, text: str) -> int:
     return best
 
 
-GRAM = 4
-
-
-def could_match(grams: list[str], passage: str, most: int) -> bool:
-    """False only if more than ``most`` edits are needed: each edit changes GRAM of the item's grams at most."""
-    there = {passage[k : k + GRAM] for k in range(len(passage) - GRAM + 1)}
-    return sum(map(there.__contains__, grams)) >= len(grams) - GRAM * most
-
-
 class Index:
     """Hash tables of the windows of a block of items."""
 
@@ -94,22 +97,19 @@ class Index:
         self.max_edit, rng = max_edit, np.random.default_rng(seed)
         self.items = [(i, normalise(t or "")) for i, t in items]
         self.items = [(i, t) for i, t in self.items if t]
-        self.grams = [[t[k : k + GRAM] for k in range(len(t) - GRAM + 1)] for _, t in self.items]
         hashes = []
         for _, t in self.items:
             data = np.frombuffer(t.encode(), np.uint8)
             hashes.append(words(data, np.array([0, len(data)]), 0, 1, _SEP, _LOWER).hash)
         self.n_chars = np.array([len(t) for _, t in self.items], np.int64)
         self.most = np.array([int(max_edit * len(t)) for _, t in self.items], np.int64)
-        signs = [symbols(np.frombuffer(t.encode(), np.uint8))[0] for _, t in self.items]
-        self.own_grams = []
-        for n in GRAMS:
-            own = [_gram_hash(x, n) for x in signs]
-            self.own_grams.append((np.concatenate([np.zeros(0, np.int64), *own]), np.cumsum([0, *map(len, own)])))
+        own = [_gram_hash(symbols(np.frombuffer(t.encode(), np.uint8))[0]) for _, t in self.items]
+        # All n-grams of the items, and before them those that do not overlap.
+        self.grams = [(np.concatenate([np.zeros(0, np.int64), *(x[::n] for x in own)]), np.cumsum([0, *(len(x[::n]) for x in own)]), n) for n in (GRAM, 1)]
         self.n_words = np.array([len(h) for h in hashes], np.int64)
-        size = np.array([max(c for c in CLASSES if c == 1 or c <= n - SPACING) for n in self.n_words], np.int64) if hashes else np.zeros(0, np.int64)
-        self.classes = sorted(set(size.tolist()) | {c for c in CLASSES if c == SEED and size.max(initial=0) > SEED})
-        self.steps = min(64, 2 * max(self.classes, default=1))
+        size = np.array([1 << max(0, int(n - SPACING).bit_length() - 1) if n > SPACING else 1 for n in self.n_words], np.int64)
+        self.classes = sorted(set(size.tolist()) | ({SEED} if size.max(initial=0) > SEED else set()))
+        self.steps = 2 * max(self.classes, default=1)
         self.seeds = rng.integers(1, 1 << 62, walks).astype(np.uint64)
         self.plan: list[dict[int, list[tuple[int, int]]]] = []
         for _ in range(walks):
@@ -142,7 +142,7 @@ class Index:
         for walk, seed in enumerate(self.seeds):
             symbol = np.concatenate([mix(flat + seed), np.zeros(self.steps + 1, np.uint64)])
             at, sums = start.copy(), {}
-            for step in range(self.steps):
+            for step in range(max(self.plan[walk], default=-1) + 1):
                 s = symbol[at]
                 for c, t in self.plan[walk].get(step, ()):
                     sums[c, t] = s * _A if (c, t) not in sums else (sums[c, t] ^ s) * _A
@@ -185,28 +185,66 @@ class Index:
         if held:
             yield np.concatenate(held)
 
-    def may_match(self, grams: list[np.ndarray], item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Whether the symbols begin..end hold enough n-grams of the item, for each n of GRAMS; False only if they cannot match.
+    def may_match(self, grams: Grams, item: np.ndarray, at: np.ndarray, slack: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether an alignment of the item that begins, edits aside, in at..at + slack of the text may have few enough edits.
 
-        An edit changes n of the item's n-grams at most, so the others stand in the passage.
+        ``begin`` and ``end`` bound the row of the text. An edit changes GRAM of the item's n-grams at most, one of those
+        that do not overlap, and moves what follows by one place; so the n-grams that it keeps stand within
+        ``most`` places of where they would without edits. Flags are asked first, which say yes a little too often.
         """
-        out = np.ones(len(item), bool)
-        seen = np.zeros((min(BATCH, len(item)), 1 << GRAM_BITS), bool)
-        for n, text, own in zip(GRAMS, grams, self.own_grams, strict=True):
-            need = self.n_chars[item] - n + 1 - n * self.most[item]
-            size = np.maximum(np.minimum(end - n + 1, len(text)) - begin, 0)
-            out &= (need <= 0) | (size >= need)
-            look = np.flatnonzero(out & (need > 0))
-            for lo in range(0, len(look), BATCH):
-                part = look[lo : lo + BATCH]
-                k, at = _spread(begin[part], size[part])
-                there = k, text[at]
-                seen[there] = True
-                k, at = _spread(own[1][item[part]], own[1][item[part] + 1] - own[1][item[part]])
-                out[part] = np.bincount(k, seen[k, own[0][at]], len(part)) >= need[part]
-                seen[there] = False
+        look = np.arange(len(item))
+        for (own, first, apart), there in ((self.grams[0], grams.flagged), (self.grams[0], grams.stands), (self.grams[1], grams.stands)):
+            count = np.diff(first)[item[look]]
+            need = count - self.most[item[look]] * (GRAM // apart)
+            keep = need <= 0
+            todo = np.flatnonzero(~keep)
+            for part in np.split(todo, np.flatnonzero(np.diff(np.cumsum(count[todo]) // BATCH)) + 1):
+                if not len(part):
+                    continue
+                c = look[part]
+                k, x = _spread(first[item[c]], count[part])
+                low = (at[c] - self.most[item[c]])[k] + (x - first[item[c]][k]) * apart
+                high = np.minimum(low + (slack[c] + 2 * self.most[item[c]])[k], (end[c] - GRAM)[k])
+                low = np.maximum(low, begin[c][k])
+                keep[part] = np.bincount(k, there(own[x], low, high), len(part)) >= need[part]
+            look = look[keep]
+        out = np.zeros(len(item), bool)
+        out[look] = True
+        return out
+
+
+class Grams:
+    """Where the n-grams of a slice of text stand."""
+
+    def __init__(self, sign: np.ndarray):
+        name, at = _gram_hash(sign), np.arange(max(0, len(sign) - GRAM + 1))
+        # A flag tells of a stretch and the next one, so every other one is asked for.
+        self.flag = np.zeros(1 << FLAGS, bool)
+        for k in range(2):
+            self.flag[self._flag(name, (at >> STRETCH) - k)] = True
+        self.sorted = np.sort((name << PLACE) + at)
+        self.padded = np.append(self.sorted, np.int64(1) << np.int64(62))
+
+    @staticmethod
+    def _flag(name: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+        return (name.astype(np.uint32) + stretch.astype(np.uint32) * np.uint32(0x9E3779B1)) & np.uint32((1 << FLAGS) - 1)
+
+    def flagged(self, name: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """stands(), with a little more."""
+        one = low >> STRETCH
+        steps = int(((high >> STRETCH) - one).max(initial=0)) + 1
+        if steps > STRETCHES:
+            return np.ones(len(name), bool)
+        at = self._flag(name, one)
+        out = self.flag[at]
+        for k in range(2, steps, 2):
+            out |= self.flag[(at + np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF)) & np.uint32((1 << FLAGS) - 1)]
         return out
 
+    def stands(self, name: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether each n-gram begins somewhere in low..high."""
+        return self.padded[np.searchsorted(self.sorted, (name << PLACE) + low)] <= (name << PLACE) + high
+
 
 def _spread(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of the stretch and place, for each place of the stretches."""
@@ -216,8 +254,6 @@ def _spread(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 _SYMBOL = np.where(np.arange(256) >= 0x80, 0x80, np.where(_SEP, 0x20, _LOWER)).astype(np.uint8)
-#: Characters whose lower case is ASCII or longer than they are; symbols() does not fold them.
-_ODD = ("\u212a".encode(), "\u0130".encode())
 
 
 def symbols(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,14 +265,14 @@ def symbols(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _SYMBOL[data[at]], at
 
 
-def _gram_hash(s: np.ndarray, n: int) -> np.ndarray:
-    if len(s) < n:
+def _gram_hash(s: np.ndarray) -> np.ndarray:
+    if len(s) < GRAM:
         return np.zeros(0, np.int64)
-    x = np.zeros(len(s) - n + 1, np.uint32)
-    for k in range(n):
-        x = (x ^ s[k : len(s) - n + 1 + k]) * np.uint32(0x9E3779B1)
+    x = np.zeros(len(s) - GRAM + 1, np.uint32)
+    for k in range(GRAM):
+        x = (x ^ s[k : len(s) - GRAM + 1 + k]) * np.uint32(0x9E3779B1)
         x ^= x >> np.uint32(15)
-    return (x >> np.uint32(32 - GRAM_BITS)).astype(np.int64)
+    return (x >> np.uint32(10)).astype(np.int64)
 
 
 def anchors(flat: np.ndarray, spacing: int = SPACING) -> np.ndarray:
@@ -258,7 +294,7 @@ def _running_min(h: np.ndarray, n: int) -> np.ndarray:
 
 def leaks_in(texts: pa.Array, ix: Index) -> dict[tuple[int, int], int]:
     """Edits by (row, item) of the leaks in a column of texts."""
-    data, off = string_bytes(texts)
+    data, off = string_bytes(pc.utf8_lower(texts))
     leaks: dict[tuple[int, int], int] = {}
     if not ix.items:
         return leaks
@@ -269,10 +305,9 @@ def leaks_in(texts: pa.Array, ix: Index) -> dict[tuple[int, int], int]:
         base, tried = int(off[i]), set()
         here = data[base : int(off[j])]
         sign, place = symbols(here)
-        grams, edge = [_gram_hash(sign, n) for n in GRAMS], np.searchsorted(place, off[i : j + 1] - base)
+        grams, edge = Grams(sign), np.searchsorted(place, off[i : j + 1] - base)
         word = np.searchsorted(place, w.start)
         raw = here.tobytes()
-        odd = any(x in raw for x in _ODD)
         for rows in ix.candidates(w.hash):
             p, item, o = rows.T
             row = np.searchsorted(w.first, p, "right") - 1
@@ -285,15 +320,13 @@ def leaks_in(texts: pa.Array, ix: Index) -> dict[tuple[int, int], int]:
             grid, most = ix.most[item] // 2 + 4, ix.most[item]
             begin = np.maximum(edge[row], step * grid - most)
             end = np.minimum(edge[row + 1], (step + 1) * grid + ix.n_chars[item] + most)
-            good = np.ones(len(item), bool) if odd else ix.may_match(grams, item, begin, end)
+            good = ix.may_match(grams, item, step * grid, grid, edge[row], edge[row + 1])
             for r, k, c, x, y in np.stack([row, item, step, begin, end], 1)[good].tolist():
                 if (r, k, c) in tried or leaks.get((i + r, k)) == 0:
                     continue
                 tried.add((r, k, c))
-                passage = normalise(raw[place[x] : place[y] if y < len(place) else len(raw)].decode("utf-8", "replace"))
+                passage = squash(raw[place[x] : place[y] if y < len(place) else len(raw)].decode("utf-8", "replace"))
                 most = int(ix.most[k])
-                if not could_match(ix.grams[k], passage, most):
-                    continue
                 d = edit_distance(ix.items[k][1], passage)
                 if d <= most and d < leaks.get((i + r, k), 1 << 30):
                     leaks[i + r, k] = d
