@@ -1,14 +1,16 @@
 """LM scoring with Brown class-based bigrams whose classes come from exchange clustering.
 
-P(w | v) = P(class of w | class of v) * P(w | class of w). The units that are clustered are the
-``EXCHANGE`` most frequent words and ``GROUPS`` groups of all other words by the hash of their last
-bytes, so every word, an unknown one too, has a class that a task finds without a join. Clustering goes
-in rounds: Spark counts each unit's neighbours by class (a table of at most units * classes rows, whatever
-the corpus), and the driver then moves each unit in turn to the class that raises the likelihood most,
-updating the class counts as it goes. Transitions and emissions are smoothed by absolute discounting:
+P(w | v) = P(class of w | class of v) * P(w | class of w). Clustering has two steps. First the ``EXCHANGE`` most frequent words
+and ``GROUPS`` groups of all other words by the hash of their last bytes are units: in rounds, Spark counts each unit's
+neighbours by class (a table of at most units * classes rows, whatever the corpus), and the driver moves each
+unit in turn to the class that raises the likelihood most, updating the class counts as it goes. Then every other word of
+the ``FREQUENT`` most frequent ones leaves its group: its neighbours by class are counted, sharded by word, and tasks move
+words, each on its own, to the class that raises the likelihood most. So the number of clustered words grows with the vocabulary
+up to that bound; rarer and unknown words keep the class of their group, which a task finds without a join.
+Transitions and emissions are counted anew and smoothed by absolute discounting:
 transitions fall back on class frequencies, and what a class's words lose goes to its unknown word.
 
-Counts cover all training texts. The ``FREQUENT`` words that are most frequent are broadcast (a fixed
+Counts cover all training texts. The ``FREQUENT`` words that are most frequent are broadcast with their classes (a fixed
 bound); all other words' counts stay sharded by word, and only occurrences of such words are shuffled to
 them. Sums per text come from partial aggregation.
 """
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -242,13 +245,126 @@ def cluster(bigrams: DataFrame, units: Units, counts: np.ndarray, n_classes: int
     return g, table
 
 
+class WordClasses:
+    """Classes of words: frequent ones have their own, others that of their suffix group."""
+
+    def __init__(self, words: np.ndarray, classes: np.ndarray, group_classes: np.ndarray, end: int):
+        self.words, self.classes, self.group_classes, self.groups, self.end = words, classes.astype(np.int64), group_classes.astype(np.int64), len(group_classes), end
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the frequent words, whether there)."""
+        if not len(self.words):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        k = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return k, self.words[k] == hashes
+
+    def of(self, at: np.ndarray, there: np.ndarray, grp: np.ndarray) -> np.ndarray:
+        out = self.group_classes[grp]
+        out[there] = self.classes[at[there]]
+        return out
+
+
+def _sequences(batch: pa.RecordBatch, c: WordClasses) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By slices: the classes of consecutive texts with ends between, the place of each word in them, and the words found."""
+    data, off = string_bytes(batch.column("text"))
+    for i, j in slices(off):
+        w = words(data, off, i, j)
+        at, there = c.find(w.hash)
+        seq, _ = with_ends(c.of(at, there, suffix_groups(data, int(off[i]), w.start, w.end, c.groups)), w.first, c.end)
+        yield seq, np.arange(len(at)) + np.repeat(np.arange(j - i), w.counts) + 1, at, there
+
+
+def move_words(texts: DataFrame, known: WordClasses, table: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The class of each of the known words after those of ``own`` moved to the class that raises the likelihood most."""
+    spark, k = texts.sparkSession, len(table)
+    shared = spark.sparkContext.broadcast((known, table, own))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (c, _, mine), sums = shared.value, _Sums()
+
+        def out():
+            key, _, n = sums.take()
+            for lo in range(0, len(key), 1 << 16):
+                s = slice(lo, lo + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array((key[s] // np.uint64(2 * k)).astype(np.int32)), pa.array((key[s] % np.uint64(2 * k)).astype(np.int32)), pa.array(n[s])], ["word", "slot", "n"])
+
+        for batch in batches:
+            for seq, place, at, there in _sequences(batch, c):
+                place, at = place[there], at[there]
+                place, at = place[mine[at]], at[mine[at]]
+                if not len(at):
+                    continue
+                key = np.concatenate([at * 2 * k + seq[place - 1], at * 2 * k + k + seq[place + 1]])
+                if sums.add(key.astype(np.uint64)):
+                    sums.merge()
+                    if sums.size > HOLD:
+                        yield from out()
+        yield from out()
+
+    contexts = map_batches(texts, count, "word int, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    # A word has two rows per class at most.
+    contexts = contexts.groupBy("word").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("ns"))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, t, _ = shared.value
+        for batch in batches:
+            word, slots, ns = batch.column("word").to_numpy(), batch.column("slots"), batch.column("ns")
+            owner = np.repeat(np.arange(len(word)), pc.list_value_length(slots).to_numpy())
+            best = best_classes(t, c.classes[word], owner, slots.flatten().to_numpy(), ns.flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), pa.array(best, pa.int32())], ["word", "class"])
+
+    found = map_batches(contexts, assign, "word int, class int").toArrow()
+    out = known.classes.copy()
+    out[found.column("word").to_numpy()] = found.column("class").to_numpy()
+    return out
+
+
+def best_classes(table: np.ndarray, now: np.ndarray, owner: np.ndarray, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For words of classes ``now`` and neighbour counts (owner, slot, n), the class but the last with the greatest gain.
+
+    ``slot`` is the class of a neighbour before the word, or k more than that of one after it. A word's own counts are
+    taken out of its class first, so that staying is worth as much as moving in.
+    """
+    k, m, n = len(table), len(now), n.astype(np.float64)
+    after = slot >= k
+    # Class counts beside each neighbour: for one after the word the rows, for one before it the columns.
+    beside = np.where(after[:, None], table.T[slot % k], table[slot % k])
+    stay = np.zeros(beside.shape, bool)
+    stay[np.arange(len(slot)), now[owner]] = True
+    base = np.where(stay, np.maximum(beside - n[:, None], 0), beside)
+    gain = np.zeros((m, k))
+    np.add.at(gain, owner, _phi(base + n[:, None]) - _phi(base))
+    for side, total in ((after, table.sum(1)), (~after, table.sum(0))):
+        own = np.bincount(owner[side], n[side], m)[:, None]
+        base = np.where(np.arange(k) == now[:, None], np.maximum(total - own, 0), total)
+        gain -= _phi(base + own) - _phi(base)
+    return np.argmax(gain[:, : k - 1], 1)
+
+
+def count_classes(texts: DataFrame, known: WordClasses, k: int) -> np.ndarray:
+    """How often each class stands before each other one; a task passes on one table."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for seq, *_ in _sequences(batch, shared.value):
+                total += np.bincount(seq[:-1] * k + seq[1:], minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+
+    sums = map_batches(texts, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(k * k)
+    table[sums.column("pair").to_numpy()] = sums.column("n").to_numpy()
+    return table.reshape(k, k)
+
+
 class Model:
     """All that scoring needs but the counts of rare words."""
 
-    def __init__(self, units: Units, classes: np.ndarray, table: np.ndarray, types: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], total: int, distinct: int, ends: int, discount: float):
-        self.units, self.classes = units, classes
+    def __init__(self, known: WordClasses, counts: np.ndarray, table: np.ndarray, types: np.ndarray, total: int, distinct: int, ends: int, discount: float):
+        self.known, self.counts = known, counts
         self.total, self.distinct, self.ends, self.discount = total, distinct, ends, discount
-        self.words, self.counts = frequent
         k = len(table)
         count = table.sum(0)
         prior = (count + 1) / (count.sum() + k)
@@ -262,13 +378,6 @@ class Model:
             self.unknown_log = np.log10(unknown)
         self.base_log = math.log10(total + 0.1 * (distinct + 1)) if total else math.log10(0.1)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Counts of frequent words, 0 for others."""
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        k = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[k] == hashes, self.counts[k], 0)
-
 
 def train(texts: DataFrame, scratch: Scratch, n_classes: int = CLASSES, exchange: int = EXCHANGE, groups: int = GROUPS, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
     """A model of texts(text) and the table (word, n) of the words that are not frequent."""
@@ -297,9 +406,22 @@ def train(texts: DataFrame, scratch: Scratch, n_classes: int = CLASSES, exchange
     bigrams = scratch.write(count_bigrams(texts, units), "bigrams")
     classes, table = cluster(bigrams, units, counts, n_classes)
     scratch.drop("bigrams")
+    # Frequent words that are no units leave their groups.
+    word, n, grp = word[by_word], n[by_word], chosen.column("grp").to_numpy()[by_word]
+    tail, at = ~np.isin(word, units.words), np.zeros(len(word), np.int64)
+    at[~tail] = units.of(word[~tail], grp[~tail])
+    at[tail] = len(units.words) + grp[tail]
+    group_classes = classes[len(units.words) : units.end]
+    known = WordClasses(word, classes[at], group_classes, n_classes)
+    if tail.any():
+        known = WordClasses(word, move_words(texts, known, table, tail), group_classes, n_classes)
+        table = count_classes(texts, known, len(table))
     total, distinct = int(counts.sum()) + ends, int(types.sum()) + (ends > 0)
     discount = one / (one + 2 * two) if one and two else 0.5
-    model = Model(units, classes, table, np.bincount(classes, types, len(table)), (word[by_word], n[by_word]), total, distinct, ends, discount)
+    # Types of a class: its frequent words and the rare ones of its groups.
+    rare = types[len(units.words) : units.end] - np.bincount(grp[tail], minlength=groups)
+    of_class = np.bincount(known.classes, minlength=len(table)) + np.bincount(group_classes, rare, len(table))
+    model = Model(known, n, table, of_class, total, distinct, ends, discount)
     return model, vocab.where(F.col("n") < least).select("word", "n") if least is not None else vocab.select("word", "n")
 
 
@@ -323,14 +445,12 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, scratch: Scratch) -> D
             for i, j in slices(off):
                 w = words(data, off, i, j)
                 rows = j - i
-                unit = m.units.of(w.hash, suffix_groups(data, int(off[i]), w.start, w.end, m.units.groups))
-                seq, places = with_ends(unit, w.first, m.units.end)
-                cls = m.classes[seq]
+                at, seen = m.known.find(w.hash)
+                k = m.known.of(at, seen, suffix_groups(data, int(off[i]), w.start, w.end, m.known.groups))
+                cls, places = with_ends(k, w.first, m.known.end)
                 steps = np.concatenate([[0.0], np.cumsum(m.transition[cls[:-1], cls[1:]])])
                 row = np.repeat(np.arange(rows), w.counts)
-                c = m.find(w.hash)
-                k = m.classes[unit]
-                seen = c > 0
+                c = np.where(seen, m.counts[at], 0) if len(m.counts) else np.zeros(len(at), np.int64)
                 tokens[i:j] = w.counts + 1
                 known[i:j] = np.bincount(row[seen], minlength=rows) + (m.ends > 0)
                 base[i:j] = np.bincount(row[seen], np.log10(c[seen] + 0.1), rows) + end_base - tokens[i:j] * m.base_log
@@ -364,7 +484,10 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, scratch: Scratch) -> D
 def score_texts(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Learns from the texts that are not held out and scores all; one row per row of ``docs``.
 
-    Null texts are empty: one END token. Without any training text all counts are 0.
+    Null texts are empty: one END token. Without any training text all counts are 0. Rows that repeat are scored alike and
+    count as often as they stand; a null id counts as the empty text for the fold. Words of equal counts take their turn in
+    the order of their hashes. Texts of any length are read whole, one at a time; other columns, whatever their names, are not
+    read. An empty table gives no rows.
     """
     base = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("held_out", is_held_out(F.col("id")))
     model, rare = train(base.where(~F.col("held_out")).select("text"), scratch)
