@@ -28,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foliant.llm.work import map_batches, tasks
 
@@ -225,10 +226,17 @@ def _row(c: Codec, ids: list[int]) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()
 
 
-def encode_texts(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, segment: int = SEGMENT) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256[, ids]) per row; a null text is empty. Rows repeat as in the input."""
+def encode_texts(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, with_columns: bool = False, segment: int = SEGMENT) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256[, ids]) per row, ``with_columns`` after the other columns of docs but the text.
+
+    A null text is empty and an empty text has no ids. Rows repeat as in the input, ids may be null, long texts are encoded by
+    segments, equal long ones once. A column of docs that bears the name of a result is left out, all others may have any
+    names. An empty table gives no rows.
+    """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    own = {id_column, text_column, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])}
+    more = [c for c in docs.columns if c not in own] if with_columns else []
+    base = docs.select(F.struct(F.col(f"`{id_column}`").alias("id"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(more)]).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     fields, kinds = ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()]
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     names, types = fields + ["ids"] * with_ids, kinds + [pa.list_(pa.int32())] * with_ids
@@ -243,8 +251,8 @@ def encode_texts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
             columns = list(zip(*rows, strict=True)) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(v, t) for v, t in zip(columns, types, strict=True)]], ["id", *names])
 
-    kind = base.schema["id"].dataType.simpleString()
-    short = map_batches(base.where(F.length("text") <= segment), whole, f"id {kind}, {schema}")
+    kind = StructType([base.schema["id"], *StructType.fromDDL(schema)])
+    short = map_batches(base.where(F.length("text") <= segment), whole, kind)
     long = base.where(F.length("text") > segment).withColumn("key", F.sha2("text", 256))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +277,8 @@ def encode_texts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
     distinct = long.groupBy("key").agg(F.first("text").alias("text"))
     pieces = map_batches(map_batches(distinct, cut, "key string, no long, added boolean, part string").repartition(tasks(spark), "key", "no"), encode, "key string, no long, added boolean, part string, ids binary")
     joined = pieces.groupBy("key").applyInArrow(meet, f"key string, {schema}")
-    return short.unionByName(long.select("id", "key").join(joined, "key").select("id", *names)).withColumnRenamed("id", id_column)
+    out = short.unionByName(long.select("id", "key").join(joined, "key").select("id", *names))
+    return out.select(F.col("id.id").alias(id_column), *[F.col(f"id.c{k}").alias(c) for k, c in enumerate(more)], *names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

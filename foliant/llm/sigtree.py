@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators.graph import connected_components
@@ -270,7 +270,7 @@ def fingerprint(items: np.ndarray) -> tuple[int, int]:
 
 
 def _profiles(docs: DataFrame, order: Order) -> DataFrame:
-    """(doc_id, th, n, f1, f2, prefix) per row; the prefix only at the first of equal sets in a task."""
+    """(doc_id, th, th2, n, f1, f2, prefix) per row; the prefix only at the first of equal sets in a task."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -284,11 +284,11 @@ def _profiles(docs: DataFrame, order: Order) -> DataFrame:
                 f1.append(f[0])
                 f2.append(f[1])
                 keys.append(None if f in seen or not len(x) else (o.prefix(x) >> np.uint64(KEY_SHIFT)).view(np.int64))
-                if len(seen) < 1 << 20:
+                if len(seen) < 1 << 18:
                     seen.add(f)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "th", "n", "f1", "f2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), batch.column("th2"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "th", "th2", "n", "f1", "f2", "prefix"])
 
-    return map_batches(docs.select("doc_id", "th", "text"), run, f"doc_id {kind}, th long, n long, f1 long, f2 long, prefix array<long>")
+    return map_batches(docs.select("doc_id", "th", "th2", "text"), run, f"doc_id {kind}, th long, th2 long, n long, f1 long, f2 long, prefix array<long>")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, maps_only: bool = False) -> DataFrame:
@@ -315,7 +315,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, maps_only: bool = False) -> DataF
                 name = int(th[k]), int(second[k])
                 if name not in seen:
                     new.append(k)
-                    if len(seen) < 1 << 20:
+                    if len(seen) < 1 << 18:
                         seen.add(name)
             rows, f1, f2, n, items = [], [], [], [], []
             for k, x in shingle_sets(batch.column("text").take(pa.array(new, pa.int64())), WORDS):
@@ -532,8 +532,22 @@ def _compose(comp: DataFrame, more: DataFrame) -> DataFrame:
     return comp.join(step, "component", "left").select("id", F.coalesce("next", "component").alias("component")).unionByName(more)
 
 
-def jaccard_components(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS, block: int = BLOCK, with_hash: bool = False) -> DataFrame:
-    """(id, n_shingles, component_id) per row, ``with_hash`` with text_hash, the xxhash64 of the text (null: empty).
+def text_hashes(text_column: str = "text") -> tuple[Column, Column]:
+    """Two hashes of 64 bits that tell texts apart; a null text is empty."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def has_words(text_column: str = "text") -> Column:
+    """Whether a text has a word, and so a set that is not empty."""
+    return F.coalesce(F.col(text_column).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
+def jaccard_components(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS, block: int = BLOCK, with_groups: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) per row, ``with_groups`` with grp and text_hashes.
+
+    ``grp`` names the row's component, whatever ids its rows have, and is null for an empty set; the two text_hashes are those
+    of text_hashes().
 
     component_id is the smallest id reachable by links. Texts that are null, empty or without words have
     an empty set, link with nothing and are their own component; a row without id has the component of its equals, if any
@@ -542,7 +556,7 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, id_column: str =
     """
     spark = documents.sparkSession
     text = F.coalesce(F.col(text_column), F.lit(""))
-    docs = documents.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("th2"))
+    docs = documents.select(F.col(id_column).alias("doc_id"), text.alias("text"), *(h.alias(n) for h, n in zip(text_hashes(text_column), ("th", "th2"), strict=True)))
     heavy = heavy_shingles(docs, scratch)
     rows = scratch.write(_profiles(docs, Order(heavy)), "rows")
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("low"), F.min("th").alias("th"), F.first("prefix", ignorenulls=True).alias("prefix"))
@@ -583,11 +597,12 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, id_column: str =
     label = comp.select(F.col("id").alias("cid"), F.col("component").alias("comp"))
     named = classes.select("cid", "f1", "f2", "n", "low").join(label, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    done = scratch.write(named.join(least, "comp").select("f1", "f2", "n", "component_id"), "done")
+    done = scratch.write(named.join(least, "comp").select("f1", "f2", "n", "component_id", F.col("comp").alias("grp")), "done")
     # What is left for the result to read: the rows and their components.
     scratch.sweep("classes", "comp")
-    out = rows.select("doc_id", "th", "n", "f1", "f2").join(done, ["f1", "f2", "n"], "left")
-    return out.select(F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *([F.col("th").alias("text_hash")] if with_hash else []))
+    out = rows.join(done, ["f1", "f2", "n"], "left")
+    more = ["grp", F.col("th").alias("text_hash"), F.col("th2").alias("text_hash_2")] if with_groups else []
+    return out.select(F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
