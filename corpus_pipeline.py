@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents``: quality, near duplicates, benchmark leaks, tokens.
 
 Each stage works on all that its predecessor kept. Columns of documents pass through unchanged, further
-columns included, whatever their names.
+columns included, whatever their names; the last stage gives each of them beside the tokens, the text apart. No stage crashes
+on nulls, empty or very long texts, ties, repeated rows or an empty table; what becomes of them is stated for each.
 """
 
 from __future__ import annotations
@@ -14,41 +15,43 @@ from foliant.llm.work import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the Kneser-Ney classifier accepts; empty and null texts go."""
+    """Keeps what the Kneser-Ney classifier accepts; empty and null texts go. Repeated rows are judged alike; ids may be null."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rest = [c for c in docs.columns if c not in ("doc_id", "lang", "text")]
-    packed = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"), F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
-    judged = kn_quality.classify(packed, labels, Scratch(spark, "quality"), keep_text=True).where("keep")
-    return judged.select(*[F.col("rest")[c].alias(c) if c in rest else F.col(c) for c in docs.columns])
+    judged = kn_quality.classify(docs, labels, Scratch(spark, "quality"), keep_text=True).where("keep")
+    return judged.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the smallest id, once if its row repeats.
+    """Keeps one row of each group of linked documents: that with the smallest id, of several with one id that with the least hash of its text.
 
-    A document without an id stays unless an equal one has an id.
+    Rows are told apart by id and text, so an id that repeats with another text is another document. A row without an
+    id stays only if no row of its group has one. Texts without words link with nothing and stay as they are.
     """
     scratch = Scratch(spark, "duplicates")
-    groups = scratch.write(sigtree.jaccard_components(docs.select("doc_id", "text"), scratch, with_hash=True), "groups")
-    # Written first, so that its size is known before Spark chooses how to join. Texts are dealt once, by id, for
-    # the join and the repeats alike.
-    kept = scratch.write(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    alone = scratch.write(groups.where("doc_id is null and component_id is null").select("text_hash").distinct(), "alone")
-    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    nameless = docs.where("doc_id is null").join(alone, text_hash == alone["text_hash"], "left_semi").dropDuplicates(["text"])
-    return named.unionByName(nameless)
+    groups = scratch.write(sigtree.jaccard_components(docs.select("doc_id", "text"), scratch, with_groups=True), "groups")
+    name = F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("name"), "text_hash", "text_hash_2")
+    # Written first, so that its size is known before Spark chooses how to join.
+    kept = scratch.write(groups.where("grp is not null").groupBy("grp").agg(F.min(name).alias("k")).select("k.*"), "kept")
+    one, two = sigtree.text_hashes()
+    # Texts are dealt once, by name and hashes, for the join and the repeats alike.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("name"), one.alias("text_hash"), two.alias("text_hash_2"), sigtree.has_words().alias("words"))
+    named = rows.where("words").join(kept, kept.columns, "left_semi").groupBy(*kept.columns).agg(F.first("row").alias("row"))
+    return named.select("row").unionByName(rows.where("not words").select("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents into which a benchmark item leaks."""
+    """Drops documents into which a benchmark item leaks, each row by its own text; null and empty texts stay, and so do all if there are no items."""
     return decontam.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the text decoded from them."""
+    """Token ids of every row, with digests of the ids and of the text decoded from them, beside the columns of documents but the text.
+
+    A null text is empty: no ids. A column of documents that bears the name of a result gives way to it.
+    """
     import public_tokenizers
 
-    return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, with_columns=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("tokens", tokens)]
