@@ -42,7 +42,9 @@ SEED = 2
 #: Size classes with one table of all words, looked up at every word of a text.
 DENSE = (1, 2)
 #: Length of the n-grams that a passage is pruned by, n-grams and collisions looked up at a time.
-GRAM, BATCH, CHUNK = 4, 1 << 16, 1 << 17
+GRAM, BATCH, CHUNK = 5, 1 << 16, 1 << 17
+#: Bytes of text read at a time; the n-grams of so many should set few of all flags.
+SLICE = 1 << 18
 #: Bits of a place in a slice of text, below those of the n-gram that begins there.
 PLACE = 40
 #: log2 of the places in a stretch of text, of the flags that tell which n-grams stand in which stretch, and the most stretches looked up.
@@ -103,9 +105,12 @@ class Index:
             hashes.append(words(data, np.array([0, len(data)]), 0, 1, _SEP, _LOWER).hash)
         self.n_chars = np.array([len(t) for _, t in self.items], np.int64)
         self.most = np.array([int(max_edit * len(t)) for _, t in self.items], np.int64)
-        own = [_gram_hash(symbols(np.frombuffer(t.encode(), np.uint8))[0]) for _, t in self.items]
-        # All n-grams of the items, and before them those that do not overlap.
-        self.grams = [(np.concatenate([np.zeros(0, np.int64), *(x[::n] for x in own)]), np.cumsum([0, *(len(x[::n]) for x in own)]), n) for n in (GRAM, 1)]
+        signs = [symbols(np.frombuffer(t.encode(), np.uint8))[0] for _, t in self.items]
+        # N-grams of the items: those that do not overlap, and all.
+        self.grams = []
+        for apart in (GRAM, 1):
+            own = [_gram_hash(x)[::apart] for x in signs]
+            self.grams.append((np.concatenate([np.zeros(0, np.int64), *own]), np.cumsum([0, *map(len, own)]), apart))
         self.n_words = np.array([len(h) for h in hashes], np.int64)
         size = np.array([1 << max(0, int(n - SPACING).bit_length() - 1) if n > SPACING else 1 for n in self.n_words], np.int64)
         self.classes = sorted(set(size.tolist()) | ({SEED} if size.max(initial=0) > SEED else set()))
@@ -141,12 +146,19 @@ class Index:
         """Hash of each table for windows that start at ``start`` in the words ``flat``."""
         for walk, seed in enumerate(self.seeds):
             symbol = np.concatenate([mix(flat + seed), np.zeros(self.steps + 1, np.uint64)])
-            at, sums = start.copy(), {}
+            at, sums = start.astype(np.int64), {}
+            s, bit = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
             for step in range(max(self.plan[walk], default=-1) + 1):
-                s = symbol[at]
+                np.take(symbol, at, out=s, mode="clip")
                 for c, t in self.plan[walk].get(step, ()):
-                    sums[c, t] = s * _A if (c, t) not in sums else (sums[c, t] ^ s) * _A
-                at += ((s >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
+                    if (c, t) in sums:
+                        sums[c, t] ^= s
+                        sums[c, t] *= _A
+                    else:
+                        sums[c, t] = s * _A
+                np.right_shift(s, np.uint64(step & 63), out=bit)
+                bit &= np.uint64(1)
+                at += bit.view(np.int64)
             for (c, t), x in sums.items():
                 yield (walk, c, t), x ^ (x >> np.uint64(29))
 
@@ -192,7 +204,8 @@ class Index:
         that do not overlap, and moves what follows by one place; so the n-grams that it keeps stand within
         ``most`` places of where they would without edits. Flags are asked first, which say yes a little too often.
         """
-        look = np.arange(len(item))
+        # Items of one size together, as flags are asked for over the widest window of a batch.
+        look = np.argsort(self.most[item], kind="stable")
         for (own, first, apart), there in ((self.grams[0], grams.flagged), (self.grams[0], grams.stands), (self.grams[1], grams.stands)):
             count = np.diff(first)[item[look]]
             need = count - self.most[item[look]] * (GRAM // apart)
@@ -216,10 +229,12 @@ class Index:
 class Grams:
     """Where the n-grams of a slice of text stand."""
 
-    def __init__(self, sign: np.ndarray):
+    def __init__(self, sign: np.ndarray, flag: np.ndarray | None = None):
+        """``flag``: an array to be used again."""
         name, at = _gram_hash(sign), np.arange(max(0, len(sign) - GRAM + 1))
+        self.flag = np.empty(1 << FLAGS, bool) if flag is None else flag
+        self.flag.fill(False)
         # A flag tells of a stretch and the next one, so every other one is asked for.
-        self.flag = np.zeros(1 << FLAGS, bool)
         for k in range(2):
             self.flag[self._flag(name, (at >> STRETCH) - k)] = True
         self.sorted = np.sort((name << PLACE) + at)
@@ -298,14 +313,15 @@ def leaks_in(texts: pa.Array, ix: Index) -> dict[tuple[int, int], int]:
     leaks: dict[tuple[int, int], int] = {}
     if not ix.items:
         return leaks
-    for i, j in slices(off):
+    flag = np.empty(1 << FLAGS, bool)
+    for i, j in slices(off, SLICE):
         w = words(data, off, i, j, _SEP, _LOWER)
         if not len(w.hash):
             continue
         base, tried = int(off[i]), set()
         here = data[base : int(off[j])]
         sign, place = symbols(here)
-        grams, edge = Grams(sign), np.searchsorted(place, off[i : j + 1] - base)
+        grams, edge = Grams(sign, flag), np.searchsorted(place, off[i : j + 1] - base)
         word = np.searchsorted(place, w.start)
         raw = here.tobytes()
         for rows in ix.candidates(w.hash):
