@@ -33,8 +33,10 @@ CLASSES, EXCHANGE, GROUPS, ROUNDS = 64, 4096, 1024, 4
 FREQUENT = 1 << 18
 SUFFIX = 3
 TRANSITION_DISCOUNT = 0.5
-#: Distinct keys that a task gathers before it passes them on.
-HOLD = 1 << 20
+#: Distinct keys that a task gathers before it passes them on; fewer for neighbours of words, whose columns come beside.
+HOLD, MOVE_HOLD = 1 << 20, 1 << 18
+#: Neighbour counts of words compared with all classes at a time.
+COMPARED = 1 << 13
 
 
 def is_held_out(doc_id):
@@ -52,10 +54,10 @@ def suffix_groups(data: np.ndarray, base: int, start: np.ndarray, end: np.ndarra
 
 
 class _Sums:
-    """Counts by 64-bit key that are merged whenever HOLD new ones have come."""
+    """Counts by 64-bit key that are merged whenever ``hold`` new ones have come."""
 
-    def __init__(self):
-        self.keys, self.extra, self.n, self.size = [], [], [], 0
+    def __init__(self, hold: int = HOLD):
+        self.keys, self.extra, self.n, self.size, self.hold = [], [], [], 0, hold
 
     def add(self, key: np.ndarray, extra: np.ndarray | None = None) -> bool:
         u, first, n = np.unique(key, return_index=True, return_counts=True)
@@ -63,9 +65,9 @@ class _Sums:
         self.n.append(n)
         self.extra.append(extra[first] if extra is not None else np.zeros(0, np.int64))
         self.size += len(u)
-        if self.size > 2 * HOLD:
+        if self.size > 2 * self.hold:
             self.merge()
-        return self.size > HOLD
+        return self.size > self.hold
 
     def merge(self) -> None:
         if self.keys:
@@ -77,7 +79,7 @@ class _Sums:
     def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         self.merge()
         out = (self.keys[0], self.extra[0], self.n[0]) if self.keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        self.__init__()
+        self.__init__(self.hold)
         return out
 
 
@@ -280,7 +282,7 @@ def move_words(texts: DataFrame, known: WordClasses, table: np.ndarray, own: np.
     shared = spark.sparkContext.broadcast((known, table, own))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (c, _, mine), sums = shared.value, _Sums()
+        (c, _, mine), sums = shared.value, _Sums(MOVE_HOLD)
 
         def out():
             key, _, n = sums.take()
@@ -297,7 +299,7 @@ def move_words(texts: DataFrame, known: WordClasses, table: np.ndarray, own: np.
                 key = np.concatenate([at * 2 * k + seq[place - 1], at * 2 * k + k + seq[place + 1]])
                 if sums.add(key.astype(np.uint64)):
                     sums.merge()
-                    if sums.size > HOLD:
+                    if sums.size > MOVE_HOLD:
                         yield from out()
         yield from out()
 
@@ -310,7 +312,11 @@ def move_words(texts: DataFrame, known: WordClasses, table: np.ndarray, own: np.
         for batch in batches:
             word, slots, ns = batch.column("word").to_numpy(), batch.column("slots"), batch.column("ns")
             owner = np.repeat(np.arange(len(word)), pc.list_value_length(slots).to_numpy())
-            best = best_classes(t, c.classes[word], owner, slots.flatten().to_numpy(), ns.flatten().to_numpy())
+            slots, ns, best = slots.flatten().to_numpy(), ns.flatten().to_numpy(), np.zeros(len(word), np.int64)
+            for part in np.split(np.arange(len(word)), np.flatnonzero(np.diff(np.searchsorted(owner, np.arange(len(word))) // COMPARED)) + 1):
+                if len(part):
+                    lo, hi = np.searchsorted(owner, [part[0], part[-1] + 1])
+                    best[part] = best_classes(t, c.classes[word[part]], owner[lo:hi] - part[0], slots[lo:hi], ns[lo:hi])
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), pa.array(best, pa.int32())], ["word", "class"])
 
     found = map_batches(contexts, assign, "word int, class int").toArrow()
