@@ -1,14 +1,14 @@
 """WARC: revisit resolution and deduplicated archives with fresh headers.
 
-Only headers (digest, length, id) are shuffled to find groups of equal payloads: a partial aggregation
+Only headers (digest, length, id) are shuffled, by payload digest, to find groups of equal payloads: a partial aggregation
 per digest keeps the row with the largest id, so a digest that holds a third of all records sends one
-row per task. Groups of one drop out. Records then meet the originals of repeated digests in an
-equi-join; originals are replicated over ``SALTS`` salts, so records of one hot digest spread over as
-many tasks. Payloads of revisits are dropped before they are written.
+row per task. Groups of one drop out. The largest groups, BROADCAST_GROUPS at most, are broadcast, so their records meet
+their originals where they are; only if there are more groups, and then smaller ones, are the other records joined by digest.
+Payloads of revisits are dropped before they are written.
 
 Archives are written by the tasks, one gzip member per record, to a temporary name that is renamed
-when complete; a task that runs again writes the same names again. Reading is streamed record by
-record. Payloads that are equal share a SHA-1.
+when complete; names tell the attempt, and files of attempts that the manifest does not list are deleted. Reading is streamed
+record by record. Payloads that are equal share a SHA-1.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from foliant.llm.work import Scratch, map_batches
 
 MIN_REVISIT_BYTES = 1000
-SALTS = 16
+BROADCAST_GROUPS = 100_000
 #: An archive is closed when it has so many compressed bytes.
 ARCHIVE_BYTES = 64 << 20
 #: Fixed values of the WARC 1.1 format.
@@ -38,20 +38,28 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DATE = "2024-01-01T00:00:00Z"
 
 
-def resolve_revisits(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, salts: int = SALTS) -> DataFrame:
+def resolve_revisits(records: DataFrame, scratch: Scratch, min_bytes: int = MIN_REVISIT_BYTES, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """Adds record_type, refers_to, refers_to_uri to records(record_no, uri, payload).
 
     Of records with equal payloads of at least ``min_bytes`` the one with the largest record_no is the
     response. Rows that repeat both that number and the payload are each a response. A null payload
-    is empty; a record without a number is a revisit if any record of its payload has one.
+    is empty; a record without a number is a revisit if any record of its payload has one. Payloads of any length are read
+    whole; other columns, whatever their names, are not read; an empty table gives no rows.
     """
-    full = records.withColumn("payload", F.coalesce(F.col("payload"), F.lit(b"").cast("binary")))
+    full = records.select("record_no", "uri", F.coalesce(F.col("payload"), F.lit(b"").cast("binary")).alias("payload"))
     full = full.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     headers = full.where(F.col("payload_bytes") >= min_bytes).select("payload_digest", "payload_bytes", "record_no", "uri")
-    groups = headers.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("record_no", "uri")).alias("top"), F.count("*").alias("n"))
-    groups = groups.where("n > 1 and top.record_no is not null").select("payload_digest", "payload_bytes", "top", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = full.withColumn("salt", F.pmod(F.xxhash64("record_no", "uri"), F.lit(salts)).cast("int"))
-    joined = salted.join(groups, ["payload_digest", "payload_bytes", "salt"], "left")
+    key = ["payload_digest", "payload_bytes"]
+    groups = headers.groupBy(*key).agg(F.max(F.struct("record_no", "uri")).alias("top"), F.count("*").alias("n")).where("n > 1 and top.record_no is not null")
+    groups = scratch.write(groups, "groups")
+    large = rest = groups
+    if many := groups.count() > broadcast_groups:
+        large = scratch.write(groups.orderBy(F.desc("n"), *key).limit(broadcast_groups), "large")
+        rest = groups.join(large.select(*key), key, "left_anti")
+    joined = full.join(F.broadcast(large.drop("n")), key, "left")
+    if many:
+        open_yet = F.col("top").isNull() & (F.col("payload_bytes") >= min_bytes)
+        joined = joined.where(~open_yet).unionByName(joined.where(open_yet).drop("top").join(rest.drop("n"), key, "left"))
     revisit = F.col("top").isNotNull() & ~F.col("record_no").eqNullSafe(F.col("top.record_no"))
     return joined.select(
         "record_no", "uri", "payload_digest", "payload_bytes",
@@ -109,8 +117,8 @@ def write_archives(resolved: DataFrame, folder: str, archive_bytes: int = ARCHIV
             nonlocal out, size, count, seq
             if out is not None:
                 out.close()
-                final = f"{top}/part-{part:05d}-{seq:04d}.warc.gz"
-                store.move(f"{final}.{attempt}.tmp", final)
+                final = f"{top}/part-{part:05d}-{seq:04d}-{attempt}.warc.gz"
+                store.move(f"{final}.tmp", final)
                 made.append((final, count, size))
                 out, size, count, seq = None, 0, 0, seq + 1
 
@@ -118,7 +126,7 @@ def write_archives(resolved: DataFrame, folder: str, archive_bytes: int = ARCHIV
             columns = [batch.column(n) for n in ("record_no", "uri", "payload_digest", "payload_bytes", "record_type", "refers_to", "refers_to_uri", "payload")]
             for k in range(batch.num_rows):
                 if out is None:
-                    out = store.open_output_stream(f"{top}/part-{part:05d}-{seq:04d}.warc.gz.{attempt}.tmp", compression=None)
+                    out = store.open_output_stream(f"{top}/part-{part:05d}-{seq:04d}-{attempt}.warc.gz.tmp", compression=None)
                 member = gzip.compress(encode_record(*(c[k].as_py() for c in columns)), 6, mtime=0)
                 out.write(member)
                 size, count = size + len(member), count + 1
@@ -177,6 +185,16 @@ class _Joined(io.RawIOBase):
         return self.rest.read(n)
 
 
+def _drop_strays(made: DataFrame, folder: str) -> None:
+    """Deletes files of tasks that ran again; few, whatever the number of archives."""
+    spark = made.sparkSession
+    there = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    known = made.select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    store, top = _filesystem(folder)
+    for r in there.join(known, "name", "left_anti").toLocalIterator():
+        store.delete_file(f"{top}/{r.name}")
+
+
 def read_archives(paths: DataFrame, with_payload: bool = False) -> DataFrame:
     """Records of the archives in ``paths(path)``; the payload digest of responses is computed anew and must agree."""
     names = ["record_no", "uri", "record_type", "refers_to", "payload_bytes", "payload_digest", "warc_record_id", "warc_refers_to", *(["payload"] if with_payload else [])]
@@ -212,7 +230,8 @@ def dedupe_archives(records: DataFrame, scratch: Scratch, folder: str | None = N
     """Resolves, writes and reads back: (archives written, records read from them)."""
     spark = records.sparkSession
     folder = folder or scratch.path("warc")
-    made = scratch.write(write_archives(resolve_revisits(records), folder), "manifest")
+    made = scratch.write(write_archives(resolve_revisits(records, scratch), folder), "manifest")
+    _drop_strays(made, folder)
     scheme = folder.split("://")[0] + "://" if "://" in folder else "file://"
     paths = made.select(F.when(F.col("path").contains("://"), F.col("path")).otherwise(F.concat(F.lit(scheme), "path")).alias("path"))
     return made, read_archives(paths.repartition(max(2, min(made.count(), spark.sparkContext.defaultParallelism * 4))))

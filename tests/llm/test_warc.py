@@ -47,6 +47,26 @@ def test_plain_and_broken_archives():
         list(warc.parse_records(io.BytesIO(record[:-8])))
 
 
+def test_groups_beyond_those_that_are_broadcast(spark, scratch):
+    rows = [(10 * g + k, f"u{k}", bytes([65 + g]) * (1000 + g)) for g in range(6) for k in range(g + 1)]
+    df = records(spark, [(*r, "x") for r in rows])
+    got = {r.record_no: (r.record_type, r.refers_to, r.payload is None) for r in warc.resolve_revisits(df, scratch, broadcast_groups=2).collect()}
+    top = {g: 10 * g + g for g in range(6)}
+    assert got == {n: ("response", None, False) if n == top[n // 10] else ("revisit", top[n // 10], True) for n, _, _ in rows}
+
+
+def test_files_of_other_attempts_go(spark, scratch):
+    import os
+
+    folder = scratch.path("strays").removeprefix("file://")
+    os.makedirs(folder)
+    for name in ("part-00000-0000-99.warc.gz", "part-00000-0001-99.warc.gz.tmp"):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(gzip.compress(b"WARC/1.1\r\n"))
+    made, back = warc.dedupe_archives(records(spark, [(1, "u", b"a" * (3 << 20), "x")]), scratch, scratch.path("strays"))
+    assert back.count() == 1 and sorted(f for f in os.listdir(folder) if not f.startswith(".")) == [made.first().path.rpartition("/")[2]]
+
+
 def test_empty(spark, scratch):
     _, got = run(spark, scratch, [])
     assert got == []
