@@ -6,7 +6,8 @@ the sample's median; a vector within ``SPILL`` of a split goes down both sides.
 through every tree. Classes that share a label and a leaf are compared by cosine in double precision. A
 pair that shares several leaves counts in the least of them only, so sums of links need no list of pairs.
 
-A leaf of more than ``LEAF_ROWS`` classes is cut into chunks, and each pair of chunks is a task's work of
+A tree is descended only as far as the size of the vector's label asks for, so rare labels stay whole and
+a hot one has leaves of the same size. A leaf of more than ``LEAF_ROWS`` classes is cut into chunks, and each pair of chunks is a task's work of
 bounded size; all its pairs are still compared. Each comparison emits, per class, its number of links
 and one edge to a root of its local component; components of those edges are found by
 ``connected_components``. The forest is the only thing broadcast; its size is fixed by TREES and DEPTH.
@@ -28,6 +29,10 @@ from foliant.llm.work import Scratch, map_batches
 COSINE = 0.98
 TREES, MAX_DEPTH, SPILL = 6, 12, 0.5
 SAMPLE, LEAF_TARGET, LEAF_ROWS = 16384, 128, 1024
+#: Vectors of one length up to which no forest is fitted for them.
+FEW = 2048
+#: Labels up to which their sizes are broadcast.
+BROADCAST_LABELS = 100_000
 SEED = 20240
 
 
@@ -40,18 +45,23 @@ class Forest:
     depth: int
     spill: float
 
-    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) pairs of unit vectors; leaves are numbered over all trees."""
+    def leaves(self, x: np.ndarray, depth: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) pairs of unit vectors, each down to its own depth; leaves are numbered over the nodes of all trees."""
         rows, found = [], []
+        depth = np.full(len(x), self.depth) if depth is None else np.minimum(depth, self.depth)
         for t in range(len(self.directions)):
             row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
+            for level in range(self.depth + 1):
+                there = depth[row] == level
+                rows.append(row[there])
+                found.append(node[there] + t * 2 ** (self.depth + 1))
+                row, node = row[~there], node[~there]
+                if not len(row):
+                    break
                 side = np.einsum("ij,ij->i", x[row], self.directions[t][node]) - self.cuts[t][node]
                 left, right = side <= self.spill, side > -self.spill
                 row = np.concatenate([row[left], row[right]])
                 node = np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
-            rows.append(row)
-            found.append(node - (2**self.depth - 1) + t * 2**self.depth)
         return np.concatenate(rows), np.concatenate(found)
 
 
@@ -72,9 +82,14 @@ def fit(sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL
     return Forest(directions, cuts, depth, spill * float(np.sqrt(2 * (1 - cosine) / d)))
 
 
-def unit(x: np.ndarray) -> np.ndarray:
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to 1/2..1: exact, and no product overflows or vanishes."""
     x = x.astype(np.float64)
-    x = x / np.abs(x).max(1, keepdims=True)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True, initial=0))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -115,7 +130,7 @@ def compare(cosine: float):
         leaf = group.column("leaf")[0].as_py()
         one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
         cid, mult, chunk = (group.column(c).to_numpy() for c in ("cid", "mult", "chunk"))
-        raw = _matrix(group.column("vector"))
+        raw = scaled(_matrix(group.column("vector")))
         norm = np.sqrt((raw * raw).sum(1))
         order = group.column("leaves").combine_chunks()
         a, b = (np.arange(len(cid)),) * 2 if one == two else (np.flatnonzero(chunk == one), np.flatnonzero(chunk == two))
@@ -153,8 +168,9 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE
     """(id, n_links, component_id, kept) per row.
 
     Vectors that are null, zero or hold null or non-finite components, and rows with a null label, link
-    with nothing, and so do vectors of different lengths. A row without an id links with nothing and has
-    no component. Rows that repeat an id are vectors of their own.
+    with nothing, and so do vectors of different lengths, of which there may be any number. A row without an id links with
+    nothing and has no component. Rows that repeat an id are vectors of their own; a pair of exactly ``cosine`` is linked. Finite
+    components of any size count. Other columns, whatever their names, are not read; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("string").alias("label"), F.col(vector_column).cast("array<double>").alias("vector"))
@@ -162,12 +178,15 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE
     some = base.where("vector is not null")
     classes = some.groupBy("label", "vector").agg(F.count("*").alias("mult"), F.min("id").alias("low"))
     classes = scratch.write(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    dims = [r[0] for r in classes.select(F.size("vector").alias("d")).distinct().limit(65).collect()]
-    if len(dims) > 64:
-        raise ValueError("vectors have over 64 different lengths")
-    parts = [_links(classes.where(F.size("vector") == d), scratch, cosine, trees, f"links-{d}") for d in dims]
-    none = spark.createDataFrame([], "cid long, links long, root long")
-    links = none
+    # One row per length: those with many vectors have a forest each, the others are compared label by label.
+    sizes = {r.d: r.n for r in classes.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).collect()}
+    large = sorted(d for d, n in sizes.items() if n > FEW)
+    parts = [_links(classes.where(F.size("vector") == d), scratch, cosine, trees, f"links-{d}") for d in large]
+    if len(sizes) > len(large):
+        rest = classes.where(~F.size("vector").isin(large)) if large else classes
+        few = rest.select("cid", F.concat_ws(" ", F.size("vector").cast("string"), "label").alias("label"), "mult", "vector", F.array(F.lit(0).cast("long")).alias("leaves"))
+        parts.append(_compare(few, scratch, cosine, "links-few"))
+    links = spark.createDataFrame([], "cid long, links long, root long")
     for p in parts:
         links = links.unionByName(p)
     sums = links.groupBy("cid").agg(F.sum("links").alias("links"))
@@ -185,24 +204,33 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE
 def _links(classes: DataFrame, scratch: Scratch, cosine: float, trees: int, name: str) -> DataFrame:
     """(cid, links, root) rows of all leaves over classes of one vector length."""
     spark = classes.sparkSession
-    total = classes.count()
     sample = classes.select("vector").orderBy(F.xxhash64("cid")).limit(SAMPLE).toArrow()
-    labels = classes.select("label").distinct().count()
-    depth = int(np.clip(np.ceil(np.log2(max(1, total / max(1, labels) / LEAF_TARGET))), 0, min(MAX_DEPTH, max(0, np.log2(max(1, sample.num_rows / 4))))))
+    sizes = scratch.write(classes.groupBy("label").agg(F.count("*").alias("n")), f"{name}-labels")
+    most = sizes.agg(F.max("n")).first()[0]
+    deepest = int(min(MAX_DEPTH, max(0, np.log2(max(1, sample.num_rows / 4)))))
+    depth = int(np.clip(np.ceil(np.log2(max(1, most / LEAF_TARGET))), 0, deepest))
     shared = spark.sparkContext.broadcast(fit(unit(_matrix(sample.column("vector"))), depth, trees, cosine=cosine))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF_TARGET))).cast("int").alias("depth")
+    levels = sizes.select("label", level)
+    classes = classes.join(F.broadcast(levels) if sizes.count() <= BROADCAST_LABELS else levels, "label")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, leaf = forest.leaves(unit(_matrix(batch.column("vector"))))
+            row, leaf = forest.leaves(unit(_matrix(batch.column("vector"))), batch.column("depth").to_numpy())
             order = np.lexsort((leaf, row))
             off = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
             leaves = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(leaf[order]))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("cid", "label", "mult", "vector")], leaves], ["cid", "label", "mult", "vector", "leaves"])
 
-    routed = scratch.write(map_batches(classes.select("cid", "label", "mult", "vector"), route, "cid long, label string, mult long, vector array<double>, leaves array<long>"), f"{name}-routed")
+    routed = scratch.write(map_batches(classes.select("cid", "label", "mult", "vector", "depth"), route, "cid long, label string, mult long, vector array<double>, leaves array<long>"), f"{name}-routed")
+    return _compare(routed, scratch, cosine, name)
+
+
+def _compare(routed: DataFrame, scratch: Scratch, cosine: float, name: str) -> DataFrame:
+    """(cid, links, root) rows of all leaves of routed(cid, label, mult, vector, leaves)."""
     spread = routed.select("cid", "label", "mult", F.explode("leaves").alias("leaf"))
     sizes = spread.groupBy("label", "leaf").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / LEAF_ROWS).cast("int"))
     rows = routed.withColumn("leaf", F.explode("leaves")).join(sizes, ["label", "leaf"])

@@ -55,6 +55,28 @@ def test_against_brute_force(spark, scratch, leaf_rows, monkeypatch):
     assert run(spark, scratch, rows) == brute(rows)
 
 
+def test_large_and_small_values_and_many_lengths(spark, scratch, monkeypatch):
+    monkeypatch.setattr(R, "FEW", 3)
+    rows = [(0, [1e200, 2e200, 3e200], 0), (1, [1e200, 2e200, 3.0001e200], 0), (2, [1e-200, 2e-200, 3e-200], 0), (3, [-1e200, 2e200, 3e200], 0), (4, [5e-324, 0.0, 0.0], 0)]
+    rows += [(100 + 2 * d + k, [1.0] * d + [0.001 * k], 1) for d in range(4, 80) for k in range(2)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in R.near_duplicates(df, scratch).collect()}
+    assert [got[k] for k in range(5)] == [(2, 0), (2, 0), (2, 0), (0, 3), (0, 4)]
+    assert all(got[100 + 2 * d + k] == (1, 100 + 2 * d) for d in range(4, 80) for k in range(2))
+
+
+def test_leaves_follow_the_size_of_the_label():
+    rng = np.random.default_rng(4)
+    x = R.unit(rng.standard_normal((3000, 16)))
+    forest = R.fit(x[:1000], 5)
+    depth = np.where(np.arange(3000) < 500, 0, np.where(np.arange(3000) < 1500, 2, 9))
+    row, leaf = forest.leaves(x, depth)
+    node = leaf % 2**6
+    assert set(np.bincount(row[row < 500])[:500].tolist()) == {R.TREES}
+    level = np.floor(np.log2(node + 1)).astype(int)
+    assert (level == np.minimum(depth[row], 5)).all()
+
+
 def test_empty_and_single(spark, scratch):
     assert run(spark, scratch, []) == []
     assert run(spark, scratch, [(3, [1.0, 2.0], 0)]) == [(3, 0, 3, True)]
