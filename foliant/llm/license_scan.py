@@ -4,7 +4,10 @@ Texts and templates are normalised alike: A-Z lower-cased, words are runs of let
 above 0x7F. For a template of m bigrams only passages of m*t/(2-t) to m*(2-t)/t bigrams can reach a Dice
 coefficient t, and they must share at least m*t/(2-t) bigrams with it; both bounds prune candidates before any
 coefficient is computed. A text's bigrams are first looked up in the templates' small table, so running
-text costs one lookup a word. The best passages that do not overlap are kept, whole texts are scanned,
+text costs one lookup a word. A passage must also hold the word pairs that its template needs, such as those of a
+version. For each template a text is read once: of the passages that begin before the best one so far ends
+the best is kept, and reading goes on behind it, so time and memory follow the text's length however many copies it holds.
+Of the passages of all templates the best that do not overlap are given, ties to the longer template. Whole texts are scanned,
 and no row depends on another.
 
 A one-word template is compared as that word. Null, empty and one-word texts match nothing else.
@@ -20,36 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm.license_texts import TEMPLATES
 from foliant.llm.tokens import _LOWER, mix, slices, string_bytes, words
 from foliant.llm.work import map_batches
 
 THRESHOLD = 0.8
-#: Licence notices and short licences by SPDX id; several wordings may share an id.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
-    ("CC0-1.0", "Released under CC0 1.0 Universal."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-)
 _SEP = np.ones(256, bool)
 _SEP[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _A = np.uint64(0xD6E8FEB86659FD93)
@@ -65,22 +43,31 @@ class Matcher:
     """Templates as bigram multisets, and the search for their passages in a text's bigrams."""
 
     def __init__(self, templates=TEMPLATES, threshold: float = THRESHOLD):
-        self.t, self.names, self.bags = threshold, [], []
-        for name, text in templates:
-            data = np.frombuffer(text.encode(), np.uint8)
+        self.t, self.names, self.bags, self.needs = threshold, [], [], []
+        for name, text, *needs in templates:
             self.names.append(name)
-            self.bags.append(Counter(bigrams(words(data, np.array([0, len(data)]), 0, 1, _SEP, _LOWER).hash).tolist()))
+            self.bags.append(Counter(self._bigrams(text).tolist()))
+            self.needs.append(self._bigrams(needs[0]) if needs and needs[0] else np.zeros(0, np.uint64))
         self.sizes = [sum(b.values()) for b in self.bags]
         self.low = [m * threshold / (2 - threshold) for m in self.sizes]
         self.high = [m * (2 - threshold) / threshold for m in self.sizes]
         keys = sorted({k for b in self.bags for k in b})
+        self.limit = [np.zeros(len(keys), np.int64) for _ in self.bags]
         self.keys = np.array(keys, np.uint64)
         self.member = np.zeros((len(keys), len(self.bags)), bool)
         for t, bag in enumerate(self.bags):
-            self.member[np.searchsorted(self.keys, np.array(list(bag), np.uint64)), t] = True
+            at = np.searchsorted(self.keys, np.array(list(bag), np.uint64))
+            self.member[at, t] = True
+            self.limit[t][at] = list(bag.values())
+            self.needs[t] = np.searchsorted(self.keys, self.needs[t][np.isin(self.needs[t], self.keys)])
         self.flag = np.zeros(1 << 16, bool)
         self.flag[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
 
+    @staticmethod
+    def _bigrams(text: str) -> np.ndarray:
+        data = np.frombuffer(text.encode(), np.uint8)
+        return bigrams(words(data, np.array([0, len(data)]), 0, 1, _SEP, _LOWER).hash)
+
     def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of bigrams that some template has, and which of the keys each is."""
         at = np.flatnonzero(self.flag[(x & np.uint64(0xFFFF)).astype(np.int64)])
@@ -92,24 +79,7 @@ class Matcher:
 
     def best(self, at: np.ndarray, key: np.ndarray) -> list[tuple[float, int, int, int]]:
         """(dice, template, first bigram, bigrams) of the best passages that do not overlap."""
-        found = []
-        for t, bag in enumerate(self.bags):
-            mine = self.member[key, t] if len(key) else np.zeros(0, bool)
-            p, k = at[mine], key[mine]
-            if len(p) < max(1, self.low[t] - 1e-9):
-                continue
-            reach = np.searchsorted(p, p + self.high[t] + 1e-9, "left")
-            for i in np.flatnonzero(reach - np.arange(len(p)) >= self.low[t] - 1e-9):
-                left, shared = dict(bag), 0
-                for j in range(i, reach[i]):
-                    h = int(self.keys[k[j]])
-                    if left.get(h, 0):
-                        left[h] -= 1
-                        shared += 1
-                    size = int(p[j] - p[i]) + 1
-                    dice = 2 * shared / (size + self.sizes[t])
-                    if dice >= self.t - 1e-12 and size <= self.high[t] + 1e-9:
-                        found.append((dice, t, int(p[i]), size))
+        found = [hit for t in range(len(self.bags)) for hit in self._passages(t, at, key)]
         found.sort(key=lambda x: (-x[0], -self.sizes[x[1]], x[1], x[2], x[3]))
         kept: list[tuple[float, int, int, int]] = []
         taken = np.zeros(max((b + n for _, _, b, n in found), default=0) + 1, bool)
@@ -120,14 +90,70 @@ class Matcher:
                 kept.append(hit)
         return sorted(kept, key=lambda x: x[2])
 
+    def _passages(self, t: int, at: np.ndarray, key: np.ndarray) -> Iterator[tuple[float, int, int, int]]:
+        """Passages of one template, none within another."""
+        mine = self.member[key, t] if len(key) else np.zeros(0, bool)
+        p, k = at[mine], key[mine]
+        if len(p) < max(1, self.low[t] - 1e-9):
+            return
+        reach = np.searchsorted(p, p + self.high[t] + 1e-9, "left")
+        starts = np.flatnonzero(reach - np.arange(len(p)) >= self.low[t] - 1e-9)
+        if not len(starts):
+            return
+        # Of each bigram, how many stand before each place; a passage counts it as often as the template has it.
+        order = np.argsort(k, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(k[order]) != 0))
+        rank = np.empty(len(k), np.int64)
+        rank[order] = np.arange(len(k)) - np.repeat(first, np.diff(np.append(first, len(k))))
+        before, most = np.zeros(len(self.keys), np.int64), self.limit[t]
+        best, end, done = None, -1, 0
+        for i in starts.tolist():
+            if best and p[i] > end:
+                yield best
+                best = None
+            if not best and p[i] <= end:
+                # The rest of a passage that was given.
+                continue
+            before[k[done:i]] = np.maximum(before[k[done:i]], rank[done:i] + 1)
+            done = i
+            own = slice(i, reach[i])
+            shared = np.cumsum(rank[own] - before[k[own]] < most[k[own]])
+            size = p[own] - p[i] + 1
+            dice = 2 * shared / (size + self.sizes[t])
+            for need in self.needs[t].tolist():
+                there = np.flatnonzero(k[own] == need)
+                dice[: there[0] if len(there) else len(dice)] = 0
+            dice[size > self.high[t] + 1e-9] = 0
+            j = int(np.argmax(dice))
+            if dice[j] >= self.t - 1e-12 and (best is None or dice[j] > best[0]):
+                best = (float(dice[j]), t, int(p[i]), int(size[j]))
+                end = int(p[i] + size[j])
+        if best:
+            yield best
+
+
+#: Templates of a table, and their characters, up to which they fit a task.
+MAX_TEMPLATES, MAX_TEMPLATE_CHARS = 5_000, 64 << 20
+
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, license_id, dice, first_word, n_words, passage) for each passage found, in whole texts."""
+    """(id, license_id, dice, first_word, n_words, passage) for each passage found, in whole texts.
+
+    ``templates`` are tuples (id, text, needs) or a table (license_id, text, needs) of checked size. Null and empty texts
+    have no passage, texts of any length are read whole, ids may be null, repeated rows give their passages each; of
+    templates that fit alike the longer wins, then the one that stands first. Other columns, whatever their names, are not
+    read. An empty table gives no rows.
+    """
+    if isinstance(templates, DataFrame):
+        size = templates.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+        if size.n > MAX_TEMPLATES or (size.chars or 0) > MAX_TEMPLATE_CHARS:
+            raise ValueError("too many templates for a task; scan with parts of the table")
+        templates = tuple((r.license_id, r.text, r.needs or "") for r in templates.where("text <> ''").orderBy("license_id", "text").collect())
     base = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(templates, threshold)
+        matcher = Matcher(templates, threshold)  # some milliseconds a task
         for batch in batches:
             data, off = string_bytes(batch.column("text"))
             rows, out = [], []
