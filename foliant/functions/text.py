@@ -7,6 +7,7 @@ whole-stage code generation except NFC, for which the JVM side has no function.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,8 +29,17 @@ CONJUNCTIONS = ("và", "nhưng", "tuy", "mặc dù", "vì", "do", "nếu", "khi"
 HEADING = r"^(?:(?:Chương|Chapter|Hồi|Quyển|Book|Vol|Volume)\s+\d+|\d+\.\s+(?:Chương|Chapter)|(?:Chương|Chapter)\s+\d+\s*:|Đệ\s+\d+\s+Chương|第\s*\d+\s*章)"
 
 
+#: White space as Unicode defines it.
+WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
+
+
+def _where(c: Column, test: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """``change`` of texts that a cheap test lets through; a text is computed once for both."""
+    return F.transform(F.array(c), lambda x: F.when(test(x), change(x)).otherwise(x))[0]
 
 
 def strip_bom(c: Column) -> Column:
@@ -49,7 +59,8 @@ def nfc(c: Column) -> Column:
 
 
 def remove_links(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, URL, ""), EMAIL, "")
+    c = _where(c, lambda x: x.contains("://"), lambda x: F.regexp_replace(x, URL, ""))
+    return _where(c, lambda x: x.contains("@"), lambda x: F.regexp_replace(x, EMAIL, ""))
 
 
 def count_links(c: Column) -> Column:
@@ -65,21 +76,27 @@ def remove_page_numbers(c: Column) -> Column:
 
 
 def basic_whitespace(c: Column) -> Column:
-    c = F.regexp_replace(c, r"[ \t]+", " ")
+    c = _single_blanks(c)
     c = F.array_join(F.transform(F.split(c, r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]", -1), strip), "\n")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
 def advanced_whitespace(c: Column) -> Column:
     """At most one empty line, no blanks before a line end that no empty line follows, single blanks."""
-    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    c = F.regexp_replace(c, r" +\n(?!\n)", "\n")
-    return strip(F.regexp_replace(c, r"[ \t]+", " "))
+    c = _where(c, lambda x: x.contains("\n\n\n"), lambda x: F.regexp_replace(x, r"\n{3,}", "\n\n"))
+    c = _where(c, lambda x: x.contains(" \n"), lambda x: F.regexp_replace(x, r"(?<! ) +\n(?!\n)", "\n"))
+    return strip(_single_blanks(c))
+
+
+def _single_blanks(c: Column) -> Column:
+    return _where(c, lambda x: x.contains("  ") | x.contains("\t"), lambda x: F.regexp_replace(x, r"[ \t]+", " "))
 
 
 def punctuation_spacing(c: Column) -> Column:
-    c = F.regexp_replace(c, rf"(?U)\s+([{CJK_CLOSE}])", "$1")
-    c = F.regexp_replace(c, rf"(?U)([{CJK_OPEN}])\s+", "$1")
+    # All of these marks lie beyond two bytes, so a text of Latin letters alone is told by its size.
+    wide = lambda x: F.octet_length(x) >= F.length(x) + 2
+    c = _where(c, lambda x: wide(x) & x.rlike(f"[{CJK_CLOSE}]"), lambda x: F.regexp_replace(x, rf"(?U)(?<!\s)\s+([{CJK_CLOSE}])", "$1"))
+    c = _where(c, lambda x: wide(x) & x.rlike(f"[{CJK_OPEN}]"), lambda x: F.regexp_replace(x, rf"(?U)([{CJK_OPEN}])\s+", "$1"))
     return F.regexp_replace(c, r"([.!?,;:])([A-Za-z])", "$1 $2")
 
 
@@ -94,8 +111,12 @@ def _with_before(items: Column) -> Column:
 
 def drop_repeated_lines(c: Column) -> Column:
     """Without lines that repeat the line before them; blank lines end a run."""
-    kept = F.filter(_with_before(lines(c)), lambda z: z["before"].isNull() | (strip(z["x"]) == "") | (strip(z["x"]) != strip(z["before"])))
-    return F.array_join(F.transform(kept, lambda z: z["x"]), "\n")
+
+    def kept(x: Column) -> Column:
+        rows = F.filter(_with_before(lines(x)), lambda z: z["before"].isNull() | (strip(z["x"]) == "") | (strip(z["x"]) != strip(z["before"])))
+        return F.array_join(F.transform(rows, lambda z: z["x"]), "\n")
+
+    return _where(c, lambda x: x.contains("\n"), kept)
 
 
 def clean(c: Column, profile: str = "safe", advanced: bool = True) -> Column:

@@ -8,8 +8,10 @@ through batches of documents; nothing is shuffled, and a chunk id counts within
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -26,12 +28,22 @@ SENTENCE_ENDS = frozenset(".!?。！？")
 AFTER_END = frozenset('"”»」')
 
 
+@lru_cache(1)
+def _quarters() -> np.ndarray:
+    """Quarter tokens of each code point: CJK 4, marks 2, white space and all other 1."""
+    out = np.ones(0x110000, np.uint8)
+    plain = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for pattern, weight in ((_MARK, 2), (_SPACE, 1), (_CJK, 4)):
+        out[np.frombuffer("".join(pattern.findall(plain)).encode("utf-32-le"), np.uint32)] = weight
+    return out
+
+
 def weighted_tokens(text: str) -> int:
     """CJK 1, marks 1/2, white space 1/4, other 1/4 a character; at least 1, 0 for no text."""
     if not text:
         return 0
-    cjk, space, mark = (sum(1 for _ in p.finditer(text)) for p in (_CJK, _SPACE, _MARK))
-    return max(1, (4 * cjk + space + 2 * mark + (len(text) - cjk - space - mark)) // 4)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return max(1, int(_quarters()[points].sum(dtype=np.int64)) // 4)
 
 
 @dataclass
@@ -50,7 +62,6 @@ class Chunker:
     min_utilization: float = 0.5
     small_last: bool = True
     balance: bool = True
-    _unused: None = field(default=None, repr=False)
 
     def paragraphs(self, text: str) -> list[str]:
         out: list[str] = []
@@ -94,9 +105,13 @@ class Chunker:
         """Longest fitting prefixes; what is left loses its leading white space."""
         rest, out = text.strip(), []
         while rest:
-            if self.count(rest) <= self.limit:
-                return [*out, rest]
-            lo, hi = 1, len(rest)
+            # A prefix that does not fit bounds the search, so what is left is not counted for each piece.
+            hi = min(len(rest), 2 * self.limit)
+            while self.count(rest[:hi]) <= self.limit:
+                if hi == len(rest):
+                    return [*out, rest]
+                hi = min(len(rest), 2 * hi)
+            lo = 1
             while lo < hi:
                 mid = (lo + hi + 1) // 2
                 lo, hi = (mid, hi) if self.count(rest[:mid]) <= self.limit else (lo, mid - 1)
@@ -104,14 +119,18 @@ class Chunker:
             rest = rest[lo:] if self.count(rest[:lo]) > self.limit else rest[lo:].lstrip()
         return out
 
-    def _units(self, paragraph: str) -> Iterator[tuple[str, bool]]:
-        """(unit, whether it comes from a paragraph too long to stay whole)."""
-        if self.count(paragraph) <= self.limit:
-            yield paragraph, False
+    def _units(self, paragraph: str, size: int) -> Iterator[tuple[str, int, bool]]:
+        """(unit, its size, whether it comes from a paragraph too long to stay whole)."""
+        if size <= self.limit:
+            yield paragraph, size, False
             return
         for s in self.sentences(paragraph) or [paragraph]:
-            for unit in [s] if self.count(s) <= self.limit else self.hard_split(s):
-                yield unit, True
+            own = self.count(s)
+            if own <= self.limit:
+                yield s, own, True
+            else:
+                for unit in self.hard_split(s):
+                    yield unit, self.count(unit), True
 
     def pack(self, text: str) -> list[Piece]:
         """Greedy packing of paragraphs.
@@ -135,8 +154,7 @@ class Chunker:
             own = self.count(paragraph)
             if own > self.limit:
                 close()
-            for unit, split in self._units(paragraph):
-                size = self.count(unit)
+            for unit, size, split in self._units(paragraph, own):
                 if held and tokens + size > self.limit:
                     stretch = not split and size <= self.limit * 0.4 and (self.incomplete(held[-1]) or self.incomplete(unit))
                     if not stretch:
@@ -189,7 +207,7 @@ class Chunker:
             held, tokens = [], 0
 
         for p in pieces:
-            size = self.count(p.text)
+            size = p.tokens
             if size < least:
                 held.append(p.text)
                 tokens += size
@@ -201,7 +219,7 @@ class Chunker:
                     flush()
                 else:
                     flush()
-                    out.append(new(p.text))
+                    out.append(Piece(p.text, size, "paragraph_split"))
             else:
                 flush()
                 out += self.pack(p.text)
@@ -244,6 +262,10 @@ def pack_entries(sizes: list[int], limit: int) -> list[int]:
     return out
 
 
+#: Texts whose pieces are held at a time.
+FOLDED_ROWS = 512
+
+
 def fold_documents(docs: DataFrame, fold: Callable[[str], list[tuple]], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, ...) from a function of one text; ``schema`` names what follows the key. Null texts give no rows."""
     kind = docs.schema[key].dataType.simpleString()
@@ -251,10 +273,12 @@ def fold_documents(docs: DataFrame, fold: Callable[[str], list[tuple]], schema:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, *row) for k, t in zip(frame[key], frame[text], strict=True) if t is not None for row in fold(t)]
-            yield pd.DataFrame(rows, columns=names)
+            # In parts, so that pieces of many long texts do not pile up.
+            for lo in range(0, max(1, len(frame)), FOLDED_ROWS):
+                part = frame.iloc[lo : lo + FOLDED_ROWS]
+                rows = [(k, *row) for k, t in zip(part[key], part[text], strict=True) if t is not None for row in fold(t)]
+                yield pd.DataFrame(rows, columns=names)
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return docs.select(key, text).mapInPandas(run, f"{key} {kind}, {schema}")
 
 
