@@ -9,9 +9,11 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -20,7 +22,11 @@ from pyspark.sql import functions as F
 
 from foliant.functions.layout import epub_paragraphs, text_map
 
-ENCODINGS = ("utf-8", "gb18030", "big5", "cp1252")
+#: Encodings of two bytes a character with the lead bytes of their most usual characters, as both lists sort those first, and the
+#: least second byte of those.
+WIDE = {"gb18030": (0xA1, 0xD7, 0xA1), "big5": (0xA1, 0xC6, 0x40)}
+#: Below this confidence a text is read as UTF-8, bad bytes replaced.
+CONFIDENT = 0.7
 #: Standard column names of the dictionaries and the names they also go by.
 GLOSSARY_COLUMNS = {
     "Original_Term_CN": ("Original_Term_CN", "Original_Term_Chinese", "Chinese", "CN"), "Original_Term_Pinyin": ("Original_Term_Pinyin", "Pinyin"), "Original_Term_EN": ("Original_Term_EN", "English", "EN", "Term"),
@@ -29,31 +35,61 @@ GLOSSARY_COLUMNS = {
 RELATION_COLUMNS = {"Speaker_ID": ("Speaker_ID", "Character_A", "Speaker"), "Listener_ID": ("Listener_ID", "Character_B", "Listener"), "Context": ("Context",), "Speaker_Pronoun": ("Speaker_Pronoun", "A_Self"), "Listener_Term": ("Listener_Term", "B_Self"), "Notes": ("Notes",), "Type": ("Type",), "Chapter_Range": ("Chapter_Range",)}
 
 
-def decode(data: bytes, forced: str | None = None) -> tuple[str, str]:
-    """(text, encoding): a byte order mark, valid UTF-8, else the first encoding that fits; bad bytes are replaced."""
-    if forced:
-        return data.decode(forced, "replace"), forced
+def detect(data: bytes) -> tuple[str, float]:
+    """(encoding, confidence): a byte order mark, valid UTF-8, else the likeliest of WIDE and Windows-1252.
+
+    For the wide ones confidence is the share of usual characters among all beyond ASCII, for Windows-1252 the share of letters
+    and typographic marks beside letters or spaces among the high bytes.
+    """
     for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if data.startswith(mark):
-            return data.decode(name, "replace"), name
-    for name in ENCODINGS:
+            return name, 1.0
+    try:
+        data.decode()
+        return "utf-8", 1.0
+    except UnicodeDecodeError:
+        pass
+    found = [(0.0, "utf-8")]
+    for name, (low, high, second) in WIDE.items():
         try:
-            return data.decode(name), name
+            wide = [c.encode(name) for c in data.decode(name) if c > "\x7f"]
         except UnicodeDecodeError:
             continue
-    return data.decode("utf-8", "replace"), "utf-8"
+        found.append((sum(len(b) == 2 and low <= b[0] <= high and b[1] >= second for b in wide) / max(1, len(wide)), name))
+    try:
+        text = data.decode("cp1252")
+        high = [k for k, c in enumerate(text) if c > "\x7f"]
+        alone = sum(text[k].isalpha() and not (k and text[k - 1] > "\x7f" and not text[k - 1].isalpha()) or text[k] in "‘’“”–—…€«»°§" for k in high)
+        single = sum(not (k and text[k - 1] > "\x7f") for k in high)
+        found.append((alone / max(1, len(high)) * min(1.0, 1.2 * single / max(1, len(high))), "cp1252"))
+    except UnicodeDecodeError:
+        pass
+    confidence, name = max(found, key=lambda x: x[0])
+    return name, confidence
+
+
+def decode(data: bytes, forced: str | None = None) -> tuple[str, str]:
+    """(text, encoding) by detect(), or in the ``forced`` encoding; bad bytes are replaced."""
+    name, confidence = (forced, 1.0) if forced else detect(data)
+    if confidence < CONFIDENT:
+        name = "utf-8"
+    return data.decode(name, "replace"), name
 
 
 def _spine(z: zipfile.ZipFile) -> list[str]:
-    """Chapter files in reading order."""
+    """Chapter files in reading order: the spine, else the manifest's pages, else all pages of the archive by name."""
     strip = lambda tag: tag.rpartition("}")[2]
-    box = ElementTree.fromstring(z.read("META-INF/container.xml"))
-    opf = next(e.attrib["full-path"] for e in box.iter() if strip(e.tag) == "rootfile")
-    tree = ElementTree.fromstring(z.read(opf))
-    items = {e.attrib["id"]: e.attrib["href"] for e in tree.iter() if strip(e.tag) == "item"}
+    try:
+        box = ElementTree.fromstring(z.read("META-INF/container.xml"))
+        opf = next(e.attrib["full-path"] for e in box.iter() if strip(e.tag) == "rootfile")
+        tree = ElementTree.fromstring(z.read(opf))
+    except (KeyError, StopIteration, ElementTree.ParseError):
+        return sorted(n for n in z.namelist() if n.lower().endswith((".xhtml", ".html", ".htm")))
+    items = {e.attrib["id"]: e.attrib for e in tree.iter() if strip(e.tag) == "item" and "href" in e.attrib}
     base = opf.rpartition("/")[0]
-    names = [items[e.attrib["idref"]] for e in tree.iter() if strip(e.tag) == "itemref" and e.attrib.get("idref") in items]
-    return [f"{base}/{n}" if base else n for n in names]
+    names = [items[e.attrib["idref"]]["href"] for e in tree.iter() if strip(e.tag) == "itemref" and e.attrib.get("idref") in items]
+    names = names or [i["href"] for i in items.values() if "html" in i.get("media-type", "") or i["href"].lower().endswith((".xhtml", ".html"))]
+    return [posixpath.normpath(f"{base}/{unquote(n)}") if base else unquote(n) for n in names]
 
 
 def epub_chapters(data: bytes) -> list[tuple[str, str]]:
@@ -98,7 +134,6 @@ def read_documents(spark: SparkSession, path: str, parsers: dict[str, Callable[[
                     rows.append((name, kind, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "format", "text", "encoding", "error"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(run, "path string, format string, text string, encoding string, error string")
 
@@ -119,11 +154,25 @@ def read_epub_layout(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, text_id string, chapter_id string, ord int, text string, inner_html string, image_only boolean")
 
 
-def read_dictionary(spark: SparkSession, path: str, columns: dict[str, tuple[str, ...]] = GLOSSARY_COLUMNS) -> DataFrame:
-    """A CSV of strings under standard column names: the first alias there is, blank where there is none; malformed rows go."""
-    raw = spark.read.csv(path, header=True, mode="DROPMALFORMED", multiLine=True, escape='"', encoding="utf-8")
-    clean = {c.lstrip("﻿").strip(): c for c in raw.columns}
-    return raw.select(*[F.coalesce(F.col(f"`{clean[found]}`") if (found := next((a for a in names if a in clean), None)) else F.lit(None).cast("string"), F.lit("")).alias(std) for std, names in columns.items()])
+def sniff_delimiter(spark: SparkSession, path: str, choices: str = ",;\t|") -> str:
+    """The delimiter that stands most often in the first line of a file that has any; the first choice if none does."""
+    heads = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    counts = [heads[0].value.count(c) for c in choices] if heads else [1]
+    return choices[counts.index(max(counts))] if max(counts) else choices[0]
+
+
+def read_dictionary(spark: SparkSession, path: str, columns: dict[str, tuple[str, ...]] = GLOSSARY_COLUMNS, sep: str | None = None) -> DataFrame:
+    """A CSV of strings under standard column names; of a row's aliases the first that is not blank, blank where there is none.
+
+    The delimiter is found from the header unless given; malformed rows go.
+    """
+    raw = spark.read.csv(path, header=True, mode="DROPMALFORMED", multiLine=True, escape='"', encoding="utf-8", sep=sep or sniff_delimiter(spark, path))
+    clean = {c.lstrip("\ufeff").strip(): c for c in raw.columns}
+
+    def first(names: tuple[str, ...]):
+        return F.coalesce(*[F.nullif(F.trim(F.col(f"`{clean[a]}`")), F.lit("")) for a in names if a in clean], F.lit(""))
+
+    return raw.select(*[first(names).alias(std) for std, names in columns.items()])
 
 
 def read_profile(spark: SparkSession, path: str) -> DataFrame:

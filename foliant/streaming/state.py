@@ -21,11 +21,11 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[],
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, fresh = None, None, True
         for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                if fresh or row[key] != current:
-                    current, state, fresh = row[key], start(), False
-                out.append(step(state, row))
+            out, columns = [], {c: frame[c].tolist() for c in frame}
+            for k, name in enumerate(columns[key]):
+                if fresh or name != current:
+                    current, state, fresh = name, start(), False
+                out.append(step(state, {c: v[k] for c, v in columns.items()}))
             yield pd.DataFrame(out, columns=names)
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)

@@ -73,3 +73,44 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r")).count() == 4
     sinks.write_progress(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
+
+
+def test_encodings_and_confidence():
+    chinese = "他说：你好，世界。这是一个测试，我们在学习中文。" * 3
+    assert files.decode(chinese.encode("gb18030"))[0] == chinese
+    assert files.decode("這是一個測試，我們在學習中文，他說你好。".encode("big5")) == ("這是一個測試，我們在學習中文，他說你好。", "big5")
+    assert files.decode("Überfälle im Süden — “vorbei”, sagte Müller.".encode("cp1252"))[1] == "cp1252"
+    assert files.decode("déjà vu à l’été".encode("cp1252"))[0] == "déjà vu à l’été"
+    noise = bytes([0x81, 0x20, 0xFF, 0x41, 0x8D, 0x9D])
+    assert files.detect(noise)[1] < files.CONFIDENT and files.decode(noise)[1] == "utf-8"
+    assert files.decode(b"") == ("", "utf-8")
+
+
+def test_epub_without_a_container(spark, tmp_path):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("b.xhtml", "<p>two</p>")
+        z.writestr("a.html", "<p>one</p>")
+    assert files.parse_epub(out.getvalue()) == "one\n\ntwo"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="O/c.opf"/></rootfiles></container>')
+        z.writestr("O/c.opf", '<package><manifest><item id="a" href="x%20y.xhtml" media-type="application/xhtml+xml"/><item id="c" href="s.css" media-type="text/css"/></manifest><spine/></package>')
+        z.writestr("O/x y.xhtml", "<p>named</p>")
+    assert files.parse_epub(out.getvalue()) == "named"
+
+
+def test_chunk_files_are_whole_and_packed_when_long(spark, tmp_path):
+    df = spark.createDataFrame([(1, "short"), (2, "long " * 2000)], "chunk_id long, text string")
+    made = {r.path.rpartition("/")[2] for r in sinks.write_files(df, f"file://{tmp_path}/c", sinks.chunk_file).collect()}
+    assert made == {"chunk_1.txt", "chunk_2.txt.gz"}
+    assert {r.chunk_id: len(r.text) for r in files.read_progress(spark, f"{tmp_path}/c").collect()} == {1: 5, 2: 10_000}
+
+
+def test_metrics_of_a_stream(spark, tmp_path):
+    spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 5.0)], "kind string, value double").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("kind string, value double").parquet(f"{tmp_path}/in")
+    running = sinks.export_metrics(stream, f"{tmp_path}/out", "1 second", lambda df: df.groupBy("kind").agg(F.sum("value").alias("total")), f"{tmp_path}/check")
+    running.processAllAvailable()
+    running.stop()
+    assert {r.kind: r.total for r in spark.read.json(f"{tmp_path}/out").collect()} == {"a": 3.0, "b": 5.0}
