@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,12 +25,6 @@ def around(value: Column, key: str, order: str, before: int, after: int, sep: st
     return F.array_join(F.collect_list(value).over(w), sep)
 
 
-def trailing_count(key: str, ts: str, seconds: int) -> Column:
-    """Rows of the key in the last ``seconds`` seconds, this one included."""
-    w = W.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return F.count("*").over(w)
-
-
 def top_per_key(df: DataFrame, key: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key. Spark limits ranks before the shuffle too, so a hot key sends n rows a task."""
     return df.withColumn("_rank", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
@@ -77,3 +73,51 @@ def group_row_number(df: DataFrame, key: str, order: list[str], rank: str = "k",
     placed = global_row_number(df, [key, *order], "_place")
     groups = global_row_number(df.select(key, *order), [key, *order], "_place").groupBy(F.col(key).alias("_group")).agg(F.min("_place").alias("_first"), F.count("*").alias(size))
     return placed.join(groups, F.col(key).eqNullSafe(F.col("_group"))).withColumn(rank, F.col("_place") - F.col("_first") + 1).drop("_place", "_first", "_group")
+
+
+#: Rows of a key in a block of their own, so that a hot key is many tasks' work.
+BLOCK_ROWS = 100_000
+
+
+def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, name: str = "n") -> DataFrame:
+    """Adds the number of rows of the key in the last ``seconds`` seconds, those of the same instant included.
+
+    Rows are dealt by key and span of that length; each row is counted in its own span and the next one, so a hot
+    key is spread over its spans. Rows without a time count each other alone.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    span = F.floor(at / (seconds * 1_000_000))
+    both = F.explode(F.array(F.struct(span.alias("span"), F.lit(True).alias("own")), F.struct((span + 1).alias("span"), F.lit(False).alias("own"))))
+    rows = df.withColumns({"_at": at, "_in": both}).withColumns({"_span": F.col("_in.span"), "_own": F.col("_in.own")}).where("_own or _at is not null")
+    w = W.partitionBy(key, "_span").orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
+    return rows.withColumn(name, F.count("*").over(w)).where("_own").drop("_at", "_in", "_span", "_own")
+
+
+def framed(df: DataFrame, key: str, order: list[str], before: int, columns: Callable[[WindowSpec], dict[str, Column]], block: int | None = None) -> DataFrame:
+    """Adds columns over the row and the ``before`` rows before it of its key, for keys of any size.
+
+    A key is cut into blocks of rows by rank; the last rows of a block are seen by the next one too.
+    """
+    block = block or BLOCK_ROWS
+    if before >= block:
+        raise ValueError("a frame must be shorter than a block")
+    placed = group_row_number(df, key, order, "_k", "_n").withColumn("_block", F.floor((F.col("_k") - 1) / block))
+    ahead = ((F.col("_k") - 1) % block >= block - before) & (F.col("_k") - 1 + before >= (F.col("_block") + 1) * block) & (F.col("_n") > (F.col("_block") + 1) * block)
+    seen = F.array_compact(F.array(F.struct(F.col("_block").alias("b"), F.lit(True).alias("own")), F.when(ahead, F.struct((F.col("_block") + 1).alias("b"), F.lit(False).alias("own")))))
+    rows = placed.withColumn("_in", F.explode(seen)).withColumns({"_b": F.col("_in.b"), "_own": F.col("_in.own")})
+    w = W.partitionBy(key, "_b").orderBy("_k").rowsBetween(-before, 0)
+    return rows.withColumns(columns(w)).where("_own").drop("_k", "_n", "_block", "_in", "_b", "_own")
+
+
+def running_past(df: DataFrame, key: str, order: list[str], value: str, block: int | None = None) -> DataFrame:
+    """Adds past_n and past_sum, over the rows of the key before this one, and is_last, for keys of any size.
+
+    Blocks of rows are summed first; a row adds the sums of earlier blocks to what stands before it in its own.
+    """
+    placed = group_row_number(df, key, order, "_k", "_n").withColumn("_block", F.floor((F.col("_k") - 1) / (block or BLOCK_ROWS)))
+    sums = placed.groupBy(key, "_block").agg(F.sum(value).alias("_s"))
+    earlier = sums.select(F.col(key).alias("_key"), F.col("_block").alias("_b"), F.sum("_s").over(W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)).alias("_earlier"))
+    met = placed.join(earlier, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_b")))
+    own = F.sum(value).over(W.partitionBy(key, "_block").orderBy("_k").rowsBetween(W.unboundedPreceding, -1))
+    total = F.when(F.col("_earlier").isNull() & own.isNull(), None).otherwise(F.coalesce("_earlier", F.lit(0)) + F.coalesce(own, F.lit(0)))
+    return met.withColumns({"past_n": F.col("_k") - 1, "past_sum": total, "is_last": F.col("_k") == F.col("_n")}).drop("_k", "_n", "_block", "_key", "_b", "_earlier")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.operators.windows import group_row_number, top_per_key
+from foliant.operators.windows import framed, group_row_number, top_per_key
 from foliant.registry import query, table
 
 
@@ -101,7 +101,7 @@ def error_group(m):
 
 query("ag23_error_groups", f"SELECT {CLASS_SQL} AS kind, count(*) AS n, count(DISTINCT user_id) AS keys FROM {MESSAGE_SQL} GROUP BY 1")(lambda s, d: messages(s, d).groupBy(error_group(F.col("m")).alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("keys")))
 query("ag24_rolling_mean", "SELECT event_id, CASE WHEN count(*) OVER w >= 3 THEN avg(value) OVER w END AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS 9 PRECEDING)")(
-    lambda s, d: events(s, d).withColumns({"n": F.count("*").over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(-9, 0)), "a": F.avg("value").over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(-9, 0))}).select("event_id", F.when(F.col("n") >= 3, F.col("a")).alias("mean"))
+    lambda s, d: framed(events(s, d).select("user_id", "event_id", "value"), "user_id", ["event_id"], 9, lambda w: {"n": F.count("*").over(w), "a": F.avg("value").over(w)}).select("event_id", F.when(F.col("n") >= 3, F.col("a")).alias("mean"))
 )
 query("ag25_majority_vote", "WITH v AS (SELECT conv_id, sum(CASE WHEN contains(lower(text), ' he ') THEN 2 WHEN contains(lower(text), 'he') THEN 1 ELSE 0 END) AS a, sum(CASE WHEN contains(lower(text), ' she ') THEN 2 WHEN contains(lower(text), 'sh') THEN 1 ELSE 0 END) AS b FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN a > b THEN 'a' WHEN b > a THEN 'b' END AS winner FROM v")(
     lambda s, d: table(s, d, "conversations").withColumn("l", F.lower("text")).groupBy("conv_id").agg(F.sum(F.when(F.col("l").contains(" he "), 2).when(F.col("l").contains("he"), 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("l").contains(" she "), 2).when(F.col("l").contains("sh"), 1).otherwise(0)).alias("b")).select("conv_id", F.when(F.col("a") > F.col("b"), "a").when(F.col("b") > F.col("a"), "b").alias("winner"))

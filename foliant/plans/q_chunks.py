@@ -11,6 +11,7 @@ from foliant.operators import merging as M
 from foliant.operators.chunking import Chunker, chunk_documents, fold_documents, pack_entries, weighted_tokens
 from foliant.plans.inject import INJ, injected
 from foliant.plans.q_text import NL, SPLIT, WEIGHTED, advanced, no_repeats, punctuation, strip
+from foliant.operators.windows import running_past
 from foliant.registry import query, table
 
 LIMIT = 200
@@ -174,8 +175,8 @@ query("vg06_metadata_leftovers", f"WITH {INJ} SELECT doc_id, {' OR '.join(f'cont
     SELECT event_id, CASE WHEN value < 5 AND NOT is_last THEN 'below_minimum_size' WHEN is_last AND value < 2.5 THEN 'last_chunk_too_small' WHEN NOT is_last AND n >= 3 AND value < m * 0.15 THEN 'extremely_small_chunk' WHEN n < 3 THEN 'insufficient_data' WHEN value < m * 0.8 AND (NOT is_last OR abs(m - value) / m > 0.3) THEN 'size_deviation' ELSE 'normal_size' END AS reason FROM r""")
 def size_ladder(s, d):
     """The reason a size is odd, judged by the sizes before it of the same key."""
-    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)
-    rows = table(s, d, "events").withColumns({"n": F.count("*").over(w), "m": F.avg("value").over(w), "is_last": F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("event_id"))) == 1})
+    rows = running_past(table(s, d, "events").select("user_id", "event_id", "value"), "user_id", ["event_id"], "value")
+    rows = rows.withColumns({"n": F.col("past_n"), "m": F.try_divide("past_sum", "past_n")})
     v, m, last = F.col("value"), F.col("m"), F.col("is_last")
     return rows.select(
         "event_id",

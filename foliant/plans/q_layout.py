@@ -10,6 +10,7 @@ from foliant.functions import text as X
 from foliant.operators.chunking import fold_documents
 from foliant.plans.inject import INJ, injected
 from foliant.plans.q_text import NL, SPLIT
+from foliant.operators.windows import framed
 from foliant.registry import query, table
 from foliant.sources.sinks import escape_html, html_master, html_paragraph, latest
 from foliant.streaming.state import CircuitBreaker, KeyHealth, TokenBucket, carry, ordered_fold
@@ -109,7 +110,7 @@ query("st05_key_health")(lambda s, d: ordered_fold(timed(s, d), "user_id", ["at"
 query("st06_carry_buffer")(lambda s, d: ordered_fold(table(s, d, "conversations").select("conv_id", "turn", "text"), "conv_id", ["turn"], list, _carry, "conv_id bigint, turn bigint, names string"))
 query("st08_resume", "SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND l.quality = 1)")(lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "labels").where("quality = 1"), "doc_id", "left_anti"))
 query("st10_adaptive_workers", "SELECT event_id, CASE WHEN m > 120 THEN greatest(1, CAST(floor(8 * 0.75) AS INTEGER)) WHEN m < 40 THEN CAST(ceil(8 * 1.25) AS INTEGER) ELSE 8 END AS workers FROM (SELECT event_id, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 9 PRECEDING) AS m FROM events)")(
-    lambda s, d: table(s, d, "events").withColumn("m", F.avg("value").over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(-9, 0))).select("event_id", F.when(F.col("m") > 120, 6).when(F.col("m") < 40, 10).otherwise(8).alias("workers"))
+    lambda s, d: framed(table(s, d, "events").select("user_id", "event_id", "value"), "user_id", ["event_id"], 9, lambda w: {"m": F.avg("value").over(w)}).select("event_id", F.when(F.col("m") > 120, 6).when(F.col("m") < 40, 10).otherwise(8).alias("workers"))
 )
 query("st11_backoff", "SELECT event_id, CAST(5 * pow(2, least(2, event_id % 3)) AS INTEGER) AS seconds FROM events WHERE event_type = 'error'")(lambda s, d: table(s, d, "events").where("event_type = 'error'").select("event_id", (5 * F.pow(F.lit(2), F.least(F.lit(2), F.col("event_id") % 3))).cast("int").alias("seconds")))
 # Additions: event-time windows, run here in batch; tests run them as streams.

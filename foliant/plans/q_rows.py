@@ -180,7 +180,7 @@ query("wn10_position_hint", "SELECT conv_id, turn, CASE WHEN k / n < 0.2 THEN 't
 )
 query("wn11_dependency_lag", "SELECT conv_id, turn, lag(turn, 3) OVER (PARTITION BY conv_id ORDER BY turn) AS waits_for FROM conversations")(lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.lag("turn", 3).over(W.partitionBy("conv_id").orderBy("turn")).alias("waits_for")))
 query("wn12_trailing_requests", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) > 2 AS over_limit FROM events")(
-    lambda s, d: table(s, d, "events").withColumn("n", trailing_count("user_id", "ts", 3600)).select("event_id", "n", (F.col("n") > 2).alias("over_limit"))
+    lambda s, d: trailing_count(table(s, d, "events"), "user_id", "ts", 3600).select("event_id", "n", (F.col("n") > 2).alias("over_limit"))
 )
 query("wn13_sections", f"WITH {LINES}, {IR}, g AS (SELECT doc_id, no, text, sum(CASE WHEN type = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no) AS section FROM ir WHERE {strip('text')} <> '') SELECT doc_id, CAST(section AS BIGINT) AS section, string_agg({strip('text')}, {NL} ORDER BY no) AS body FROM g GROUP BY 1, 2")(
     lambda s, d: structured(s, d).where(X.strip(F.col("text")) != "").withColumn("section", islands(F.col("type") == "heading", "doc_id", "no")).groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("no", X.strip(F.col("text")).alias("t")))).alias("z")).select("doc_id", "section", F.array_join(F.transform("z", lambda x: x["t"]), "\n").alias("body"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import rules as R
 from foliant.functions import text as X
-from foliant.operators.windows import group_row_number, top_per_key
+from foliant.operators.windows import group_row_number, running_past, top_per_key
 from foliant.plans.inject import INJ, injected
 from foliant.plans.q_aggregates import MESSAGE_SQL, messages
 from foliant.plans.q_text import NL, strip
@@ -29,7 +29,7 @@ query("mth02_word_ratio", f"WITH p AS (SELECT conv_id, turn, text, lag(text) OVE
     lambda s, d: table(s, d, "conversations").withColumn("prev", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("prev is not null").withColumns({"a": F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")), "b": F.size(F.filter(F.split("prev", r"\s+"), lambda x: x != ""))}).where("b > 0").select("conv_id", "turn", F.col("a").cast("long").alias("words"), (F.col("a") / F.col("b")).alias("ratio"))
 )
 query("mth03_adaptive_timeout", "WITH h AS (SELECT event_id, value, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM events) SELECT event_id, CAST(round(greatest(30.0, least(600.0, 0.7 * (60 + value / 1000 * 2) + 0.3 * coalesce(past * 1.5, 60.0))) * 1000) AS BIGINT) AS timeout_ms FROM h")(
-    lambda s, d: table(s, d, "events").withColumn("past", F.avg("value").over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1))).select("event_id", F.round(F.greatest(F.lit(30.0), F.least(F.lit(600.0), 0.7 * (60 + F.col("value") / 1000 * 2) + 0.3 * F.coalesce(F.col("past") * 1.5, F.lit(60.0)))) * 1000).cast("long").alias("timeout_ms"))
+    lambda s, d: running_past(table(s, d, "events").select("user_id", "event_id", "value"), "user_id", ["event_id"], "value").withColumn("past", F.try_divide("past_sum", "past_n")).select("event_id", F.round(F.greatest(F.lit(30.0), F.least(F.lit(600.0), 0.7 * (60 + F.col("value") / 1000 * 2) + 0.3 * F.coalesce(F.col("past") * 1.5, F.lit(60.0)))) * 1000).cast("long").alias("timeout_ms"))
 )
 KIND_SQL = "CASE WHEN contains(lower(m), 'resource_exhausted') OR contains(lower(m), 'quota') THEN 'quota_exceeded' WHEN contains(lower(m), 'rate_limit') OR contains(lower(m), 'too many requests') THEN 'rate_limit' WHEN contains(lower(m), 'api key') AND (contains(lower(m), 'not valid') OR contains(lower(m), 'invalid')) OR regexp_matches(lower(m), 'invalid_api_key| 401|401 | 403|403 ') THEN 'invalid_key' WHEN regexp_matches(lower(m), 'timeout|deadline') THEN 'timeout' WHEN regexp_matches(lower(m), 'safety|blocked') THEN 'generation_blocked' WHEN starts_with(m, '5') OR regexp_matches(lower(m), 'internal|server error') THEN 'server_error' ELSE 'unknown' END"
 query("cls02_error_class", f"SELECT event_id, {KIND_SQL} AS kind FROM {MESSAGE_SQL}")(lambda s, d: messages(s, d).select("event_id", R.error_class(F.col("m"), F.lit("Exception")).alias("kind")))
@@ -151,7 +151,7 @@ query("dt03_duration", "SELECT event_id, printf('%02d:%02d:%02d', s // 3600, s %
 query("ms02_representative", "SELECT event_type, first(user_id ORDER BY value, user_id) AS key FROM events WHERE value > 10 GROUP BY 1")(lambda s, d: table(s, d, "events").where("value > 10").groupBy("event_type").agg(F.min_by("user_id", F.struct("value", "user_id")).alias("key")))
 query("ms03_tier_counts", "SELECT count(*) FILTER (c_acctbal < 0) AS free, count(*) FILTER (c_acctbal BETWEEN 0 AND 5000) AS paid, count(*) FILTER (c_acctbal > 5000) AS large FROM customer")(lambda s, d: table(s, d, "customer").agg(F.count_if(F.col("c_acctbal") < 0).alias("free"), F.count_if(F.col("c_acctbal").between(0, 5000)).alias("paid"), F.count_if(F.col("c_acctbal") > 5000).alias("large")))
 query("ms04_valid_first", "SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY CASE WHEN c_acctbal > 0 THEN 0 ELSE 1 END, c_custkey) AS place FROM customer")(
-    lambda s, d: table(s, d, "customer").select("c_mktsegment", "c_custkey", F.row_number().over(W.partitionBy("c_mktsegment").orderBy(F.when(F.col("c_acctbal") > 0, 0).otherwise(1), "c_custkey")).cast("long").alias("place"))
+    lambda s, d: group_row_number(table(s, d, "customer").select("c_mktsegment", "c_custkey", F.when(F.col("c_acctbal") > 0, 0).otherwise(1).alias("late")), "c_mktsegment", ["late", "c_custkey"], "place").select("c_mktsegment", "c_custkey", "place")
 )
 query("ms05_request_ratios", "SELECT r_regionkey, coalesce(sum(CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END) / nullif(count(n_nationkey), 0), 1.0) AS rate FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY 1")(
     lambda s, d: table(s, d, "region").join(table(s, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey"), "left").groupBy("r_regionkey").agg(F.coalesce(F.sum(F.when(F.col("n_nationkey") % 2 == 0, 1).otherwise(0)) / F.nullif(F.count("n_nationkey"), F.lit(0)), F.lit(1.0)).alias("rate"))

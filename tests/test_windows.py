@@ -1,7 +1,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.operators.windows import global_row_number, group_row_number
+from foliant.operators.windows import framed, global_row_number, group_row_number, running_past, trailing_count
 
 
 def _rows(spark, n):
@@ -33,3 +33,19 @@ def test_nulls_ties_and_no_rows(spark):
     assert got == [(1, None, 1), (2, 1, 5), (3, 2, None), (4, 2, 1), (5, 2, 1)]
     assert global_row_number(df.limit(0), ["a", "b"]).count() == 0
     assert group_row_number(df.limit(0), "a", ["b"]).count() == 0
+
+
+def test_blocks_of_a_hot_key_equal_one_window(spark):
+    df = spark.range(400).select(F.col("id"), F.when(F.col("id") % 3 != 0, F.lit(1)).when(F.col("id") < 390, F.col("id") % 5).alias("key"), (F.col("id") * 37 % 101).cast("double").alias("v"), F.timestamp_seconds(F.col("id") * 17 % 997).alias("ts"))
+    df = df.withColumn("ts", F.when(F.col("id") % 50 != 0, F.col("ts")))
+    own = W.partitionBy("key").orderBy("id")
+    got = framed(df, "key", ["id"], 4, lambda w: {"m": F.sum("v").over(w), "n": F.count("*").over(w)}, block=7)
+    want = df.withColumns({"m": F.sum("v").over(own.rowsBetween(-4, 0)), "n": F.count("*").over(own.rowsBetween(-4, 0))})
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    past = own.rowsBetween(W.unboundedPreceding, -1)
+    got = running_past(df, "key", ["id"], "v", block=7)
+    want = df.withColumns({"past_n": F.count("*").over(past), "past_sum": F.sum("v").over(past), "is_last": F.row_number().over(W.partitionBy("key").orderBy(F.desc("id"))) == 1})
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    got = trailing_count(df, "key", "ts", 60)
+    want = df.withColumn("n", F.count("*").over(W.partitionBy("key").orderBy(F.unix_micros("ts")).rangeBetween(-60_000_000, 0)))
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
