@@ -370,7 +370,11 @@ def _items(benchmark: DataFrame, item_column: str, item_text: str, named: bool =
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` in which no item leaks, items without an id included, with all their columns; every row is judged by its own text."""
+    """The rows of ``docs`` in which no item leaks, items without an id included, with all their columns, whatever their names.
+
+    Every row is judged by its own text, so repeated rows go or stay together; null and empty texts stay, texts of any length
+    are read whole. Without items all rows stay; an empty table gives no rows.
+    """
 
     def without(df: DataFrame, index: Index) -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast(index)
@@ -392,7 +396,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT
     """(id, item_id, edits, item_chars) for each row and item where a passage of the text is within
     ``max_edit`` edits per character of the item, both normalised.
 
-    Items without words match nothing; null texts are empty. A row that repeats gives its pairs again.
+    Items without words or without an id match nothing here; items that repeat count once. Null texts are empty, ids of rows may
+    be null, texts of any length are read whole, and a row that repeats gives its pairs again. Of several passages the least
+    edits count. Other columns, whatever their names, are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))

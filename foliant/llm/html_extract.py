@@ -321,7 +321,12 @@ def extract(page: str | None) -> str:
 
 
 def extract_pages(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """(id, url, text, n_chars) per row; n_chars counts code points."""
+    """(id, url, text, n_chars) per row; n_chars counts code points.
+
+    A null or empty page has an empty text, ids and urls may be null, rows repeat as in the input, pages of any length are
+    read whole, a block that is as near to a good as to a bad one is bad. Other columns, whatever their names, are not read;
+    an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
