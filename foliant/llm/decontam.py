@@ -44,11 +44,11 @@ DENSE = (1, 2)
 #: Length of the n-grams that a passage is pruned by, n-grams and collisions looked up at a time.
 GRAM, BATCH, CHUNK = 5, 1 << 16, 1 << 17
 #: Bytes of text read at a time; the n-grams of so many should set few of all flags.
-SLICE = 1 << 18
+SLICE = 1 << 17
 #: Bits of a place in a slice of text, below those of the n-gram that begins there.
 PLACE = 40
 #: log2 of the places in a stretch of text, of the flags that tell which n-grams stand in which stretch, and the most stretches looked up.
-STRETCH, FLAGS, STRETCHES = 6, 23, 8
+STRETCH, FLAGS, STRETCHES = 6, 22, 8
 BLOCK, BLOCK_BYTES = 4096, 4 << 20
 _A = np.uint64(0xD6E8FEB86659FD93)
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
@@ -110,7 +110,8 @@ class Index:
         self.grams = []
         for apart in (GRAM, 1):
             own = [_gram_hash(x)[::apart] for x in signs]
-            self.grams.append((np.concatenate([np.zeros(0, np.int64), *own]), np.cumsum([0, *map(len, own)]), apart))
+            place = [np.arange(len(x), dtype=np.int32) * apart for x in own]
+            self.grams.append((np.concatenate([np.zeros(0, np.int64), *own]), np.cumsum([0, *map(len, own)]), np.concatenate([np.zeros(0, np.int32), *place]), apart))
         self.n_words = np.array([len(h) for h in hashes], np.int64)
         size = np.array([1 << max(0, int(n - SPACING).bit_length() - 1) if n > SPACING else 1 for n in self.n_words], np.int64)
         self.classes = sorted(set(size.tolist()) | ({SEED} if size.max(initial=0) > SEED else set()))
@@ -206,25 +207,40 @@ class Index:
         """
         # Items of one size together, as flags are asked for over the widest window of a batch.
         look = np.argsort(self.most[item], kind="stable")
-        for (own, first, apart), there in ((self.grams[0], grams.flagged), (self.grams[0], grams.stands), (self.grams[1], grams.stands)):
-            count = np.diff(first)[item[look]]
-            need = count - self.most[item[look]] * (GRAM // apart)
-            keep = need <= 0
-            todo = np.flatnonzero(~keep)
-            for part in np.split(todo, np.flatnonzero(np.diff(np.cumsum(count[todo]) // BATCH)) + 1):
-                if not len(part):
-                    continue
-                c = look[part]
-                k, x = _spread(first[item[c]], count[part])
-                low = (at[c] - self.most[item[c]])[k] + (x - first[item[c]][k]) * apart
-                high = np.minimum(low + (slack[c] + 2 * self.most[item[c]])[k], (end[c] - GRAM)[k])
-                low = np.maximum(low, begin[c][k])
-                keep[part] = np.bincount(k, there(own[x], low, high), len(part)) >= need[part]
-            look = look[keep]
+        own, _, place, _ = self.grams[0]
+        name, low = own.astype(np.uint32), (at - self.most[item]).astype(np.int32)
+        wide = ((slack + 2 * self.most[item]) >> STRETCH) + 2
+
+        def flagged(c: np.ndarray, k: np.ndarray, x: np.ndarray) -> np.ndarray:
+            return grams.flagged(name[x], low[c][k] + place[x], int(wide[c].max()))
+
+        look = look[self._enough(look, item, self.grams[0], flagged)]
+        for kind in self.grams:
+            own, _, place, _ = kind
+
+            def stands(c: np.ndarray, k: np.ndarray, x: np.ndarray, own=own, place=place) -> np.ndarray:
+                start = low[c][k].astype(np.int64) + place[x]
+                last = np.minimum(start + (slack[c] + 2 * self.most[item[c]])[k], (end[c] - GRAM)[k])
+                return grams.stands(own[x], np.maximum(start, begin[c][k]), last)
+
+            look = look[self._enough(look, item, kind, stands)]
         out = np.zeros(len(item), bool)
         out[look] = True
         return out
 
+    def _enough(self, look: np.ndarray, item: np.ndarray, kind: tuple, there) -> np.ndarray:
+        """Which of the candidates keep as many n-grams of a kind as the edits leave; ``there`` tells of n-grams of candidates whether they stand."""
+        _, first, _, apart = kind
+        count = np.diff(first)[item[look]]
+        need = count - self.most[item[look]] * (GRAM // apart)
+        keep = need <= 0
+        todo = np.flatnonzero(~keep)
+        for part in np.split(todo, np.flatnonzero(np.diff(np.cumsum(count[todo]) // BATCH)) + 1):
+            if len(part):
+                k, x = _spread(first[item[look[part]]], count[part])
+                keep[part] = np.bincount(k, there(look[part], k, x), len(part)) >= need[part]
+        return keep
+
 
 class Grams:
     """Where the n-grams of a slice of text stand."""
@@ -242,15 +258,13 @@ class Grams:
 
     @staticmethod
     def _flag(name: np.ndarray, stretch: np.ndarray) -> np.ndarray:
-        return (name.astype(np.uint32) + stretch.astype(np.uint32) * np.uint32(0x9E3779B1)) & np.uint32((1 << FLAGS) - 1)
+        return (name.astype(np.uint32, copy=False) + stretch.astype(np.int32, copy=False).view(np.uint32) * np.uint32(0x9E3779B1)) & np.uint32((1 << FLAGS) - 1)
 
-    def flagged(self, name: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """stands(), with a little more."""
-        one = low >> STRETCH
-        steps = int(((high >> STRETCH) - one).max(initial=0)) + 1
+    def flagged(self, name: np.ndarray, low: np.ndarray, steps: int) -> np.ndarray:
+        """Whether each n-gram may begin in the ``steps`` stretches from that of ``low`` on."""
         if steps > STRETCHES:
             return np.ones(len(name), bool)
-        at = self._flag(name, one)
+        at = self._flag(name, low >> STRETCH)
         out = self.flag[at]
         for k in range(2, steps, 2):
             out |= self.flag[(at + np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF)) & np.uint32((1 << FLAGS) - 1)]
