@@ -8,6 +8,7 @@ from html import escape
 from pyspark.sql import functions as F
 
 from foliant.operators.scratch import Scratch
+from foliant.plans.q_layout import NEXT, fold_sql
 from foliant.registry import query, table
 from foliant.sources import files, sinks
 from foliant.streaming.state import DualLimiter, TokenBucket, ordered_fold
@@ -151,7 +152,9 @@ def _dual(limiter, row):
     return row["event_id"], limiter.consume(row["at"], row["amount"])
 
 
-@query("st03_dual_limiter")
+@query("st03_dual_limiter", fold_sql("allowed, requests, amount, tm", "value <= 250 AS allowed, CASE WHEN value <= 250 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS requests, CASE WHEN value <= 250 THEN 250 - value ELSE 250.0::DOUBLE END AS amount, tm",
+    f"""SELECT user_id, k, event_id, q >= 1 AND a >= v AS allowed, CASE WHEN q >= 1 AND a >= v THEN q - 1 ELSE q END AS requests, CASE WHEN q >= 1 AND a >= v THEN a - v ELSE a END AS amount, tm
+      FROM (SELECT e.user_id, e.k, e.event_id, e.tm, e.value AS v, CASE WHEN e.tm > r.tm THEN least(2.0::DOUBLE, requests + (e.tm - r.tm) * (2.0::DOUBLE / 3600.0::DOUBLE)) ELSE requests END AS q, CASE WHEN e.tm > r.tm THEN least(250.0::DOUBLE, amount + (e.tm - r.tm) * (250.0::DOUBLE / 3600.0::DOUBLE)) ELSE amount END AS a FROM {NEXT})""", "allowed"))
 def dual_limiter(s, d):
     """Two requests and 250 units an hour for each user; a request passes only if both limits allow it."""
     timed = table(s, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("value").alias("amount"))

@@ -13,7 +13,7 @@ from foliant.plans.q_text import NL, SPLIT
 from foliant.operators.windows import framed
 from foliant.registry import query, table
 from foliant.sources.sinks import escape_html, html_master, html_paragraph, latest
-from foliant.streaming.state import CircuitBreaker, KeyHealth, TokenBucket, carry, ordered_fold
+from foliant.streaming.state import CircuitBreaker, KeyHealth, PeriodicFlush, TokenBucket, carry, ordered_fold
 from foliant.streaming.streams import sessions, windowed
 
 
@@ -104,10 +104,46 @@ def _carry(buffer, row):
     return row["conv_id"], row["turn"], ",".join(carry(buffer, [w for w in ("the", "der", "License") if w in row["text"]]))
 
 
-query("st01_token_bucket")(lambda s, d: ordered_fold(timed(s, d), "user_id", ["at", "event_id"], lambda: TokenBucket(1 / 3600, 2), _bucket, "event_id bigint, allowed boolean"))
-query("st04_circuit_breaker")(lambda s, d: ordered_fold(timed(s, d), "user_id", ["at", "event_id"], lambda: CircuitBreaker(2, 3600), _breaker, "event_id bigint, allowed boolean, state string"))
-query("st05_key_health")(lambda s, d: ordered_fold(timed(s, d), "user_id", ["at", "event_id"], KeyHealth, _health, "event_id bigint, available boolean, active boolean, errors bigint"))
-query("st06_carry_buffer")(lambda s, d: ordered_fold(table(s, d, "conversations").select("conv_id", "turn", "text"), "conv_id", ["turn"], list, _carry, "conv_id bigint, turn bigint, names string"))
+#: Events of each user in order, numbered, for the folds as recursions.
+ORDERED = "e AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
+NEXT = "r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1"
+
+
+def fold_sql(state: str, first: str, step: str, out: str) -> str:
+    """A fold per user as a recursion: columns of the state, their values at the first row and at each next one, and what a row gives."""
+    names = state.split(", ")
+    return f"WITH RECURSIVE {ORDERED}, r AS (SELECT user_id, k, event_id, {first} FROM e WHERE k = 1 UNION ALL SELECT user_id, k, event_id, {', '.join(names)} FROM ({step})) SELECT event_id, {out} FROM r"
+
+
+query("st01_token_bucket", fold_sql("allowed, tokens, tm", "TRUE AS allowed, 1.0::DOUBLE AS tokens, tm",
+    f"SELECT user_id, k, event_id, have >= 1 AS allowed, CASE WHEN have >= 1 THEN have - 1 ELSE have END AS tokens, now AS tm FROM (SELECT e.user_id, e.k, e.event_id, e.tm AS now, CASE WHEN e.tm > r.tm THEN least(2.0::DOUBLE, r.tokens + (e.tm - r.tm) * (1.0::DOUBLE / 3600.0::DOUBLE)) ELSE r.tokens END AS have FROM {NEXT})", "allowed"))(
+    lambda s, d: ordered_fold(timed(s, d), "user_id", ["at", "event_id"], lambda: TokenBucket(1 / 3600, 2), _bucket, "event_id bigint, allowed boolean")
+)
+query("st04_circuit_breaker", fold_sql("allowed, state, changed, failures, successes", "TRUE AS allowed, 'CLOSED' AS state, 0.0::DOUBLE AS changed, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS failures, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS successes",
+    f"""SELECT user_id, k, event_id, allowed, CASE WHEN NOT allowed THEN s WHEN ok AND s = 'HALF_OPEN' AND n + 1 >= 3 THEN 'CLOSED' WHEN NOT ok AND (s = 'HALF_OPEN' OR f + 1 >= 2) THEN 'OPEN' ELSE s END AS state,
+      CASE WHEN allowed AND (ok AND s = 'HALF_OPEN' AND n + 1 >= 3 OR NOT ok AND (s = 'HALF_OPEN' OR f + 1 >= 2)) THEN now ELSE c END AS changed,
+      CASE WHEN NOT allowed THEN f WHEN NOT ok THEN f + 1 WHEN s = 'CLOSED' OR n + 1 >= 3 THEN 0 ELSE f END AS failures, CASE WHEN allowed AND ok THEN n + 1 ELSE n END AS successes
+    FROM (SELECT *, s <> 'OPEN' AS allowed FROM (SELECT e.user_id, e.k, e.event_id, e.tm AS now, e.event_type <> 'error' AS ok, successes AS n, CASE WHEN half THEN 'HALF_OPEN' ELSE state END AS s, CASE WHEN half THEN e.tm ELSE changed END AS c, CASE WHEN half THEN 0 ELSE failures END AS f
+      FROM (SELECT r.*, e.tm AS now, state = 'OPEN' AND e.tm - changed >= 3600 AS half FROM {NEXT}) r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))""", "allowed, state"))(
+    lambda s, d: ordered_fold(timed(s, d), "user_id", ["at", "event_id"], lambda: CircuitBreaker(2, 3600), _breaker, "event_id bigint, allowed boolean, state string")
+)
+KIND = "CASE event_type WHEN 'error' THEN 'other' WHEN 'purchase' THEN 'limit' ELSE 'success' END"
+query("st05_key_health", fold_sql("available, active, errors, used, blocked", f"TRUE AS available, TRUE AS active, CASE WHEN {KIND} = 'other' THEN 1 ELSE 0 END AS errors, CASE WHEN {KIND} = 'success' THEN 1 ELSE 0 END AS used, CASE WHEN {KIND} = 'limit' THEN tm + 60 ELSE 0.0::DOUBLE END AS blocked",
+    f"""SELECT e.user_id, e.k, e.event_id, active AND e.tm >= blocked AND used < 20 AS available, active AND NOT ({KIND} = 'other' AND errors + 1 >= 10) AS active, CASE {KIND} WHEN 'other' THEN errors + 1 WHEN 'success' THEN 0 ELSE errors END AS errors,
+      used + CASE WHEN {KIND} = 'success' THEN 1 ELSE 0 END AS used, CASE WHEN {KIND} = 'limit' THEN greatest(blocked, e.tm + 60) ELSE blocked END AS blocked FROM {NEXT}""", "available, active, CAST(errors AS BIGINT) AS errors"))(
+    lambda s, d: ordered_fold(timed(s, d), "user_id", ["at", "event_id"], KeyHealth, _health, "event_id bigint, available boolean, active boolean, errors bigint")
+)
+WORDS = "list_filter(['the', 'der', 'License'], lambda w: contains(text, w))"
+query("st06_carry_buffer", f"""WITH RECURSIVE c AS (SELECT conv_id, turn, {WORDS} AS found, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+    r AS (SELECT conv_id, turn, k, found AS names, found AS buffer FROM c WHERE k = 1 UNION ALL
+      SELECT c.conv_id, c.turn, c.k, CASE WHEN len(found) > 0 THEN found ELSE buffer END, list_concat(buffer, list_filter(found, lambda w: NOT list_contains(buffer, w))) FROM r JOIN c ON c.conv_id = r.conv_id AND c.k = r.k + 1)
+    SELECT conv_id, turn, array_to_string(names, ',') AS names FROM r""")(
+    lambda s, d: ordered_fold(table(s, d, "conversations").select("conv_id", "turn", "text"), "conv_id", ["turn"], list, _carry, "conv_id bigint, turn bigint, names string")
+)
+query("st07_periodic_flush", fold_sql("flushed, held, last", "CAST(0 AS BIGINT) AS flushed, 1 AS held, tm AS last",
+    f"SELECT user_id, k, event_id, CASE WHEN due THEN held ELSE 0 END AS flushed, CASE WHEN due THEN 0 ELSE held END AS held, CASE WHEN due THEN now ELSE last END AS last FROM (SELECT e.user_id, e.k, e.event_id, e.tm AS now, r.held + 1 AS held, last, r.held + 1 >= 3 OR e.tm - last >= 7200 AS due FROM {NEXT})", "CAST(flushed AS BIGINT) AS flushed"))(
+    lambda s, d: ordered_fold(timed(s, d), "user_id", ["at", "event_id"], lambda: PeriodicFlush(3, 7200), lambda b, row: (row["event_id"], b.add(row["at"])), "event_id bigint, flushed bigint")
+)
 query("st08_resume", "SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND l.quality = 1)")(lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "labels").where("quality = 1"), "doc_id", "left_anti"))
 query("st10_adaptive_workers", "SELECT event_id, CASE WHEN m > 120 THEN greatest(1, CAST(floor(8 * 0.75) AS INTEGER)) WHEN m < 40 THEN CAST(ceil(8 * 1.25) AS INTEGER) ELSE 8 END AS workers FROM (SELECT event_id, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 9 PRECEDING) AS m FROM events)")(
     lambda s, d: framed(table(s, d, "events").select("user_id", "event_id", "value"), "user_id", ["event_id"], 9, lambda w: {"m": F.avg("value").over(w)}).select("event_id", F.when(F.col("m") > 120, 6).when(F.col("m") < 40, 10).otherwise(8).alias("workers"))

@@ -128,6 +128,30 @@ class KeyHealth:
         return self.active and now >= self.blocked_until and self.used < self.limit
 
 
+@dataclass
+class PeriodicFlush:
+    """Holds writes until there are ``size`` of them or ``interval`` seconds have passed since the last flush.
+
+    A clock set back starts the interval anew and leaves the size to decide.
+    """
+
+    size: int = 10
+    interval: float = 300.0
+    held: int = 0
+    last: float | None = None
+
+    def add(self, now: float) -> int:
+        """The number of writes flushed, 0 if they are held."""
+        self.held += 1
+        passed = 0.0 if self.last is None else now - self.last
+        if self.last is None or passed < 0:
+            self.last = now
+        if self.held < self.size and passed < self.interval:
+            return 0
+        flushed, self.held, self.last = self.held, 0, now
+        return flushed
+
+
 def carry(buffer: list[str], found: list[str], size: int = 10) -> list[str]:
     """Names found join the buffer, of which the last ``size`` stay; without any, the buffer stands in."""
     if not found:

@@ -89,3 +89,10 @@ def test_streams(spark, tmp_path):
     q = limited(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "r")), 1.0, 1.0).writeStream.outputMode("append").format("memory").queryName("l").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.awaitTermination(120)
     assert {(r.key, r["at"], r.allowed) for r in spark.table("l").collect()} == {(1, 0.0, True), (1, 0.1, False), (1, 5.0, True), (2, 0.0, True)}
+
+
+def test_periodic_flush_and_a_clock_set_back():
+    from foliant.streaming.state import PeriodicFlush
+
+    b = PeriodicFlush(3, 100)
+    assert [b.add(t) for t in (0, 10, 20, 30, 130, 50, 60, 61, 400)] == [0, 0, 3, 0, 2, 0, 0, 3, 1]
