@@ -44,11 +44,11 @@ DENSE = (1, 2)
 #: Length of the n-grams that a passage is pruned by, n-grams and collisions looked up at a time.
 GRAM, BATCH, CHUNK = 5, 1 << 16, 1 << 17
 #: Bytes of text read at a time; the n-grams of so many should set few of all flags.
-SLICE = 1 << 17
+SLICE = 1 << 18
 #: Bits of a place in a slice of text, below those of the n-gram that begins there.
 PLACE = 40
 #: log2 of the places in a stretch of text, of the flags that tell which n-grams stand in which stretch, and the most stretches looked up.
-STRETCH, FLAGS, STRETCHES = 6, 22, 8
+STRETCH, FLAGS, STRETCHES = 7, 23, 8
 BLOCK, BLOCK_BYTES = 4096, 4 << 20
 _A = np.uint64(0xD6E8FEB86659FD93)
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
@@ -140,7 +140,7 @@ class Index:
                 mine = np.flatnonzero(((size[owner] == c) | (c == SEED) & (size[owner] > c)) & (offset + c <= np.maximum(self.n_words[owner], c)))
                 order = mine[np.argsort(key[mine], kind="stable")]
                 flag = np.zeros(1 << 18, bool)
-                flag[(key[order] & np.uint64(0x3FFFF)).astype(np.int64)] = True
+                flag[(key[order] >> np.uint64(46)).view(np.int64)] = True
                 self.table[walk, c, t] = (key[order], owner[order], offset[order], flag)
 
     def keys(self, flat: np.ndarray, start: np.ndarray) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
@@ -161,7 +161,7 @@ class Index:
                 bit &= np.uint64(1)
                 at += bit.view(np.int64)
             for (c, t), x in sums.items():
-                yield (walk, c, t), x ^ (x >> np.uint64(29))
+                yield (walk, c, t), x
 
     def dense_keys(self, flat: np.ndarray) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
         """Hash of all words of the windows of DENSE classes that start at each of the words ``flat``."""
@@ -179,7 +179,8 @@ class Index:
         for name, key in chain(self.keys(flat, starts), self.dense_keys(flat)):
             places = every if name[1] in DENSE else starts
             known, item, offset, flag = self.table[name]
-            hit = np.flatnonzero(flag[(key & np.uint64(0x3FFFF)).astype(np.int64)])
+            # The upper bits of a product are the mixed ones.
+            hit = np.flatnonzero(flag[(key >> np.uint64(46)).view(np.int64)])
             if not len(hit) or not len(known):
                 continue
             lo, hi = np.searchsorted(known, key[hit], "left"), np.searchsorted(known, key[hit], "right")
