@@ -3,10 +3,10 @@
 P(w | v) = P(class of w | class of v) * P(w | class of w). Clustering has two steps. First the ``EXCHANGE`` most frequent words
 and ``GROUPS`` groups of all other words by the hash of their last bytes are units: in rounds, Spark counts each unit's
 neighbours by class (a table of at most units * classes rows, whatever the corpus), and the driver moves each
-unit in turn to the class that raises the likelihood most, updating the class counts as it goes. Then every other word of
-the ``FREQUENT`` most frequent ones leaves its group: its neighbours by class are counted, sharded by word, and tasks move
-words, each on its own, to the class that raises the likelihood most. So the number of clustered words grows with the vocabulary
-up to that bound; rarer and unknown words keep the class of their group, which a task finds without a join.
+unit in turn to the class that raises the likelihood most, updating the class counts as it goes. Then every other word with
+``LEAST_MOVED`` occurrences, among the ``FREQUENT`` most frequent ones, leaves its group: its neighbours by class are counted,
+sharded by word, and tasks move words, each on its own, to the class that raises the likelihood most. So the number of
+clustered words grows with the corpus up to that bound; rarer and unknown words keep the class of their group, which a task finds without a join.
 Transitions and emissions are counted anew and smoothed by absolute discounting:
 transitions fall back on class frequencies, and what a class's words lose goes to its unknown word.
 
@@ -32,6 +32,8 @@ from foliant.llm.work import Scratch, map_batches
 CLASSES, EXCHANGE, GROUPS, ROUNDS = 64, 4096, 1024, 4
 FREQUENT = 1 << 18
 SUFFIX = 3
+#: Occurrences from which a word's neighbours tell more of its class than its last bytes.
+LEAST_MOVED = 30
 TRANSITION_DISCOUNT = 0.5
 #: Distinct keys that a task gathers before it passes them on; fewer for neighbours of words, whose columns come beside.
 HOLD, MOVE_HOLD = 1 << 20, 1 << 18
@@ -385,7 +387,7 @@ class Model:
         self.base_log = math.log10(total + 0.1 * (distinct + 1)) if total else math.log10(0.1)
 
 
-def train(texts: DataFrame, scratch: Scratch, n_classes: int = CLASSES, exchange: int = EXCHANGE, groups: int = GROUPS, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
+def train(texts: DataFrame, scratch: Scratch, n_classes: int = CLASSES, exchange: int = EXCHANGE, groups: int = GROUPS, frequent: int = FREQUENT, least_moved: int = LEAST_MOVED) -> tuple[Model, DataFrame]:
     """A model of texts(text) and the table (word, n) of the words that are not frequent."""
     spark = texts.sparkSession
     vocab = scratch.write(count_words(texts, groups), "vocab")
@@ -419,8 +421,9 @@ def train(texts: DataFrame, scratch: Scratch, n_classes: int = CLASSES, exchange
     at[tail] = len(units.words) + grp[tail]
     group_classes = classes[len(units.words) : units.end]
     known = WordClasses(word, classes[at], group_classes, n_classes)
-    if tail.any():
-        known = WordClasses(word, move_words(texts, known, table, tail), group_classes, n_classes)
+    moving = tail & (n >= least_moved)
+    if moving.any():
+        known = WordClasses(word, move_words(texts, known, table, moving), group_classes, n_classes)
         table = count_classes(texts, known, len(table))
     total, distinct = int(counts.sum()) + ends, int(types.sum()) + (ends > 0)
     discount = one / (one + 2 * two) if one and two else 0.5

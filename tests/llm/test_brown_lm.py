@@ -55,7 +55,7 @@ def test_base_score_and_split_of_the_vocabulary(spark, scratch, frequent, monkey
 
 def test_model_is_a_distribution(spark, scratch):
     texts = spark.read.parquet(f"{SMALL}/documents.parquet").select("text").limit(60)
-    model, rare = B.train(texts, scratch, frequent=1 << 18, exchange=64, groups=32, n_classes=8)
+    model, rare = B.train(texts, scratch, frequent=1 << 18, exchange=64, groups=32, n_classes=8, least_moved=2)
     assert np.allclose((10**model.transition).sum(1), 1)
     k = len(model.transition)
     mass = np.zeros(k)
@@ -122,7 +122,7 @@ def test_words_move_to_the_class_that_fits_their_neighbours():
 
 def test_class_bigrams_are_counted_over_all_texts(spark, scratch):
     texts = spark.read.parquet(f"{SMALL}/documents.parquet").select("text")
-    model, _ = B.train(texts, scratch, frequent=3000, exchange=64, groups=32, n_classes=8)
+    model, _ = B.train(texts, scratch, frequent=3000, exchange=64, groups=32, n_classes=8, least_moved=2)
     want = np.zeros((9, 9))
     import pyarrow as pa
 
