@@ -18,13 +18,13 @@ class Scratch(scratch.Scratch):
     """Tables of one operator call below the shared folder, deleted when the session's process ends."""
 
     def sweep(self, *names: str) -> None:
-        """Drops tables that no later step reads, and lets Spark delete the shuffle files of jobs that are over.
+        """Drops tables that no later step reads, gives freed memory back and lets Spark delete the shuffle files of jobs that are over.
 
         Spark deletes those only when the driver collects garbage, which a driver that just waits may not do for long.
         """
         for name in names:
             self.drop(name)
-        gc.collect()
+        release()
         self.spark.sparkContext._jvm.System.gc()
 
 
