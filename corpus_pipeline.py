@@ -14,6 +14,15 @@ from foliant.llm import bpe, decontam, kn_quality, sigtree
 from foliant.llm.work import Scratch
 
 
+def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """The rows of a stage that ends in Python, written in batches of bounded rows and bytes.
+
+    Left to whoever reads the stage, they would run in batches of the session's size, by default ten thousand rows, which
+    the executor and its Python worker both hold.
+    """
+    return Scratch(spark, name).write(df, "rows")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the Kneser-Ney classifier accepts; empty and null texts go. Repeated rows are judged alike; ids may be null."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -41,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents into which a benchmark item leaks, each row by its own text; null and empty texts stay, and so do all if there are no items."""
-    return decontam.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _written(spark, decontam.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "clean")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +60,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, with_columns=True)
+    return _written(spark, bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, with_columns=True), "tokens")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("tokens", tokens)]

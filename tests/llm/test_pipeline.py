@@ -53,3 +53,10 @@ def test_near_duplicates_by_row(spark):
     got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([rows[0], rows[1], rows[5], *rows[6:]], key=str)
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_leave_no_python_to_the_reader(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        plan = stage(spark, docs, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "InArrow" not in plan and "Python" not in plan, name
