@@ -47,10 +47,11 @@ GRAM, BATCH, CHUNK = 5, 1 << 16, 1 << 17
 SLICE = 1 << 18
 #: Bits of a place in a slice of text, below those of the n-gram that begins there.
 PLACE = 40
-#: log2 of the places in a stretch of text, of the flags that tell which n-grams stand in which stretch, and the most stretches looked up.
-STRETCH, FLAGS, STRETCHES = 7, 23, 8
+#: log2 of the places in a stretch of text, of the flags that tell which n-grams stand in which stretch, of the names of n-grams, and the most stretches looked up.
+STRETCH, FLAGS, NAME, STRETCHES = 7, 22, 22, 8
+_FLAG = np.uint32((1 << FLAGS) - 1)
 BLOCK, BLOCK_BYTES = 4096, 4 << 20
-_A = np.uint64(0xD6E8FEB86659FD93)
+_A, _A32 = np.uint64(0xD6E8FEB86659FD93), np.uint32(0x9E3779B1)
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 
 
@@ -110,8 +111,10 @@ class Index:
         self.grams = []
         for apart in (GRAM, 1):
             own = [_gram_hash(x)[::apart] for x in signs]
-            place = [np.arange(len(x), dtype=np.int32) * apart for x in own]
-            self.grams.append((np.concatenate([np.zeros(0, np.int64), *own]), np.cumsum([0, *map(len, own)]), np.concatenate([np.zeros(0, np.int32), *place]), apart))
+            self.grams.append((np.concatenate([np.zeros(0, np.uint32), *own]), np.cumsum([0, *map(len, own)]), apart))
+        # Which n-grams flags are asked for.
+        self.asked = np.zeros(1 << NAME, bool)
+        self.asked[self.grams[0][0]] = True
         self.n_words = np.array([len(h) for h in hashes], np.int64)
         size = np.array([1 << max(0, int(n - SPACING).bit_length() - 1) if n > SPACING else 1 for n in self.n_words], np.int64)
         self.classes = sorted(set(size.tolist()) | ({SEED} if size.max(initial=0) > SEED else set()))
@@ -129,34 +132,49 @@ class Index:
             self.plan.append(steps)
         owner = np.repeat(np.arange(len(hashes)), self.n_words)
         offset = np.concatenate([np.arange(n) for n in self.n_words]) if len(hashes) else np.zeros(0, np.int64)
-        self.table = {}
+        self.flag: dict[tuple[int, int, int], tuple[np.uint64, np.uint32, np.ndarray]] = {}
+        codes, windows, firsts, total = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [], 0
         if hashes:
             flat = np.concatenate(hashes)
             # Characters of the item before each word.
             self.before = np.concatenate([np.cumsum([0] + [len(x) + 1 for x in t.split(" ")])[:-1] for _, t in self.items])
             self.word_of = np.concatenate([[0], np.cumsum(self.n_words)])
             every = np.arange(len(flat))
-            for (walk, c, t), key in [*self.keys(flat, every), *self.dense_keys(flat)]:
+            for (walk, c, t), key in chain(self.keys(flat, every), self.dense_keys(flat)):
                 mine = np.flatnonzero(((size[owner] == c) | (c == SEED) & (size[owner] > c)) & (offset + c <= np.maximum(self.n_words[owner], c)))
-                order = mine[np.argsort(key[mine], kind="stable")]
-                flag = np.zeros(1 << 18, bool)
-                flag[(key[order] >> np.uint64(46)).view(np.int64)] = True
-                self.table[walk, c, t] = (key[order], owner[order], offset[order], flag)
+                # The upper bits of a product are the mixed ones; some thirty flags a window, as far as a cache holds them.
+                bits = min(20, max(14, len(mine).bit_length() + 5))
+                shift, flag = np.uint32(32 - bits), np.zeros(1 << bits, bool)
+                flag[key[mine] >> shift] = True
+                number = np.uint64(len(self.flag) << 32)
+                self.flag[walk, c, t] = (number, shift, flag)
+                mine = mine[np.argsort(key[mine], kind="stable")]
+                code, first = np.unique(key[mine], return_index=True)
+                codes.append(code | number)
+                windows.append(mine.astype(np.int32))
+                firsts.append((first + total).astype(np.int32))
+                total += len(mine)
+        # Windows of all tables by code, the table's number above the key.
+        self.code, self.window, self.first = np.concatenate(codes), np.concatenate(windows), np.concatenate([*firsts, np.array([total], np.int32)])
+        self.owner, self.offset = owner, offset
 
     def keys(self, flat: np.ndarray, start: np.ndarray) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
-        """Hash of each table for windows that start at ``start`` in the words ``flat``."""
+        """32-bit hash of each table for windows that start at ``start`` in the words ``flat``."""
         for walk, seed in enumerate(self.seeds):
             symbol = np.concatenate([mix(flat + seed), np.zeros(self.steps + 1, np.uint64)])
             at, sums = start.astype(np.int64), {}
             s, bit = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
             for step in range(max(self.plan[walk], default=-1) + 1):
                 np.take(symbol, at, out=s, mode="clip")
-                for c, t in self.plan[walk].get(step, ()):
+                plan = self.plan[walk].get(step, ())
+                if plan:
+                    low = s.astype(np.uint32)
+                for c, t in plan:
                     if (c, t) in sums:
-                        sums[c, t] ^= s
-                        sums[c, t] *= _A
+                        sums[c, t] ^= low
+                        sums[c, t] *= _A32
                     else:
-                        sums[c, t] = s * _A
+                        sums[c, t] = low * _A32
                 np.right_shift(s, np.uint64(step & 63), out=bit)
                 bit &= np.uint64(1)
                 at += bit.view(np.int64)
@@ -164,116 +182,131 @@ class Index:
                 yield (walk, c, t), x
 
     def dense_keys(self, flat: np.ndarray) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
-        """Hash of all words of the windows of DENSE classes that start at each of the words ``flat``."""
+        """32-bit hash of all words of the windows of DENSE classes that start at each of the words ``flat``."""
         for c in self.classes:
             if c in DENSE:
                 x, padded = np.zeros(len(flat), np.uint64), np.concatenate([flat, np.zeros(c, np.uint64)])
                 for k in range(c):
                     x = mix((x ^ padded[k : k + len(flat)]) * _A)
-                yield (0, c, 0), x
+                yield (0, c, 0), (x >> np.uint64(32)).astype(np.uint32)
 
-    def candidates(self, flat: np.ndarray) -> Iterator[np.ndarray]:
-        """Rows (word position, item, offset in item) of windows that share a bucket with one of an item, about CHUNK at a time."""
+    def candidates(self, flat: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Word positions, items and offsets in them, of windows that share a bucket with one of an item, about CHUNK at a time."""
         starts, every = anchors(flat), np.arange(len(flat))
         held, size = [], 0
         for name, key in chain(self.keys(flat, starts), self.dense_keys(flat)):
-            places = every if name[1] in DENSE else starts
-            known, item, offset, flag = self.table[name]
-            # The upper bits of a product are the mixed ones.
-            hit = np.flatnonzero(flag[(key >> np.uint64(46)).view(np.int64)])
-            if not len(hit) or not len(known):
-                continue
-            lo, hi = np.searchsorted(known, key[hit], "left"), np.searchsorted(known, key[hit], "right")
-            hit, lo, n = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            if not len(n):
-                continue
-            part = np.cumsum(n) // CHUNK
-            for cut in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1):
-                m = n[cut]
-                which = np.repeat(lo[cut], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                held.append(np.stack([np.repeat(places[hit[cut]], m), item[which], offset[which]], 1))
-                size += len(which)
+            number, shift, flag = self.flag[name]
+            hit = np.flatnonzero(flag.take(key >> shift))
+            for k in range(0, len(hit), CHUNK):
+                some = hit[k : k + CHUNK]
+                held.append((key[some] | number, some if name[1] in DENSE else starts[some]))
+                size += len(some)
                 if size >= CHUNK:
-                    yield np.concatenate(held)
+                    yield from self._windows(held)
                     held, size = [], 0
         if held:
-            yield np.concatenate(held)
+            yield from self._windows(held)
+
+    def _windows(self, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The items' windows of each code, beside the place that goes with it."""
+        code, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        if not len(self.code):
+            return
+        at = np.searchsorted(self.code, code)
+        known = np.flatnonzero(self.code.take(at, mode="clip") == code)
+        at, place = at[known], place[known]
+        n = self.first[at + 1] - self.first[at]
+        for cut in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n, dtype=np.int64) // CHUNK)) + 1):
+            if len(cut):
+                k, which = _spread(self.first[at[cut]].astype(np.int64), n[cut].astype(np.int64))
+                window = self.window[which]
+                yield place[cut][k], self.owner[window], self.offset[window]
 
     def may_match(self, grams: Grams, item: np.ndarray, at: np.ndarray, slack: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Whether an alignment of the item that begins, edits aside, in at..at + slack of the text may have few enough edits.
 
         ``begin`` and ``end`` bound the row of the text. An edit changes GRAM of the item's n-grams at most, one of those
         that do not overlap, and moves what follows by one place; so the n-grams that it keeps stand within
-        ``most`` places of where they would without edits. Flags are asked first, which say yes a little too often.
+        ``most`` places of where they would without edits. Flags are asked first, which say yes a little too often, so only
+        n-grams that they tell of are then looked up.
         """
-        # Items of one size together, as flags are asked for over the widest window of a batch.
-        look = np.argsort(self.most[item], kind="stable")
-        own, _, place, _ = self.grams[0]
-        name, low = own.astype(np.uint32), (at - self.most[item]).astype(np.int32)
-        wide = ((slack + 2 * self.most[item]) >> STRETCH) + 2
-
-        def flagged(c: np.ndarray, k: np.ndarray, x: np.ndarray) -> np.ndarray:
-            return grams.flagged(name[x], low[c][k] + place[x], int(wide[c].max()))
-
-        look = look[self._enough(look, item, self.grams[0], flagged)]
-        for kind in self.grams:
-            own, _, place, _ = kind
-
-            def stands(c: np.ndarray, k: np.ndarray, x: np.ndarray, own=own, place=place) -> np.ndarray:
-                start = low[c][k].astype(np.int64) + place[x]
-                last = np.minimum(start + (slack[c] + 2 * self.most[item[c]])[k], (end[c] - GRAM)[k])
-                return grams.stands(own[x], np.maximum(start, begin[c][k]), last)
-
-            look = look[self._enough(look, item, kind, stands)]
-        out = np.zeros(len(item), bool)
-        out[look] = True
+        low = at - self.most[item]
+        span = slack + 2 * self.most[item]
+        # Items of one size together, as n-grams and flags are asked for over the widest of a batch.
+        order, out = np.argsort(self.n_chars[item], kind="stable"), np.zeros(len(item), bool)
+
+        def stands(c: np.ndarray, own: np.ndarray, place: np.ndarray) -> np.ndarray:
+            start = low[c] + place
+            last = np.minimum(start + span[c], end[c] - GRAM)
+            return grams.stands(own, np.maximum(start, begin[c]), last)
+
+        for (own, first, apart), flags in zip(self.grams, (True, False), strict=True):
+            look = order if flags else order[out[order]]
+            begins, count = first[item[look]], np.diff(first)[item[look]]
+            need = count - self.most[item[look]] * (GRAM // apart)
+            out[look] = need <= 0
+            todo = np.flatnonzero(need > 0)
+            # Counts of a batch differ by less than a factor of two.
+            cut = np.diff(np.cumsum(count[todo]) // BATCH) | np.diff(np.frexp(count[todo])[1])
+            for part in np.split(todo, np.flatnonzero(cut) + 1):
+                if not len(part):
+                    continue
+                step = np.arange(count[part].max(), dtype=np.int32)[:, None]
+                asked = step < count[part]
+                if flags:
+                    steps = (int(span[look[part]].max()) >> STRETCH) + 2
+                    asked &= grams.flagged(own.take(begins[part] + step, mode="clip"), low[look[part]].astype(np.int32) + step * np.int32(apart), steps)
+                    few = np.add.reduce(asked, 0, np.int32) < need[part]
+                    part, asked = part[~few], asked[:, ~few]
+                j, k = np.nonzero(asked)
+                n = np.bincount(k, stands(look[part[k]], own[begins[part[k]] + j], j * apart), len(part))
+                out[look[part]] = n >= need[part]
         return out
 
-    def _enough(self, look: np.ndarray, item: np.ndarray, kind: tuple, there) -> np.ndarray:
-        """Which of the candidates keep as many n-grams of a kind as the edits leave; ``there`` tells of n-grams of candidates whether they stand."""
-        _, first, _, apart = kind
-        count = np.diff(first)[item[look]]
-        need = count - self.most[item[look]] * (GRAM // apart)
-        keep = need <= 0
-        todo = np.flatnonzero(~keep)
-        for part in np.split(todo, np.flatnonzero(np.diff(np.cumsum(count[todo]) // BATCH)) + 1):
-            if len(part):
-                k, x = _spread(first[item[look[part]]], count[part])
-                keep[part] = np.bincount(k, there(look[part], k, x), len(part)) >= need[part]
-        return keep
-
 
 class Grams:
     """Where the n-grams of a slice of text stand."""
 
-    def __init__(self, sign: np.ndarray, flag: np.ndarray | None = None):
-        """``flag``: an array to be used again."""
-        name, at = _gram_hash(sign), np.arange(max(0, len(sign) - GRAM + 1))
+    def __init__(self, sign: np.ndarray, flag: np.ndarray | None = None, asked: np.ndarray | None = None):
+        """``flag``: an array to be used again; ``asked``: whether flags are asked for an n-gram, by default for all."""
+        name = _gram_hash(sign)
         self.flag = np.empty(1 << FLAGS, bool) if flag is None else flag
         self.flag.fill(False)
+        at = np.arange(len(name)) if asked is None else np.flatnonzero(asked.take(name))
+        place = _flag(name[at], at)
         # A flag tells of a stretch and the next one, so every other one is asked for.
         for k in range(2):
-            self.flag[self._flag(name, (at >> STRETCH) - k)] = True
-        self.sorted = np.sort((name << PLACE) + at)
-        self.padded = np.append(self.sorted, np.int64(1) << np.int64(62))
-
-    @staticmethod
-    def _flag(name: np.ndarray, stretch: np.ndarray) -> np.ndarray:
-        return (name.astype(np.uint32, copy=False) + stretch.astype(np.int32, copy=False).view(np.uint32) * np.uint32(0x9E3779B1)) & np.uint32((1 << FLAGS) - 1)
+            self.flag[(place - np.uint32(k) * _A32) & _FLAG] = True
+        self.sorted = name.astype(np.int64)
+        self.sorted <<= PLACE
+        self.sorted += np.arange(len(name))
+        self.sorted.sort()
 
     def flagged(self, name: np.ndarray, low: np.ndarray, steps: int) -> np.ndarray:
         """Whether each n-gram may begin in the ``steps`` stretches from that of ``low`` on."""
         if steps > STRETCHES:
-            return np.ones(len(name), bool)
-        at = self._flag(name, low >> STRETCH)
-        out = self.flag[at]
+            return np.ones(name.shape, bool)
+        at = _flag(name, low)
+        out = self.flag.take(at & _FLAG)
         for k in range(2, steps, 2):
-            out |= self.flag[(at + np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF)) & np.uint32((1 << FLAGS) - 1)]
+            out |= self.flag.take((at + np.uint32(k * int(_A32) & 0xFFFFFFFF)) & _FLAG)
         return out
 
     def stands(self, name: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Whether each n-gram begins somewhere in low..high."""
-        return self.padded[np.searchsorted(self.sorted, (name << PLACE) + low)] <= (name << PLACE) + high
+        if not len(self.sorted):
+            return np.zeros(len(name), bool)
+        name = name.astype(np.int64) << PLACE
+        at = np.searchsorted(self.sorted, name + low)
+        return (at < len(self.sorted)) & (self.sorted.take(at, mode="clip") <= name + high)
+
+
+def _flag(name: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Number, in its lower bits, of the flag of each n-gram in the stretch of a place."""
+    out = (at >> STRETCH).astype(np.int32).view(np.uint32)
+    out *= _A32
+    out += name
+    return out
 
 
 def _spread(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,12 +330,12 @@ def symbols(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _gram_hash(s: np.ndarray) -> np.ndarray:
     if len(s) < GRAM:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32)
     x = np.zeros(len(s) - GRAM + 1, np.uint32)
     for k in range(GRAM):
-        x = (x ^ s[k : len(s) - GRAM + 1 + k]) * np.uint32(0x9E3779B1)
+        x = (x ^ s[k : len(s) - GRAM + 1 + k]) * _A32
         x ^= x >> np.uint32(15)
-    return (x >> np.uint32(10)).astype(np.int64)
+    return x >> np.uint32(32 - NAME)
 
 
 def anchors(flat: np.ndarray, spacing: int = SPACING) -> np.ndarray:
@@ -336,11 +369,10 @@ def leaks_in(texts: pa.Array, ix: Index) -> dict[tuple[int, int], int]:
         base, tried = int(off[i]), set()
         here = data[base : int(off[j])]
         sign, place = symbols(here)
-        grams, edge = Grams(sign, flag), np.searchsorted(place, off[i : j + 1] - base)
+        grams, edge = Grams(sign, flag, ix.asked), np.searchsorted(place, off[i : j + 1] - base)
         word = np.searchsorted(place, w.start)
         raw = here.tobytes()
-        for rows in ix.candidates(w.hash):
-            p, item, o = rows.T
+        for p, item, o in ix.candidates(w.hash):
             row = np.searchsorted(w.first, p, "right") - 1
             grid = ix.most[item] // 2 + 4
             # Where the item would begin, in steps of the edits it may have.

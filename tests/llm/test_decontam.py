@@ -148,3 +148,44 @@ def test_items_without_an_id_are_removed(spark):
     items = spark.createDataFrame([(None, "quiet river stones gather moss slowly"), (5, "something else")], "item_id bigint, text string")
     assert [r.doc_id for r in D.remove_leaks(docs, items).collect()] == [2]
     assert D.find_leaks(docs, items).count() == 0
+
+
+def test_only_ngrams_with_a_flag_are_looked_up(monkeypatch):
+    rnd, denied, looked = random.Random(7), set(), []
+    flagged, stands = D.Grams.flagged, D.Grams.stands
+
+    def told(self, name, low, steps):
+        out = flagged(self, name, low, steps)
+        name, low = (np.broadcast_to(x, out.shape)[~out].tolist() for x in (name, low))
+        denied.update(zip(name, low, strict=True))
+        return out
+
+    def asked(self, name, low, high):
+        looked.extend(zip(name.tolist(), low.tolist(), strict=True))
+        return stands(self, name, low, high)
+
+    monkeypatch.setattr(D.Grams, "flagged", told)
+    monkeypatch.setattr(D.Grams, "stands", asked)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 8))) for _ in range(60)]
+    index = D.Index([(1, " ".join(words))])
+    # Neighbouring pieces of the item change places: flags tell of many n-grams, but none is as near as an alignment asks for.
+    text = " ".join(x for k in (12, 0, 36, 24) for x in words[k : k + 12])
+    sign, _ = D.symbols(np.frombuffer(text.encode(), np.uint8))
+    at = np.array([0, 5])
+    zero = np.zeros(len(at), np.int64)
+    assert not index.may_match(D.Grams(sign), zero, at, zero + 5, zero, zero + len(sign)).any()
+    assert looked and denied and not denied.intersection(looked)
+
+
+def test_results_do_not_depend_on_the_sizes_of_batches(monkeypatch):
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(rnd.choice(words) for _ in range(rnd.choice((1, 2, 3, 9, 40, 200))))) for k in range(40)]
+    texts = []
+    for _ in range(60):
+        passage = noisy(rnd.choice(items)[1].split(), 0.04, rnd, words)
+        texts.append(" ".join([*(rnd.choice(words) for _ in range(30)), *passage, *(rnd.choice(words) for _ in range(30))]))
+    want = D.leaks_in(pa.array(texts), D.Index(items))
+    for name, size in (("CHUNK", 50), ("BATCH", 64), ("SLICE", 100)):
+        monkeypatch.setattr(D, name, size)
+        assert D.leaks_in(pa.array(texts), D.Index(items)) == want and want
