@@ -110,14 +110,25 @@ def framed(df: DataFrame, key: str, order: list[str], before: int, columns: Call
 
 
 def running_past(df: DataFrame, key: str, order: list[str], value: str, block: int | None = None) -> DataFrame:
-    """Adds past_n and past_sum, over the rows of the key before this one, and is_last, for keys of any size.
+    """Adds past_n, past_sum and past_mean, over the rows of the key before this one, and is_last, for keys of any size.
 
+    Rows without a value count in past_n but not in past_mean, which is null where no row before has one. As in SQL, nulls of ``order``
+    come last, and is_last is the row that comes first in descending order, so one with a null only if the key has no other.
     Blocks of rows are summed first; a row adds the sums of earlier blocks to what stands before it in its own.
     """
-    placed = group_row_number(df, key, order, "_k", "_n").withColumn("_block", F.floor((F.col("_k") - 1) / (block or BLOCK_ROWS)))
-    sums = placed.groupBy(key, "_block").agg(F.sum(value).alias("_s"))
-    earlier = sums.select(F.col(key).alias("_key"), F.col("_block").alias("_b"), F.sum("_s").over(W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)).alias("_earlier"))
+    nulls = {f"_null{k}": F.col(c).isNull() for k, c in enumerate(order)}
+    ranks = [x for pair in zip(nulls, order, strict=True) for x in pair]
+    placed = group_row_number(df.withColumns(nulls), key, ranks, "_k", "_n").withColumn("_block", F.floor((F.col("_k") - 1) / (block or BLOCK_ROWS)))
+    top = F.max(F.struct(*[~F.col(c) if c in nulls else F.col(c) for c in ranks], F.col("_k").alias("_last")))
+    sums = placed.groupBy(key, "_block").agg(F.sum(value).alias("_s"), F.count(value).alias("_c"), top.alias("_top"))
+    past = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    earlier = sums.select(
+        F.col(key).alias("_key"), F.col("_block").alias("_b"), F.sum("_s").over(past).alias("_earlier"), F.coalesce(F.sum("_c").over(past), F.lit(0)).alias("_counted"),
+        F.max("_top").over(W.partitionBy(key))["_last"].alias("_last"),
+    )
     met = placed.join(earlier, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_b")))
-    own = F.sum(value).over(W.partitionBy(key, "_block").orderBy("_k").rowsBetween(W.unboundedPreceding, -1))
+    before = W.partitionBy(key, "_block").orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
+    own = F.sum(value).over(before)
     total = F.when(F.col("_earlier").isNull() & own.isNull(), None).otherwise(F.coalesce("_earlier", F.lit(0)) + F.coalesce(own, F.lit(0)))
-    return met.withColumns({"past_n": F.col("_k") - 1, "past_sum": total, "is_last": F.col("_k") == F.col("_n")}).drop("_k", "_n", "_block", "_key", "_b", "_earlier")
+    added = {"past_n": F.col("_k") - 1, "past_sum": total, "past_mean": F.try_divide(total, F.col("_counted") + F.count(value).over(before)), "is_last": F.col("_k") == F.col("_last")}
+    return met.withColumns(added).drop(*nulls, "_k", "_n", "_block", "_key", "_b", "_earlier", "_counted", "_last")

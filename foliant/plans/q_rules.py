@@ -29,7 +29,7 @@ query("mth02_word_ratio", f"WITH p AS (SELECT conv_id, turn, text, lag(text) OVE
     lambda s, d: table(s, d, "conversations").withColumn("prev", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("prev is not null").withColumns({"a": F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")), "b": F.size(F.filter(F.split("prev", r"\s+"), lambda x: x != ""))}).where("b > 0").select("conv_id", "turn", F.col("a").cast("long").alias("words"), (F.col("a") / F.col("b")).alias("ratio"))
 )
 query("mth03_adaptive_timeout", "WITH h AS (SELECT event_id, value, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM events) SELECT event_id, CAST(round(greatest(30.0, least(600.0, 0.7 * (60 + value / 1000 * 2) + 0.3 * coalesce(past * 1.5, 60.0))) * 1000) AS BIGINT) AS timeout_ms FROM h")(
-    lambda s, d: running_past(table(s, d, "events").select("user_id", "event_id", "value"), "user_id", ["event_id"], "value").withColumn("past", F.try_divide("past_sum", "past_n")).select("event_id", F.round(F.greatest(F.lit(30.0), F.least(F.lit(600.0), 0.7 * (60 + F.col("value") / 1000 * 2) + 0.3 * F.coalesce(F.col("past") * 1.5, F.lit(60.0)))) * 1000).cast("long").alias("timeout_ms"))
+    lambda s, d: running_past(table(s, d, "events").select("user_id", "event_id", "value"), "user_id", ["event_id"], "value").select("event_id", F.round(F.greatest(F.lit(30.0), F.least(F.lit(600.0), 0.7 * (60 + F.col("value") / 1000 * 2) + 0.3 * F.coalesce(F.col("past_mean") * 1.5, F.lit(60.0)))) * 1000).cast("long").alias("timeout_ms"))
 )
 KIND_SQL = "CASE WHEN contains(lower(m), 'resource_exhausted') OR contains(lower(m), 'quota') THEN 'quota_exceeded' WHEN contains(lower(m), 'rate_limit') OR contains(lower(m), 'too many requests') THEN 'rate_limit' WHEN contains(lower(m), 'api key') AND (contains(lower(m), 'not valid') OR contains(lower(m), 'invalid')) OR regexp_matches(lower(m), 'invalid_api_key| 401|401 | 403|403 ') THEN 'invalid_key' WHEN regexp_matches(lower(m), 'timeout|deadline') THEN 'timeout' WHEN regexp_matches(lower(m), 'safety|blocked') THEN 'generation_blocked' WHEN starts_with(m, '5') OR regexp_matches(lower(m), 'internal|server error') THEN 'server_error' ELSE 'unknown' END"
 query("cls02_error_class", f"SELECT event_id, {KIND_SQL} AS kind FROM {MESSAGE_SQL}")(lambda s, d: messages(s, d).select("event_id", R.error_class(F.col("m"), F.lit("Exception")).alias("kind")))

@@ -1,6 +1,10 @@
+import duckdb
+import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+import foliant.plans  # noqa: F401
+from foliant import registry
 from foliant.operators.windows import framed, global_row_number, group_row_number, running_past, trailing_count
 
 
@@ -49,3 +53,19 @@ def test_blocks_of_a_hot_key_equal_one_window(spark):
     got = trailing_count(df, "key", "ts", 60)
     want = df.withColumn("n", F.count("*").over(W.partitionBy("key").orderBy(F.unix_micros("ts")).rangeBetween(-60_000_000, 0)))
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def odd_events(spark, folder):
+    """Events without a value, a user or an id, values that are no numbers; a key has at most one without an id, so the order is whole."""
+    rows = spark.range(900).selectExpr("id event_id", "if(id % 10 = 9, null, id % 97) user_id", "case when id % 7 = 3 then null when id = 601 then double('nan') else id * 7919 % 8192 / 64 end value")
+    rows.unionByName(spark.sql("select cast(null as bigint) event_id, user_id, double(3) value from values (5L), (6L), (null), (1000L) t(user_id)")).coalesce(2).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["mth03_adaptive_timeout", "vg07_size_ladder"])
+def test_means_of_odd_events(spark, tmp_path, name):
+    folder = odd_events(spark, tmp_path)
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    got = registry.QUERIES[name](spark, folder)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, con.execute(registry.SQL[name]).fetchall()))
