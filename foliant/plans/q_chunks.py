@@ -176,7 +176,7 @@ query("vg06_metadata_leftovers", f"WITH {INJ} SELECT doc_id, {' OR '.join(f'cont
 def size_ladder(s, d):
     """The reason a size is odd, judged by the sizes before it of the same key."""
     rows = running_past(table(s, d, "events").select("user_id", "event_id", "value"), "user_id", ["event_id"], "value")
-    rows = rows.withColumns({"n": F.col("past_n"), "m": F.try_divide("past_sum", "past_n")})
+    rows = rows.withColumns({"n": F.col("past_n"), "m": F.col("past_mean")})
     v, m, last = F.col("value"), F.col("m"), F.col("is_last")
     return rows.select(
         "event_id",
