@@ -23,3 +23,12 @@ def test_reinjection_keeps_structure():
 def test_lines_without_blocks_are_regrouped():
     assert L.epub_paragraphs("<nav>menu</nav>short<br>" + "w" * 60) == ["short", "w" * 60]
     assert L.epub_paragraphs("<p>a</p><script>x</script><p>b</p>") == ["a", "b"]
+
+
+def test_pages_nest_to_any_depth():
+    page = "<p>x <b>y</b>" * 3000
+    entries, marked = L.text_map(page, "c")
+    assert len(entries) == 3000 and entries[-1].text == "x y" and entries[-2].text == "x y x y" and entries[-2].inner == "x <b>y</b><p>x <b>y</b></p>"
+    assert marked.endswith("</p>" * 3000) and marked.count("data-ntid") == 3000
+    assert L.reinject(marked, {entries[-1].text_id: "new"}).count("<b>y</b>") == 2999
+    assert len(L.epub_paragraphs(page)) == 3000
