@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from html import escape
 
 from pyspark.sql import functions as F
@@ -15,14 +16,24 @@ from foliant.streaming.state import DualLimiter, TokenBucket, ordered_fold
 
 #: Files that a task makes or reads at a time.
 FILES = 64
+#: Folders that files are dealt to by name, so that none holds more than tasks can list: 1,800 files each of seven million.
+FOLDERS = 4096
+
+
+def _dealt(make):
+    def run(*row):
+        name, data = make(*row)
+        return f"{zlib.crc32(name.encode()) % FOLDERS:03x}/{name}", data
+
+    return run
 
 
 def _folder(s, frame, make, name):
-    """The folder with a file per row, for readers."""
+    """The folder with a file per row, for readers, in folders of a bounded number."""
     scratch = Scratch(s, name)
     path = scratch.path("files")
     path = path if "://" in path else f"file://{path}"
-    scratch.write(sinks.write_files(frame, path, make), "manifest", rows=FILES)
+    scratch.write(sinks.write_files(frame, path, _dealt(make)), "manifest", rows=FILES)
     return path
 
 

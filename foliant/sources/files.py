@@ -1,7 +1,9 @@
 """Documents from files: text of any encoding, EPUB, DOCX, glossary and relation tables, style profiles, progress.
 
-Files come as rows of the ``binaryFile`` source, so they may lie in any store that Spark reads; one file
-is parsed by one task. Formats without a parser in the standard library (PDF, scans) take a function.
+Tasks list the folders and open the files where pyarrow reaches the store, so the driver holds nothing per file. Elsewhere files come
+as rows of the ``binaryFile`` source, whose driver lists every file, so their number is bounded by its memory. One file is parsed by
+one task. Names that begin with a dot or an underscore are no data. Formats without a parser in the standard library (PDF, scans) take
+a function.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import os
 import posixpath
 import re
 import zipfile
@@ -27,6 +30,8 @@ from foliant.functions.layout import epub_paragraphs, text_map
 WIDE = {"gb18030": (0xA1, 0xD7, 0xA1), "big5": (0xA1, 0xC6, 0x40)}
 #: Below this confidence a text is read as UTF-8, bad bytes replaced.
 CONFIDENT = 0.7
+#: Files that a task reads before it hands on their rows, the bytes at which it does so sooner, and paths that it lists at a time.
+READ_FILES, READ_BYTES, LISTED = 64, 8 << 20, 10_000
 #: Standard column names of the dictionaries and the names they also go by.
 GLOSSARY_COLUMNS = {
     "Original_Term_CN": ("Original_Term_CN", "Original_Term_Chinese", "Chinese", "CN"), "Original_Term_Pinyin": ("Original_Term_Pinyin", "Pinyin"), "Original_Term_EN": ("Original_Term_EN", "English", "EN", "Term"),
@@ -113,6 +118,107 @@ def parse_docx(data: bytes) -> str:
     return "\n\n".join(t for t in texts if t)
 
 
+def _reached(spark: SparkSession, path: str) -> tuple[str, bool] | None:
+    """The path of one file or folder in a store that pyarrow reaches, and whether it is a folder; None for patterns and other stores."""
+    from pyarrow import fs
+
+    if "://" not in path and not spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:"):
+        return None
+    try:
+        store, top = fs.FileSystem.from_uri(path)
+        kind = store.get_file_info(top).type
+    except (ValueError, OSError, NotImplementedError):
+        return None
+    return (top, kind == fs.FileType.Directory) if kind in (fs.FileType.File, fs.FileType.Directory) else None
+
+
+def _inside(store, folder: str) -> Iterator[tuple[str, bool]]:
+    """(path, is a folder) of what lies right in a folder; of a local one it is streamed."""
+    from pyarrow import fs
+
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(folder) as entries:
+            found = ((e.path, e.is_dir()) for e in entries)
+            yield from (x for x in found if not posixpath.basename(x[0]).startswith((".", "_")))
+    else:
+        found = ((e.path, e.type == fs.FileType.Directory) for e in store.get_file_info(fs.FileSelector(folder)))
+        yield from (x for x in found if not posixpath.basename(x[0]).startswith((".", "_")))
+
+
+def _listed(spark: SparkSession, path: str, top: str, folder: bool, suffix: str) -> DataFrame:
+    """(path) of all files below ``top``, dealt to tasks. The folders right in it are listed by separate tasks, each to its depth."""
+
+    def step(deep: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyarrow import fs
+
+            store, _ = fs.FileSystem.from_uri(path)
+            out: list[tuple[str, bool]] = []
+            for frame in frames:
+                for found in zip(frame["path"], frame["folder"], strict=True):
+                    todo = [found[0]] if found[1] else []
+                    if not found[1]:
+                        out.append(found)
+                    while todo:
+                        for x in _inside(store, todo.pop()):
+                            if x[1] and deep:
+                                todo.append(x[0])
+                            elif x[1] or x[0].endswith(suffix):
+                                out.append(x)
+                            if len(out) >= LISTED:
+                                yield pd.DataFrame(out, columns=["path", "folder"])
+                                out = []
+            if out:
+                yield pd.DataFrame(out, columns=["path", "folder"])
+
+        return run
+
+    tasks = max(32, 4 * spark.sparkContext.defaultParallelism)
+    rows = spark.createDataFrame([(top, folder)], "path string, folder boolean")
+    for deep in (False, True):
+        rows = rows.mapInPandas(step(deep), rows.schema).repartition(tasks, "path")
+    return rows.select("path")
+
+
+def _read(spark: SparkSession, path: str, parse: Callable[[str, bytes], list[tuple]], schema: str, suffix: str = "") -> DataFrame:
+    """Rows of ``parse`` of the path and bytes of each file below ``path`` whose name ends with ``suffix``."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    reached = _reached(spark, path)
+    bare = path.rstrip("/")
+    prefix = "" if reached is None or not bare.endswith(reached[0]) else bare.removesuffix(reached[0]) or "file:"
+
+    def contents(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, bytes]]:
+        if reached is None:
+            for frame in frames:
+                yield from zip(frame["path"], frame["content"], strict=True)
+            return
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(path)
+        for frame in frames:
+            for name in frame["path"]:
+                with store.open_input_stream(name, compression=None) as f:
+                    yield f"{prefix}{name}", f.read()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        n = size = 0
+        for name, data in contents(frames):
+            rows += parse(name, data)
+            n, size = n + 1, size + len(data)
+            if n >= READ_FILES or size >= READ_BYTES:
+                yield pd.DataFrame(rows, columns=names)
+                rows, n, size = [], 0, 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    if reached is None:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    else:
+        found = _listed(spark, path, *reached, suffix)
+    return found.mapInPandas(run, schema)
+
+
 def read_documents(spark: SparkSession, path: str, parsers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """(path, format, text, encoding, error) of all files below ``path``; a file that fails to parse has an error and no text."""
     known: dict[str, Callable[[bytes], str]] = {"epub": parse_epub, "docx": parse_docx, **(parsers or {})}
@@ -176,8 +282,9 @@ def read_dictionary(spark: SparkSession, path: str, columns: dict[str, tuple[str
 
 
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
-    """(path, profile) of JSON files as variants; a file that is no JSON has none."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.try_parse_json("value").alias("profile"))
+    """(path, profile) of all JSON files below ``path`` as variants; a file that is no JSON has none."""
+    texts = _read(spark, path, lambda name, data: [(name, data.decode("utf-8", "replace"))], "path string, value string")
+    return texts.select("path", F.try_parse_json("value").alias("profile"))
 
 
 def normalise_keys(value, aliases: dict[str, str]):
@@ -201,4 +308,4 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((int(m[1]), data.decode("utf-8", "replace")))
             yield pd.DataFrame(rows, columns=["chunk_id", "text"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "chunk_id bigint, text string")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, "chunk_id bigint, text string")

@@ -42,15 +42,17 @@ def write_files(files: DataFrame, folder: str, make: Callable[..., tuple[str, by
         from pyspark import TaskContext
 
         store, top = fs.FileSystem.from_uri(folder)
-        attempt = TaskContext.get().taskAttemptId()
+        attempt, there = TaskContext.get().taskAttemptId(), set()
         for frame in frames:
             done = []
             for row in frame.itertuples(index=False, name=None):
                 name, data = make(*row)
                 path = posixpath.join(top, name)
-                store.create_dir(posixpath.dirname(path), recursive=True)
+                if (parent := posixpath.dirname(path)) not in there:
+                    store.create_dir(parent, recursive=True)
+                    there.add(parent)
                 # Names that begin with a dot or an underscore are no data to Spark's readers.
-                part = posixpath.join(posixpath.dirname(path), f".{posixpath.basename(path)}.{attempt}")
+                part = posixpath.join(parent, f".{posixpath.basename(path)}.{attempt}")
                 with store.open_output_stream(part, compression=None) as out:
                     out.write(data)
                 store.move(part, path)

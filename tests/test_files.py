@@ -114,3 +114,21 @@ def test_metrics_of_a_stream(spark, tmp_path):
     running.processAllAvailable()
     running.stop()
     assert {r.kind: r.total for r in spark.read.json(f"{tmp_path}/out").collect()} == {"a": 3.0, "b": 5.0}
+
+
+def test_profiles_are_listed_by_tasks(spark, tmp_path):
+    """The driver holds no list of the files, whatever their number and depth; hidden names are no data."""
+    for k in range(300):
+        (tmp_path / f"{k % 7}/{k % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"{k % 7}/{k % 3}/{k}.json").write_text(json.dumps({"k": k}))
+    (tmp_path / "top.json").write_text('{"k": 300}')
+    (tmp_path / "1/.301.json.7").write_text('{"k": 301}')
+    (tmp_path / "_made").mkdir()
+    (tmp_path / "_made/302.json").write_text('{"k": 302}')
+    got = files.read_profile(spark, f"file://{tmp_path}/")
+    assert got.inputFiles() == []
+    rows = got.select("path", F.try_variant_get("profile", "$.k", "int").alias("k")).collect()
+    assert sorted(r.k for r in rows) == list(range(301))
+    assert {r.path for r in rows if r.k in (5, 300)} == {f"file://{tmp_path}/5/2/5.json", f"file://{tmp_path}/top.json"}
+    assert [r.path for r in files.read_profile(spark, str(tmp_path / "top.json")).collect()] == [f"file:{tmp_path}/top.json"]
+    assert files.read_profile(spark, f"{tmp_path}/[0-6]/*/*.json").count() == 300
