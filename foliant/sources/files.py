@@ -295,17 +295,13 @@ def normalise_keys(value, aliases: dict[str, str]):
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
-    """(chunk_id, text) of a folder with one text or gzip file per chunk, or of a JSON file of completed chunks."""
+    """(chunk_id, text) of a folder with one text or gzip file per chunk, at any depth, or of a JSON file of completed chunks."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows: list[tuple[int, str]] = []
-            for name, data in zip(frame["path"], frame["content"], strict=True):
-                data = gzip.decompress(data) if name.endswith(".gz") else bytes(data)
-                if name.removesuffix(".gz").endswith(".json"):
-                    rows += [(int(k), v) for k, v in json.loads(data).get("completed_chunks", {}).items()]
-                elif m := re.search(r"(\d+)\.txt(?:\.gz)?$", name):
-                    rows.append((int(m[1]), data.decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["chunk_id", "text"])
-
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, "chunk_id bigint, text string")
+    def parse(name: str, data: bytes) -> list[tuple]:
+        data = gzip.decompress(data) if name.endswith(".gz") else bytes(data)
+        if name.removesuffix(".gz").endswith(".json"):
+            return [(int(k), v) for k, v in json.loads(data).get("completed_chunks", {}).items()]
+        m = re.search(r"(\d+)\.txt(?:\.gz)?$", name)
+        return [(int(m[1]), data.decode("utf-8", "replace"))] if m else []
+
+    return _read(spark, path, parse, "chunk_id bigint, text string")

@@ -132,3 +132,13 @@ def test_profiles_are_listed_by_tasks(spark, tmp_path):
     assert {r.path for r in rows if r.k in (5, 300)} == {f"file://{tmp_path}/5/2/5.json", f"file://{tmp_path}/top.json"}
     assert [r.path for r in files.read_profile(spark, str(tmp_path / "top.json")).collect()] == [f"file:{tmp_path}/top.json"]
     assert files.read_profile(spark, f"{tmp_path}/[0-6]/*/*.json").count() == 300
+
+
+def test_progress_is_listed_by_tasks(spark, tmp_path):
+    df = spark.range(200).selectExpr("id chunk_id", "repeat('x', int(id) * 60) text")
+    sinks.write_files(df, f"file://{tmp_path}", lambda k, t: (f"{k % 5}/{sinks.chunk_file(k, t)[0]}", sinks.chunk_file(k, t)[1])).collect()
+    (tmp_path / "state.json").write_text(json.dumps({"completed_chunks": {"200": "three"}}))
+    (tmp_path / "0/.chunk_0.txt.9").write_text("half of a file")
+    got = files.read_progress(spark, str(tmp_path))
+    assert got.inputFiles() == []
+    assert sorted((r.chunk_id, len(r.text)) for r in got.collect()) == [*((k, 60 * k) for k in range(200)), (200, 5)]
