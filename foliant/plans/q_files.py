@@ -55,8 +55,9 @@ def _text_file(doc_id, text, k):
 
 
 query("src02_text_files", "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'utf-16' ELSE 'utf-8' END AS encoding, md5(coalesce(text, '')) AS digest FROM documents")(
-    lambda s, d: _read(s, files.read_documents(s, _folder(s, _texts(s, d).withColumn("k", (F.col("doc_id") % 4).cast("int")), _text_file, "texts")), "texts")
-    .select(_number().alias("doc_id"), "encoding", F.md5("text").alias("digest"))
+    lambda s, d: _read(
+        s, files.read_documents(s, _folder(s, _texts(s, d).withColumn("k", (F.col("doc_id") % 4).cast("int")), _text_file, "texts"))
+        .select(_number().alias("doc_id"), "encoding", F.md5("text").alias("digest")), "texts")
 )
 STRIPPED = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')"
 

@@ -223,41 +223,33 @@ def read_documents(spark: SparkSession, path: str, parsers: dict[str, Callable[[
     """(path, format, text, encoding, error) of all files below ``path``; a file that fails to parse has an error and no text."""
     known: dict[str, Callable[[bytes], str]] = {"epub": parse_epub, "docx": parse_docx, **(parsers or {})}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for name, data in zip(frame["path"], frame["content"], strict=True):
-                kind = name.rpartition(".")[2].lower()
-                try:
-                    if kind == "txt":
-                        text, encoding = decode(data)
-                    elif kind in known:
-                        text, encoding = known[kind](data), None
-                    else:
-                        raise ValueError(f"unsupported format: {kind}")
-                    rows.append((name, kind, text, encoding, None))
-                except Exception as e:  # noqa: BLE001  one bad file must not end the job; the row says what failed
-                    rows.append((name, kind, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "format", "text", "encoding", "error"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(run, "path string, format string, text string, encoding string, error string")
+    def parse(name: str, data: bytes) -> list[tuple]:
+        kind = name.rpartition(".")[2].lower()
+        try:
+            if kind == "txt":
+                text, encoding = decode(data)
+            elif kind in known:
+                text, encoding = known[kind](data), None
+            else:
+                raise ValueError(f"unsupported format: {kind}")
+            return [(name, kind, text, encoding, None)]
+        except Exception as e:  # noqa: BLE001  one bad file must not end the job; the row says what failed
+            return [(name, kind, None, None, f"{type(e).__name__}: {e}")]
+
+    return _read(spark, path, parse, "path string, format string, text string, encoding string, error string")
 
 
 def read_epub_layout(spark: SparkSession, path: str) -> DataFrame:
     """(path, text_id, chapter_id, ord, text, inner_html, image_only): the text maps of all EPUB files below ``path``."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for name, data in zip(frame["path"], frame["content"], strict=True):
-                for chapter, page in epub_chapters(data):
-                    stem = re.sub(r"\.[^.]*$", "", chapter.rpartition("/")[2])
-                    rows += [(name, e.text_id, e.chapter_id, e.order, e.text, e.inner, e.image_only) for e in text_map(page, stem)[0]]
-            yield pd.DataFrame(rows, columns=["path", "text_id", "chapter_id", "ord", "text", "inner_html", "image_only"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(run, "path string, text_id string, chapter_id string, ord int, text string, inner_html string, image_only boolean")
+    def parse(name: str, data: bytes) -> list[tuple]:
+        rows = []
+        for chapter, page in epub_chapters(data):
+            stem = re.sub(r"\.[^.]*$", "", chapter.rpartition("/")[2])
+            rows += [(name, e.text_id, e.chapter_id, e.order, e.text, e.inner, e.image_only) for e in text_map(page, stem)[0]]
+        return rows
+
+    return _read(spark, path, parse, "path string, text_id string, chapter_id string, ord int, text string, inner_html string, image_only boolean", ".epub")
 
 
 def sniff_delimiter(spark: SparkSession, path: str, choices: str = ",;\t|") -> str:

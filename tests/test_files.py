@@ -142,3 +142,16 @@ def test_progress_is_listed_by_tasks(spark, tmp_path):
     got = files.read_progress(spark, str(tmp_path))
     assert got.inputFiles() == []
     assert sorted((r.chunk_id, len(r.text)) for r in got.collect()) == [*((k, 60 * k) for k in range(200)), (200, 5)]
+
+
+def test_documents_are_listed_by_tasks(spark, tmp_path):
+    for k in range(150):
+        (tmp_path / f"{k % 6}").mkdir(exist_ok=True)
+        (tmp_path / f"{k % 6}/{k}.txt").write_bytes(f"text {k} é".encode(("utf-8", "utf-8-sig", "utf-16")[k % 3]))
+    (tmp_path / "1/b.epub").write_bytes(epub())
+    got = files.read_documents(spark, str(tmp_path))
+    assert got.inputFiles() == []
+    rows = got.collect()
+    assert {(r.text, r.encoding) for r in rows if r.format == "txt"} == {(f"text {k} é", ("utf-8", "utf-8-sig", "utf-16")[k % 3]) for k in range(150)}
+    layout = files.read_epub_layout(spark, str(tmp_path))
+    assert layout.inputFiles() == [] and len(rows) == 151 and layout.count() == 3
