@@ -67,8 +67,9 @@ def _paragraphs(doc_id, text):
 
 
 query("src05_docx_paragraphs", f"SELECT doc_id, CAST(len({STRIPPED}) AS INTEGER) AS paragraphs, md5(array_to_string({STRIPPED}, chr(10) || chr(10))) AS digest FROM documents")(
-    lambda s, d: _read(s, files.read_documents(s, _folder(s, _texts(s, d), _paragraphs, "docx")), "docx")
-    .select(_number().alias("doc_id"), F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n\n", -1))).alias("paragraphs"), F.md5("text").alias("digest"))
+    lambda s, d: _read(
+        s, files.read_documents(s, _folder(s, _texts(s, d), _paragraphs, "docx"))
+        .select(_number().alias("doc_id"), F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n\n", -1))).alias("paragraphs"), F.md5("text").alias("digest")), "docx")
 )
 
 

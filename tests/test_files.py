@@ -155,3 +155,11 @@ def test_documents_are_listed_by_tasks(spark, tmp_path):
     assert {(r.text, r.encoding) for r in rows if r.format == "txt"} == {(f"text {k} é", ("utf-8", "utf-8-sig", "utf-16")[k % 3]) for k in range(150)}
     layout = files.read_epub_layout(spark, str(tmp_path))
     assert layout.inputFiles() == [] and len(rows) == 151 and layout.count() == 3
+
+
+def test_docx_files_are_listed_by_tasks(spark, tmp_path):
+    df = spark.range(120).selectExpr("id", "concat('one ', id, '\n\n two ') text")
+    sinks.write_files(df, f"file://{tmp_path}", lambda k, t: sinks.docx_file(f"{k % 4}/{k}", t)).collect()
+    got = files.read_documents(spark, str(tmp_path))
+    assert got.inputFiles() == []
+    assert {(r.text, r.error) for r in got.collect()} == {(f"one {k}\n\ntwo", None) for k in range(120)}
